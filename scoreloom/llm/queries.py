@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scoreloom.llm import warc
+from scoreloom.llm.common import scratch
 from scoreloom.llm.jaccard_join import jaccard_components
 from scoreloom.llm.quality import quality
 from scoreloom.llm.token_counts import token_counts
@@ -28,6 +30,28 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), k=4, t=85)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(read(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"
+    )
+
+
+OP6_SQL = """
+WITH base AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), firsts AS (
+  SELECT html, min(page_id) AS first FROM base WHERE n >= 100 GROUP BY html
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(base.html) AS payload_digest,
+       CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to,
+       CAST(NULL AS VARCHAR) AS problem
+FROM base LEFT JOIN firsts ON base.html = firsts.html AND n >= 100
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -36,6 +60,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_warc": op6_warc,
     "op8_quality": op8_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_warc": OP6_SQL}
