@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,16 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which on an idle driver
+    may be long after a step is over.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Whether a row is in the held-out fold; a null id counts as held out, so it never teaches."""
     return F.coalesce(fold(doc_id) == 0, F.lit(True))

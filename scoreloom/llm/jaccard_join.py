@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.common import connected_components, drop_scratch, materialise
+from scoreloom.llm.common import connected_components, drop_scratch, materialise, release
 from scoreloom.llm.words import common, digest, shingle_set
 
 #: Counters of the frequency sketch, and the parts in which it is summed.
@@ -50,9 +50,12 @@ STAR = 12
 ROUNDS = 3
 #: Rows of the sample that chooses the boundary, and the largest boundary.
 COST_ROWS = 2_000
+KEY_COST = 4
 LARGEST_BOUNDARY = 400
 #: Ids up to which the texts to compare are picked by a broadcast join: 16 MB of longs at most.
 BROADCAST_IDS = 2_000_000
+#: Copies (an id and a digest of 16 bytes) up to which they are broadcast: 64 MB at most.
+BROADCAST_COPIES = 500_000
 
 
 def most_missing(n: int, t: int) -> int:
@@ -134,6 +137,8 @@ def choose_boundary(docs: DataFrame, k: int, t: int, levels: Broadcast) -> int:
     if not n:
         return 0
 
+    load = 2 * float(np.exp2(levels.value.astype(float)).mean())
+
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, longs = [], []
         for b in batches:
@@ -142,17 +147,17 @@ def choose_boundary(docs: DataFrame, k: int, t: int, levels: Broadcast) -> int:
                 head = s[: most_missing(len(s), t) + 1]
                 if len(head):
                     sizes.append(len(head) - 1)
-                    # Levels are counts of hashed counters, so they carry the mean load of a counter.
-                    longs.append(float(np.exp2(levels.value[head >> np.uint64(64 - SKETCH_BITS)].astype(float)).mean()))
+                    # A counter holds many elements, so its mean load is no list's length.
+                    lists = np.exp2(levels.value[head >> np.uint64(64 - SKETCH_BITS)].astype(float)) - load
+                    longs.append(float(np.clip(lists, 0, STAR).mean()))
         yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.array(longs, pa.float64())], ["miss", "list"])
 
-    load = float(np.exp2(levels.value.astype(float)).mean())
     rows = docs.select("text").sample(min(1.0, COST_ROWS / n), seed=5).mapInArrow(cost, "miss int, list double")
     best = 0
     for r in rows.where(f"miss <= {most_missing(LARGEST_BOUNDARY, t)}").groupBy("miss").agg(F.avg("list").alias("l")).collect():
         m = r["miss"]
-        scan = (m + 1) * (2 + max(0.0, r["l"] - load))
-        if (m + 2) * (m + 1) / 2 * 2 <= scan:
+        # A key is written, sorted and sent; an entry of a list is only read (of long lists, STAR at most).
+        if KEY_COST * (m + 2) * (m + 1) / 2 <= (m + 1) * (KEY_COST + r["l"]):
             best = max(best, m)
     # The largest size with that many missing.
     size = 0
@@ -163,28 +168,39 @@ def choose_boundary(docs: DataFrame, k: int, t: int, levels: Broadcast) -> int:
 
 # --- classes and postings -------------------------------------------------
 
+SIZE_BITS = 40
+
+
+def _size(info: str = "info") -> F.Column:
+    return F.col(info).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+
+
 
 def shingle_rows(docs: DataFrame, k: int, t: int, levels: Broadcast, boundary: int) -> DataFrame:
-    """doc_id, n_shingles, fp (digest of the set, null without words), typical and keys of every row."""
+    """doc_id, n_shingles, fp (digest of the set, null without words), info and keys of every row.
+
+    info is the mean frequency level in thousandths above the size, in one
+    long that orders classes from least to most typical.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                size, fp, typical, found = [], [], [], []
+                size, fp, info, found = [], [], [], []
                 for text in b["text"].to_pylist():
                     s = shingle_set(text, k)
                     size.append(len(s))
                     fp.append(digest(s) if len(s) else None)
                     s, mean = ordered(s, levels.value)
-                    typical.append(mean)
+                    info.append(round(mean * 1000) << SIZE_BITS | len(s))
                     found.append(keys(s, t, boundary).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(typical, pa.float32()), pa.array(found, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "fp", "typical", "keys"],
+                    [b["doc_id"], pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(info, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "fp", "info", "keys"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, typical float, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, info long, keys array<long>")
 
 
 # --- exact comparison -----------------------------------------------------
@@ -236,17 +252,18 @@ def _similar_size(a: str, b: str, t: int) -> F.Column:
 def links(docs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
     """(v, c): components of the classes that link with any other class.
 
-    ``classes`` has id, n, typical and keys, one row a class.
+    ``classes`` has id, info and keys, one row a class.
     """
-    postings = classes.select("id", "n", "typical", F.explode("keys").alias("x"))
+    postings = classes.select("id", "info", F.explode("keys").alias("x"))
     lists = materialise(
         postings.groupBy("x")
-        .agg(F.count("*").alias("m"), F.max(F.struct("typical", F.negative("id").alias("minus"))).alias("top"))
+        .agg(F.count("*").alias("m"), F.max(F.struct("info", F.negative("id").alias("minus"))).alias("top"))
         .where("m > 1")
         .select("x", "m", (-F.col("top.minus")).alias("leader")),
         "jaccard-lists",
     )
-    shared = materialise(postings.join(lists, "x"), "jaccard-postings")
+    shared = materialise(postings.join(lists, "x").select("x", "id", "info", _size().alias("n"), "m", "leader"), "jaccard-postings")
+    release(docs.sparkSession)
     # Short lists: all pairs, with at most STAR classes in an array.
     short = (
         shared.where(F.col("m") <= STAR)
@@ -257,19 +274,20 @@ def links(docs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
         .where(_similar_size("na", "nb", t))
         .select("a", "b")
     )
-    long = shared.where(F.col("m") > STAR).select("x", "id", "n", "typical", "leader")
+    long = shared.where(F.col("m") > STAR).select("x", "id", "info", "n", "leader")
     first = long.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
     pairs = materialise(short.union(first).distinct(), "jaccard-pairs")
     texts = _candidate_texts(docs, pairs)
     tested = materialise(compare(pairs, texts, k, t), "jaccard-tested")
     drop_scratch(pairs, texts)
+    release(docs.sparkSession)
     labels = connected_components(tested.where("linked"), "jaccard-cc")
     open_ = long
     for r in range(ROUNDS + 1):
         if open_.isEmpty():
             break
         # Rows of long lists whose classes lie in more than one component.
-        known = open_.join(labels, open_.id == labels.v, "left").select("x", "id", "n", "typical", F.coalesce("c", "id").alias("comp"), "leader")
+        known = open_.join(labels, open_.id == labels.v, "left").select("x", "id", "info", "n", F.coalesce("c", "id").alias("comp"), "leader")
         lead = labels.select(F.col("v").alias("lv"), F.col("c").alias("lc"))
         placed = known.join(lead, known.leader == lead.lv, "left").withColumn("leader_comp", F.coalesce("lc", "leader")).drop("lv", "lc")
         last = r == ROUNDS
@@ -280,7 +298,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
         if last:
             more = _across(placed, tested, t)
         else:
-            heads = materialise(apart.groupBy("x").agg(F.max(F.struct("typical", F.negative("id").alias("minus"))).alias("top")), "jaccard-heads")
+            heads = materialise(apart.groupBy("x").agg(F.max(F.struct("info", F.negative("id").alias("minus"))).alias("top")), "jaccard-heads")
             nxt = apart.drop("leader").join(heads, "x").withColumn("leader", -F.col("top.minus")).drop("top", "leader_comp", "comp")
             more = nxt.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         new = materialise(more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
@@ -342,11 +360,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, t: int = 85, boundary: int |
     named = rows.where("doc_id is not null and fp is not null")
     # One row a class: the smallest id stands for it. Rows of a class agree in all but the id.
     owner = materialise(named.groupBy("fp").agg(F.min("doc_id").alias("id")), "jaccard-owners")
-    mine = owner.select(F.col("fp").alias("of"), "id")
-    classes = named.join(mine, (F.col("doc_id") == F.col("id")) & (F.col("fp") == F.col("of")), "left_semi").select(
-        F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "typical", "keys"
-    )
-    classes = materialise(classes, "jaccard-classes")
+    # All rows but the copies. The list of copies is broadcast while it is known to be short.
+    copies = materialise(named.select("doc_id", "fp").join(owner, "fp").where("doc_id <> id").select("doc_id", "fp"), "jaccard-copies")
+    few = copies.count() <= BROADCAST_COPIES
+    classes = named.join(F.broadcast(copies) if few else copies, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("id"), "info", "keys")
     found = links(src, classes, k, t)
     placed = owner.join(found, owner.id == found.v, "left").select("fp", F.coalesce("c", "id").alias("component"))
     return (
