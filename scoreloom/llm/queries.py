@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scoreloom.llm import warc
 from scoreloom.llm.common import scratch
+from scoreloom.llm.decontaminate import leaks
 from scoreloom.llm.jaccard_join import jaccard_components
 from scoreloom.llm.quality import quality
 from scoreloom.llm.token_counts import token_counts
@@ -26,6 +27,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), k=4, t=85)
 
@@ -59,6 +64,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_warc": op6_warc,
     "op8_quality": op8_quality,
