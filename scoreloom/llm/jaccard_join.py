@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -371,3 +371,24 @@ def jaccard_components(docs: DataFrame, k: int = 4, t: int = 85, boundary: int |
         .join(placed, "fp", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near copies, columns unchanged.
+
+    The document with the smallest doc_id of each component stays, one row of
+    it; rows without id or without words are in no group and all stay.
+    """
+    found = materialise(jaccard_components(docs, k, t), "jaccard-found")
+    losers = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-losers")
+    few = losers.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(losers) if few else losers, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("n_shingles").alias("size")).where("n > 1 and size > 0").select("doc_id")
+    again = materialise(again, "jaccard-again")
+    n = again.count()
+    if not n:
+        return kept
+    again = F.broadcast(again) if n <= BROADCAST_IDS else again
+    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(c) for c in docs.columns]))
+    one = kept.join(again, "doc_id", "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)

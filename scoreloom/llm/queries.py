@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from scoreloom.llm import warc
 from scoreloom.llm.common import scratch
 from scoreloom.llm.decontaminate import leaks
+from scoreloom.llm.embedding_dedup import near_duplicates
 from scoreloom.llm.jaccard_join import jaccard_components
+from scoreloom.llm.licences import document_paths, licence_scan
 from scoreloom.llm.mixing import SHARE, domain_of, mix, target_weights
 from scoreloom.llm.quality import quality
 from scoreloom.llm.token_counts import token_counts
@@ -38,6 +40,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), k=4, t=85)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(read(spark, sf_dir, "pages"), path)
@@ -123,6 +129,11 @@ def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls(calls, results, tools, uses).withColumn("problems", F.array_join("problems", "; "))
 
 
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licence_scan(document_paths(read(spark, sf_dir, "documents")))
+    return found.withColumn("own", F.array_join("own", "; "))
+
+
 OP9_SQL = """
 WITH RECURSIVE calls AS (
   SELECT conv_id, turn, text, 't' || turn AS call_id, CASE WHEN length(coalesce(text, '')) > 250 THEN 'explain' ELSE 'ask' END AS name
@@ -153,9 +164,11 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_tool_calls": op9_tool_calls,
+    "op10_licences": op10_licences,
 }
 ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op9_tool_calls": OP9_SQL}
