@@ -19,11 +19,18 @@ results). The order puts frequent elements last: their counts come from a
 sketch of fixed size over the whole corpus, so passages that many texts share
 are no keys of any text that has enough words of its own.
 
-Lists of more than ``STAR`` classes are not paired up. In rounds, every class
-is compared with its list's most typical class; those that link are one
-component and need no further comparison. What stays apart is paired across
-components only, less the pairs that the triangle inequality of the Jaccard
-distance rules out. Components so found are those of all links.
+Lists of more than ``STAR`` classes are not paired up. Every class is compared
+with its list's most typical class, the leader L; a list whose classes are now
+one component is done. In the others, two classes A and B that link have
+
+    |A n B| <= min(|A n L|, |B n L|) + |(A - L) n (B - L)|,
+
+so either the first part is enough, which is checked on numbers that are known
+by then, or they share one of the first ``miss + 1`` elements outside L. These
+elements make new lists, and the list goes round again without L's elements.
+Near copies differ from L by little, so their new lists are short, and a large
+group costs its members, not its pairs. Components so found are those of all
+links.
 """
 
 from __future__ import annotations
@@ -46,8 +53,8 @@ SKETCH_BITS = 22
 SKETCH_PARTS = 64
 #: Longest list whose classes are all paired up at once.
 STAR = 12
-#: Rounds of comparison with a typical class before what is left is paired up.
-ROUNDS = 3
+#: Rounds of comparison with leaders before lists are paired up whatever their length.
+ROUNDS = 6
 #: Rows of the sample that chooses the boundary, and the largest boundary.
 COST_ROWS = 2_000
 KEY_COST = 4
@@ -206,9 +213,10 @@ def shingle_rows(docs: DataFrame, k: int, t: int, levels: Broadcast, boundary: i
 # --- exact comparison -----------------------------------------------------
 
 
-def compare(pairs: DataFrame, texts: DataFrame, k: int, t: int) -> DataFrame:
-    """Exact overlap of pairs (a, b) of class ids: a, b, distance and linked.
+def compare(pairs: DataFrame, texts: DataFrame, k: int, t: int, levels: Broadcast) -> DataFrame:
+    """Exact overlap of pairs (a, b, star) of class ids: a, b, both (size of the intersection), linked and rest.
 
+    rest has the first ``miss + 1`` elements of b outside a, for star pairs.
     Each text travels as text, which the shuffle compresses well, and the
     left text's set is kept while rows share it.
     """
@@ -220,21 +228,25 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int, t: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                dist, linked = [], []
-                for a, text_a, text_b in zip(b["a"].to_pylist(), b["text_a"].to_pylist(), b["text_b"].to_pylist()):
+                both, linked, rest = [], [], []
+                for a, star, text_a, text_b in zip(b["a"].to_pylist(), b["star"].to_pylist(), b["text_a"].to_pylist(), b["text_b"].to_pylist()):
                     if a not in held:
                         if len(held) >= 16:
                             held.clear()
                         held[a] = shingle_set(text_a, k)
                     mine, other = held[a], shingle_set(text_b, k)
-                    both = common(mine, other)
-                    union = len(mine) + len(other) - both
-                    dist.append(1 - both / union if union else 1.0)
-                    linked.append(union > 0 and 100 * both >= t * union)
-                yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(dist, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
-
-    return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(
-        run, "a long, b long, distance double, linked boolean"
+                    n = common(mine, other)
+                    union = len(mine) + len(other) - n
+                    both.append(n)
+                    linked.append(union > 0 and 100 * n >= t * union)
+                    outside = np.setdiff1d(other, mine, assume_unique=True) if star else other[:0]
+                    rest.append(ordered(outside, levels.value)[0][: most_missing(len(other), t) + 1].view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [b["a"], b["b"], pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "both", "linked", "rest"]
+                )
+
+    return pairs.select("a", "b", "star").join(right, "b").join(left, "a").select("a", "b", "star", "text_a", "text_b").mapInArrow(
+        run, "a long, b long, both long, linked boolean, rest array<long>"
     )
 
 
@@ -249,93 +261,119 @@ def _similar_size(a: str, b: str, t: int) -> F.Column:
     return 100 * F.least(a, b) >= t * F.greatest(a, b)
 
 
-def links(docs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFrame:
-    """(v, c): components of the classes that link with any other class.
-
-    ``classes`` has id, info and keys, one row a class.
-    """
-    postings = classes.select("id", "info", F.explode("keys").alias("x"))
+def _listed(postings: DataFrame) -> DataFrame:
+    """Postings (x, id, info) of the keys that more than one class has, with n, m and the leader of the list."""
     lists = materialise(
         postings.groupBy("x")
         .agg(F.count("*").alias("m"), F.max(F.struct("info", F.negative("id").alias("minus"))).alias("top"))
         .where("m > 1")
-        .select("x", "m", (-F.col("top.minus")).alias("leader")),
+        .select("x", "m", (-F.col("top.minus")).alias("leader"), _size("top.info").alias("leader_n")),
         "jaccard-lists",
     )
-    shared = materialise(postings.join(lists, "x").select("x", "id", "info", _size().alias("n"), "m", "leader"), "jaccard-postings")
-    release(docs.sparkSession)
-    # Short lists: all pairs, with at most STAR classes in an array.
-    short = (
-        shared.where(F.col("m") <= STAR)
-        .groupBy("x")
-        .agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("all"))
-        .select(F.explode(F.flatten(F.transform("all", lambda p: F.transform(F.filter("all", lambda q: q["id"] > p["id"]), lambda q: F.struct(p["id"].alias("a"), p["n"].alias("na"), q["id"].alias("b"), q["n"].alias("nb")))))).alias("p"))
-        .select("p.*")
-        .where(_similar_size("na", "nb", t))
-        .select("a", "b")
+    listed = materialise(postings.join(lists, "x").select("x", "id", "info", _size().alias("n"), "m", "leader", "leader_n"), "jaccard-listed")
+    drop_scratch(lists)
+    return listed
+
+
+def _short_pairs(listed: DataFrame, t: int) -> DataFrame:
+    """All pairs of the short lists, by an array of at most STAR classes; of different components where those are known."""
+    rows = listed.where(F.col("m") <= STAR).groupBy("x").agg(F.sort_array(F.collect_list(F.struct("id", "n", "comp"))).alias("all"))
+    pair = F.transform("all", lambda p: F.transform(F.filter("all", lambda q: (q["id"] > p["id"]) & (q["comp"] != p["comp"])), lambda q: F.struct(p["id"].alias("a"), p["n"].alias("na"), q["id"].alias("b"), q["n"].alias("nb"))))
+    return rows.select(F.explode(F.flatten(pair)).alias("p")).select("p.*").where(_similar_size("na", "nb", t)).select("a", "b")
+
+
+def _with_components(listed: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return listed.withColumn("comp", F.col("id"))
+    return listed.join(labels, listed.id == labels.v, "left").withColumn("comp", F.coalesce("c", "id")).drop("v", "c")
+
+
+def _numbers_suffice(mixed: DataFrame, tested: DataFrame, t: int) -> DataFrame:
+    """Pairs of mixed lists that may link by their leader's elements alone.
+
+    Such a pair needs as much in common with the leader as a link needs in
+    all. One of the two is then smaller than the leader, or it would have
+    linked with the leader itself.
+    """
+    own = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), "both")
+    rows = mixed.join(own, ["leader", "id"], "left").withColumn("both", F.when(F.col("id") == F.col("leader"), F.col("n")).otherwise(F.coalesce("both", F.lit(0))))
+    rows = materialise(rows.where(100 * F.col("both") >= t * F.col("n")).select("x", "id", "n", "comp", "both", "leader_n"), "jaccard-near")
+    small = rows.where("n < leader_n").select("x", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("both").alias("both2"))
+    enough = t * (F.col("n") + F.col("n2")) <= (100 + t) * F.least("both", "both2")
+    return (
+        rows.join(small, "x")
+        .where((F.col("comp") != F.col("comp2")) & enough)
+        .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
     )
-    long = shared.where(F.col("m") > STAR).select("x", "id", "info", "n", "leader")
-    first = long.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
-    pairs = materialise(short.union(first).distinct(), "jaccard-pairs")
-    texts = _candidate_texts(docs, pairs)
-    tested = materialise(compare(pairs, texts, k, t), "jaccard-tested")
-    drop_scratch(pairs, texts)
-    release(docs.sparkSession)
-    labels = connected_components(tested.where("linked"), "jaccard-cc")
-    open_ = long
+
+
+def _all_across(mixed: DataFrame, t: int) -> DataFrame:
+    """All pairs of mixed lists that lie in different components: the last resort, exact at any length."""
+    other = mixed.select("x", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    return mixed.join(other, "x").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))).where(_similar_size("n", "n2", t)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+
+
+def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast) -> DataFrame:
+    """(v, c): components of the classes that link with any other class.
+
+    ``classes`` has id, info and keys, one row a class.
+    """
+    postings = classes.select("id", "info", F.explode("keys").alias("x"))
+    tested = labels = None
     for r in range(ROUNDS + 1):
-        if open_.isEmpty():
-            break
-        # Rows of long lists whose classes lie in more than one component.
-        known = open_.join(labels, open_.id == labels.v, "left").select("x", "id", "info", "n", F.coalesce("c", "id").alias("comp"), "leader")
-        lead = labels.select(F.col("v").alias("lv"), F.col("c").alias("lc"))
-        placed = known.join(lead, known.leader == lead.lv, "left").withColumn("leader_comp", F.coalesce("lc", "leader")).drop("lv", "lc")
-        last = r == ROUNDS
-        placed = materialise(placed, "jaccard-open")
-        apart = placed.where("comp <> leader_comp")
-        if apart.isEmpty():
+        listed = _listed(postings)
+        placed = materialise(_with_components(listed, labels), "jaccard-placed")
+        drop_scratch(listed)
+        long = placed.where(F.col("m") > STAR)
+        star = long.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).withColumn("star", F.lit(True))
+        pairs = _short_pairs(placed, t).withColumn("star", F.lit(False)).unionByName(star)
+        pairs = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
+        tested, labels = _test(docs, pairs, tested, labels, k, t, levels)
+        # Long lists whose classes still lie in more than one component.
+        again = _with_components(long.drop("comp"), labels)
+        mixed = materialise(again.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x"), "jaccard-mixed")
+        if mixed.isEmpty():
             break
-        if last:
-            more = _across(placed, tested, t)
-        else:
-            heads = materialise(apart.groupBy("x").agg(F.max(F.struct("info", F.negative("id").alias("minus"))).alias("top")), "jaccard-heads")
-            nxt = apart.drop("leader").join(heads, "x").withColumn("leader", -F.col("top.minus")).drop("top", "leader_comp", "comp")
-            more = nxt.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        new = materialise(more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if not new.isEmpty():
-            texts = _candidate_texts(docs, new)
-            tested = materialise(tested.unionByName(compare(new, texts, k, t)), "jaccard-tested")
-            labels = connected_components(tested.where("linked"), "jaccard-cc")
-        if last:
+        rows = materialise(again.join(mixed, "x", "left_semi"), "jaccard-open")
+        drop_scratch(mixed)
+        release(docs.sparkSession)
+        more = _numbers_suffice(rows, tested, t) if r < ROUNDS else _all_across(rows, t)
+        tested, labels = _test(docs, more.distinct().withColumn("star", F.lit(False)), tested, labels, k, t, levels)
+        # The same lists without their leaders' elements.
+        rest = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), "rest")
+        postings = materialise(
+            rows.select("leader", "id", "info").distinct().join(rest, ["leader", "id"]).select("id", "info", "leader", F.explode("rest").alias("e")).select("id", "info", F.xxhash64("leader", "e").alias("x")),
+            "jaccard-rest",
+        )
+        if r == ROUNDS:
             break
-        # Earlier rows stay for the last round, under their first leader.
-        open_ = nxt if r + 1 < ROUNDS else long
     return labels
 
 
+def _test(docs, pairs, tested, labels, k, t, levels) -> tuple[DataFrame, DataFrame]:
+    """Compare the pairs that were not compared before, or not as star pairs; all results, and the components."""
+    if tested is not None:
+        before = tested.select("a", "b", (F.size("rest") > 0).alias("had_rest"))
+        pairs = pairs.join(before, ["a", "b"], "left").where(F.col("had_rest").isNull() | (F.col("star") & ~F.col("had_rest"))).select("a", "b", "star")
+    pairs = materialise(pairs, "jaccard-pairs")
+    if tested is not None and pairs.isEmpty():
+        return tested, labels
+    texts = _candidate_texts(docs, pairs)
+    got = materialise(compare(pairs, texts, k, t, levels), "jaccard-tested")
+    drop_scratch(pairs, texts)
+    release(docs.sparkSession)
+    linked = not got.where("linked").isEmpty()
+    tested = got if tested is None else materialise(tested.unionByName(got).groupBy("a", "b").agg(F.max("both").alias("both"), F.max("linked").alias("linked"), F.max("rest").alias("rest")), "jaccard-tested")
+    if linked or labels is None:
+        labels = connected_components(tested.where("linked"), "jaccard-cc")
+    return tested, labels
+
+
 def _candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
     return materialise(_texts_of(docs, ids), "jaccard-texts")
 
 
-def _across(placed: DataFrame, tested: DataFrame, t: int) -> DataFrame:
-    """Pairs of one list in different components that size and the distances to the leader allow."""
-    far = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), "distance")
-    rows = placed.join(far, ["leader", "id"], "left").withColumn("distance", F.when(F.col("id") == F.col("leader"), F.lit(0.0)).otherwise(F.col("distance")))
-    mixed = materialise(placed.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x"), "jaccard-mixed")
-    rows = rows.join(mixed, "x", "left_semi").select("x", "id", "n", "comp", "distance")
-    other = rows.select("x", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("distance").alias("distance2"))
-    near = (1 - t / 100) + 1e-9
-    return (
-        rows.join(other, "x")
-        .where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2")))
-        .where(_similar_size("n", "n2", t))
-        .where(F.coalesce(F.abs(F.col("distance") - F.col("distance2")) <= near, F.lit(True)))
-        .select(F.col("id").alias("a"), F.col("id2").alias("b"))
-        .distinct()
-    )
-
-
 # --- the operator ---------------------------------------------------------
 
 
@@ -364,7 +402,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, t: int = 85, boundary: int |
     copies = materialise(named.select("doc_id", "fp").join(owner, "fp").where("doc_id <> id").select("doc_id", "fp"), "jaccard-copies")
     few = copies.count() <= BROADCAST_COPIES
     classes = named.join(F.broadcast(copies) if few else copies, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("id"), "info", "keys")
-    found = links(src, classes, k, t)
+    found = links(src, classes, k, t, levels)
     placed = owner.join(found, owner.id == found.v, "left").select("fp", F.coalesce("c", "id").alias("component"))
     return (
         rows.select("doc_id", "n_shingles", "fp")
