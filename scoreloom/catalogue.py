@@ -5,20 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from scoreloom.session import table
+from scoreloom.plans import league_queries, panel_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-
-
-def _season_totals(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+PARTS = [panel_queries, league_queries]
 
 
 def queries() -> dict[str, Query]:
-    return {"season_totals": _season_totals}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"season_totals": "SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey"}
+    return {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -26,7 +26,7 @@ def strict_history(queries: DataFrame, events: DataFrame, keys: list[str], at: s
 def latest_at(queries: DataFrame, events: DataFrame, keys: list[str], at: str, when: str, order: list[str], values: list[str], query_id: list[str]) -> DataFrame:
     """For each query, the values of the latest event at or before it; queries without one are left out."""
     q = queries.select(*keys, micros(at).alias("us"), F.lit(1).alias("kind"), F.struct(*query_id).alias("q"))
-    body = events.select(*keys, micros(when).alias("us"), F.lit(0).alias("kind"), F.struct(micros(when).alias("__us"), *order, *values).alias("e"))
+    body = events.select(*keys, micros(when).alias("us"), F.lit(0).alias("kind"), F.struct(micros(when).alias("__us"), *dict.fromkeys([*order, *values])).alias("e"))
     q = q.withColumn("e", F.lit(None).cast(body.schema["e"].dataType))
     body = body.withColumn("q", F.lit(None).cast(q.schema["q"].dataType))
     w = Window.partitionBy(*keys).orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)

@@ -15,23 +15,32 @@ def _w(keys: list[str], order: list) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def rolling_form(df: DataFrame, keys: list[str], order: list, value: str, windows: tuple[int, ...] = (3, 5)) -> DataFrame:
+def _sum(value: str, w: Window, exact: int | None) -> Column:
+    """A sum over a frame; with so many exact decimals it doesn't depend on the order of addition."""
+    return F.sum(value).over(w) if exact is None else F.sum(F.col(value).cast(f"decimal(18,{exact})")).over(w).cast("double")
+
+
+def _mean(value: str, w: Window, exact: int | None) -> Column:
+    return F.avg(value).over(w) if exact is None else _sum(value, w, exact) / F.nullif(F.count(value).over(w), F.lit(0))
+
+
+def rolling_form(df: DataFrame, keys: list[str], order: list, value: str, windows: tuple[int, ...] = (3, 5), exact: int | None = None) -> DataFrame:
     """Means of the last n rows with the current one, and the running mean of the key."""
     w = _w(keys, order)
-    out = {f"form_{n}": F.avg(value).over(w.rowsBetween(1 - n, 0)) for n in windows}
-    return df.withColumns(out | {"form_all": F.avg(value).over(w)})
+    out = {f"form_{n}": _mean(value, w.rowsBetween(1 - n, 0), exact) for n in windows}
+    return df.withColumns(out | {"form_all": _mean(value, w, exact)})
 
 
-def leakfree_form(df: DataFrame, keys: list[str], order: list, value: str, windows: tuple[int, ...] = (3, 5)) -> DataFrame:
+def leakfree_form(df: DataFrame, keys: list[str], order: list, value: str, windows: tuple[int, ...] = (3, 5), exact: int | None = None) -> DataFrame:
     """Features of the rows before the current one only: means, deviation, maximum, running sum and mean."""
     w = _w(keys, order)
     five, before = w.rowsBetween(-5, -1), w.rowsBetween(Window.unboundedPreceding, -1)
-    out = {f"prior_mean_{n}": F.avg(value).over(w.rowsBetween(-n, -1)) for n in windows}
+    out = {f"prior_mean_{n}": _mean(value, w.rowsBetween(-n, -1), exact) for n in windows}
     out |= {
         "prior_std_5": F.stddev_samp(value).over(five),
         "prior_max_5": F.max(value).over(five),
-        "prior_sum": F.sum(value).over(before),
-        "prior_mean": F.avg(value).over(before),
+        "prior_sum": _sum(value, before, exact),
+        "prior_mean": _mean(value, before, exact),
     }
     return df.withColumns(out)
 
