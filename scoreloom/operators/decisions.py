@@ -76,8 +76,8 @@ def suggestions(owned: DataFrame, pool: DataFrame, bank: float, top: int = 3, hi
     return ok.withColumn("choice", F.row_number().over(w)).where(F.col("choice") <= top).drop("held")
 
 
-#: Largest pool of players that is sent to every task, about 1 MB.
-POOL_ROWS = 20_000
+#: Largest pool of players that is sent to every task, some 10 MB.
+POOL_ROWS = 200_000
 PLAN_SCHEMA = "group string, step int, sell long, buy long, gain double, hit double, net double, bank double"
 
 

@@ -117,11 +117,11 @@ def self_join_roles(s, d):
 
 
 @query("candidate_pairs", """
-WITH squad AS (SELECT * FROM part WHERE p_partkey % 50 = 0), held AS (SELECT p_brand, count(*) AS h FROM squad GROUP BY 1)
+WITH squad AS (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 2), held AS (SELECT p_brand, count(*) AS h FROM squad GROUP BY 1)
 SELECT s.p_partkey AS sell_player, b.p_partkey AS buy_player, CAST(b.p_size - s.p_size AS DOUBLE) AS gain, CAST(b.p_size - s.p_size AS DOUBLE) - 4 AS gain_after_hit, choice FROM (
   SELECT s.p_partkey AS sk, b.p_partkey AS bk, row_number() OVER (PARTITION BY s.p_partkey ORDER BY b.p_size - s.p_size DESC, b.p_partkey) AS choice
   FROM squad s JOIN part b ON b.p_type = s.p_type LEFT JOIN held ON held.p_brand = b.p_brand
-  WHERE b.p_partkey % 50 <> 0 AND b.p_partkey % 7 <> 0 AND b.p_retailprice <= s.p_retailprice + 50 AND b.p_size > s.p_size
+  WHERE b.p_partkey NOT IN (SELECT p_partkey FROM squad) AND b.p_partkey % 7 <> 0 AND b.p_retailprice <= s.p_retailprice + 50 AND b.p_size > s.p_size
     AND coalesce(h, 0) - CAST(s.p_brand = b.p_brand AS INTEGER) + 1 <= 3) x
 JOIN part s ON s.p_partkey = sk JOIN part b ON b.p_partkey = bk WHERE choice <= 3""")
 def candidate_pairs(s, d):
@@ -129,7 +129,9 @@ def candidate_pairs(s, d):
         F.col("p_partkey").alias("player"), F.col("p_type").alias("position"), F.col("p_brand").alias("team"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("value"),
         F.when(F.col("p_partkey") % 7 == 0, "i").otherwise("a").alias("status"),
     )
-    out = decisions.suggestions(p.where("player % 50 = 0").drop("status"), p, 50.0)
+    w = Window.partitionBy("team").orderBy("player")
+    squad = p.withColumn("n", F.row_number().over(w)).where("n <= 2").drop("status", "n")
+    out = decisions.suggestions(squad, p, 50.0)
     return out.select("sell_player", "buy_player", "gain", "gain_after_hit", F.col("choice").cast("long").alias("choice"))
 
 
@@ -301,5 +303,6 @@ def greedy_plan(s, d):
     p = table(s, d, "part").select(
         F.col("p_partkey").alias("player"), F.col("p_type").alias("position"), F.col("p_brand").alias("team"), F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("value"), F.lit("a").alias("status")
     )
-    squads = p.where("player % 15 = 1 and player <= 600").withColumn("group", (F.col("player") % 4).cast("string")).withColumn("bank", F.lit(20.0)).drop("status")
-    return decisions.greedy_plans(squads, p.where("player <= 2000"), free=2)
+    w = Window.partitionBy("team").orderBy("player")
+    squads = p.withColumn("n", F.row_number().over(w)).where("n <= 15").withColumns({"group": F.col("team"), "bank": F.lit(20.0)}).drop("status", "n")
+    return decisions.greedy_plans(squads, p, free=2)

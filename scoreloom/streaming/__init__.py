@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Landed files as streams."""
