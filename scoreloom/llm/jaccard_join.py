@@ -184,7 +184,7 @@ def _size(info: str = "info") -> F.Column:
 
 
 def shingle_rows(docs: DataFrame, k: int, t: int, levels: Broadcast, boundary: int) -> DataFrame:
-    """doc_id, n_shingles, fp (digest of the set, null without words), info and keys of every row.
+    """doc_id, n_shingles, fp (digest of the set, null without words), info, keys and outline of every row.
 
     info is the mean frequency level in thousandths above the size, in one
     long that orders classes from least to most typical.
@@ -194,20 +194,54 @@ def shingle_rows(docs: DataFrame, k: int, t: int, levels: Broadcast, boundary: i
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                size, fp, info, found = [], [], [], []
+                size, fp, info, found, outlines = [], [], [], [], []
                 for text in b["text"].to_pylist():
                     s = shingle_set(text, k)
                     size.append(len(s))
                     fp.append(digest(s) if len(s) else None)
+                    outlines.append(outline(s))
                     s, mean = ordered(s, levels.value)
                     info.append(round(mean * 1000) << SIZE_BITS | len(s))
                     found.append(keys(s, t, boundary).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(info, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "fp", "info", "keys"],
+                    [b["doc_id"], pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(info, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(outlines, pa.binary())],
+                    ["doc_id", "n_shingles", "fp", "info", "keys", "outline"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, info long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, info long, keys array<long>, outline binary")
+
+
+def outline(s: np.ndarray) -> bytes:
+    """Numbers of elements by leading hash bits, some eight a number; 255 stands for any number from there on."""
+    bits = min(12, max(4, int(np.ceil(np.log2(max(1, len(s)) / 8)))))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(a: bytes, b: bytes, na: int, nb: int, t: int) -> bool:
+    """Whether two sets can link by their outlines: no range has more common elements than its lesser number.
+
+    Never false for sets that link; full ranges decide nothing.
+    """
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if (x == 255).any() or (y == 255).any():
+        return True
+    n = min(len(x), len(y))
+    most = int(np.minimum(x.reshape(n, -1).sum(axis=1), y.reshape(n, -1).sum(axis=1)).sum())
+    return (100 + t) * most >= t * (na + nb)
+
+
+def _plausible(pairs: DataFrame, outlines: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b, star) without those that their outlines rule out; star pairs all stay."""
+    left = outlines.select(F.col("id").alias("a"), F.col("outline").alias("oa"), F.col("n").alias("na"))
+    right = outlines.select(F.col("id").alias("b"), F.col("outline").alias("ob"), F.col("n").alias("nb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [may_link(*r, t) for r in zip(*(b[c].to_pylist() for c in ("oa", "ob", "na", "nb")))]
+            yield b.select(["a", "b", "star"]).filter(pa.array(ok, pa.bool_()))
+
+    plain = pairs.where("not star").join(right, "b").join(left, "a").select("a", "b", "star", "oa", "ob", "na", "nb").mapInArrow(run, "a long, b long, star boolean")
+    return plain.unionByName(pairs.where("star").select("a", "b", "star"))
 
 
 # --- exact comparison -----------------------------------------------------
@@ -316,8 +350,9 @@ def _all_across(mixed: DataFrame, t: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast) -> DataFrame:
     """(v, c): components of the classes that link with any other class.
 
-    ``classes`` has id, info and keys, one row a class.
+    ``classes`` has id, info, keys and outline, one row a class.
     """
+    outlines = classes.select("id", _size().alias("n"), "outline")
     postings = classes.select("id", "info", F.explode("keys").alias("x"))
     tested = labels = None
     for r in range(ROUNDS + 1):
@@ -328,7 +363,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast
         star = long.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).withColumn("star", F.lit(True))
         pairs = _short_pairs(placed, t).withColumn("star", F.lit(False)).unionByName(star)
         pairs = pairs.groupBy("a", "b").agg(F.max("star").alias("star"))
-        tested, labels = _test(docs, pairs, tested, labels, k, t, levels)
+        tested, labels = _test(docs, pairs, outlines, tested, labels, k, t, levels)
         # Long lists whose classes still lie in more than one component.
         again = _with_components(long.drop("comp"), labels)
         mixed = materialise(again.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x"), "jaccard-mixed")
@@ -338,7 +373,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast
         drop_scratch(mixed)
         release(docs.sparkSession)
         more = _numbers_suffice(rows, tested, t) if r < ROUNDS else _all_across(rows, t)
-        tested, labels = _test(docs, more.distinct().withColumn("star", F.lit(False)), tested, labels, k, t, levels)
+        tested, labels = _test(docs, more.distinct().withColumn("star", F.lit(False)), outlines, tested, labels, k, t, levels)
         # The same lists without their leaders' elements.
         rest = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), "rest")
         postings = materialise(
@@ -350,12 +385,12 @@ def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast
     return labels
 
 
-def _test(docs, pairs, tested, labels, k, t, levels) -> tuple[DataFrame, DataFrame]:
+def _test(docs, pairs, outlines, tested, labels, k, t, levels) -> tuple[DataFrame, DataFrame]:
     """Compare the pairs that were not compared before, or not as star pairs; all results, and the components."""
     if tested is not None:
         before = tested.select("a", "b", (F.size("rest") > 0).alias("had_rest"))
         pairs = pairs.join(before, ["a", "b"], "left").where(F.col("had_rest").isNull() | (F.col("star") & ~F.col("had_rest"))).select("a", "b", "star")
-    pairs = materialise(pairs, "jaccard-pairs")
+    pairs = materialise(_plausible(materialise(pairs, "jaccard-listed-pairs"), outlines, t), "jaccard-pairs")
     if tested is not None and pairs.isEmpty():
         return tested, labels
     texts = _candidate_texts(docs, pairs)
@@ -401,7 +436,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, t: int = 85, boundary: int |
     # All rows but the copies. The list of copies is broadcast while it is known to be short.
     copies = materialise(named.select("doc_id", "fp").join(owner, "fp").where("doc_id <> id").select("doc_id", "fp"), "jaccard-copies")
     few = copies.count() <= BROADCAST_COPIES
-    classes = named.join(F.broadcast(copies) if few else copies, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("id"), "info", "keys")
+    classes = named.join(F.broadcast(copies) if few else copies, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("id"), "info", "keys", "outline")
     found = links(src, classes, k, t, levels)
     placed = owner.join(found, owner.id == found.v, "left").select("fp", F.coalesce("c", "id").alias("component"))
     return (
