@@ -99,3 +99,15 @@ def bootstrap(df: DataFrame, row_id: str, y: str, a: str, b: str, draws: int = 2
     ci = F.percentile("r2", F.array(F.lit(0.025), F.lit(0.975)))
     below, above = F.avg((F.col("gain") <= 0).cast("double")), F.avg((F.col("gain") >= 0).cast("double"))
     return each.agg(F.avg("r2").alias("r2"), ci[0].alias("low"), ci[1].alias("high"), F.least(F.lit(1.0), 2 * F.least(below, above)).alias("p_value"))
+
+
+def calibration_curve(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
+    """Mean score and share of positives in bins between score quantiles; equal edges merge."""
+    edges = df.agg(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    at = F.size(F.filter("edges", lambda e: e < F.col(score)))
+    return df.join(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("positive_rate"))
+
+
+def calibration_by_segment(df: DataFrame, y: str, p: str, minutes: str, least: float = 75.0) -> DataFrame:
+    """Share of rows at or below the predicted quantile, for regular starters and the others (unknown minutes among them)."""
+    return df.groupBy(F.when(F.col(minutes) >= least, "starter").otherwise("other").alias("segment")).agg(F.count("*").alias("n"), calibration(y, p).alias("rate"))
