@@ -341,24 +341,45 @@ def _numbers_suffice(mixed: DataFrame, tested: DataFrame, t: int) -> DataFrame:
     )
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Lists (x) whose classes lie in several components: cross, the pairs across, and main, the largest component."""
+    parts = rows.groupBy("x", "comp").agg(F.count("*").alias("m"))
+    return (
+        parts.groupBy("x")
+        .agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "comp")).alias("top"))
+        .where("parts > 1")
+        .select("x", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("cross"), F.col("top.comp").alias("main"))
+    )
+
+
 def _all_across(mixed: DataFrame, t: int) -> DataFrame:
-    """All pairs of mixed lists that lie in different components: the last resort, exact at any length."""
-    other = mixed.select("x", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    return mixed.join(other, "x").where((F.col("id") < F.col("id2")) & (F.col("comp") != F.col("comp2"))).where(_similar_size("n", "n2", t)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    """All pairs of mixed lists that lie in different components, exact at any length.
+
+    One of the two is outside the list's main component, so the join visits
+    at most twice the pairs across.
+    """
+    other = mixed.where("comp <> main").select("x", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+    return mixed.join(other, "x").where("comp <> comp2").where(_similar_size("n", "n2", t)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
 def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast) -> DataFrame:
     """(v, c): components of the classes that link with any other class.
 
-    ``classes`` has id, info, keys and outline, one row a class.
+    ``classes`` has id, info, keys and outline, one row a class. Once the
+    pairs across the components of the open lists are no more than the first
+    round's list entries, they are all compared and the rounds end.
     """
     outlines = classes.select("id", _size().alias("n"), "outline")
     postings = classes.select("id", "info", F.explode("keys").alias("x"))
     tested = labels = None
+    entries = 0
     for r in range(ROUNDS + 1):
         listed = _listed(postings)
-        placed = materialise(_with_components(listed, labels), "jaccard-placed")
-        drop_scratch(listed)
+        entries = entries or listed.count()
+        placed = _with_components(listed, labels)
+        if labels is not None:
+            placed = materialise(placed, "jaccard-placed")
+            drop_scratch(listed)
         long = placed.where(F.col("m") > STAR)
         star = long.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).withColumn("star", F.lit(True))
         pairs = _short_pairs(placed, t).withColumn("star", F.lit(False)).unionByName(star)
@@ -366,22 +387,24 @@ def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast
         tested, labels = _test(docs, pairs, outlines, tested, labels, k, t, levels)
         # Long lists whose classes still lie in more than one component.
         again = _with_components(long.drop("comp"), labels)
-        mixed = materialise(again.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x"), "jaccard-mixed")
-        if mixed.isEmpty():
+        mixed = materialise(_mixed(again), "jaccard-mixed")
+        cross = mixed.agg(F.sum("cross")).first()[0]
+        if cross is None:
             break
-        rows = materialise(again.join(mixed, "x", "left_semi"), "jaccard-open")
+        rows = materialise(again.join(mixed.select("x", "main"), "x"), "jaccard-open")
         drop_scratch(mixed)
         release(docs.sparkSession)
-        more = _numbers_suffice(rows, tested, t) if r < ROUNDS else _all_across(rows, t)
+        last = r == ROUNDS or cross <= entries
+        more = _all_across(rows, t) if last else _numbers_suffice(rows, tested, t)
         tested, labels = _test(docs, more.distinct().withColumn("star", F.lit(False)), outlines, tested, labels, k, t, levels)
+        if last:
+            break
         # The same lists without their leaders' elements.
         rest = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), "rest")
         postings = materialise(
             rows.select("leader", "id", "info").distinct().join(rest, ["leader", "id"]).select("id", "info", "leader", F.explode("rest").alias("e")).select("id", "info", F.xxhash64("leader", "e").alias("x")),
             "jaccard-rest",
         )
-        if r == ROUNDS:
-            break
     return labels
 
 
