@@ -21,7 +21,8 @@ are no keys of any text that has enough words of its own.
 
 Lists of more than ``STAR`` classes are not paired up. Every class is compared
 with its list's most typical class, the leader L; a list whose classes are now
-one component is done. In the others, two classes A and B that link have
+one component is done, and one with few pairs across its components compares
+these. In the others, two classes A and B that link have
 
     |A n B| <= min(|A n L|, |B n L|) + |(A - L) n (B - L)|,
 
@@ -36,6 +37,7 @@ links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -342,13 +344,13 @@ def _numbers_suffice(mixed: DataFrame, tested: DataFrame, t: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """Lists (x) whose classes lie in several components: cross, the pairs across, and main, the largest component."""
+    """Lists (x) whose classes lie in several components: main, the largest, and few, whether an entry has at most STAR pairs across."""
     parts = rows.groupBy("x", "comp").agg(F.count("*").alias("m"))
     return (
         parts.groupBy("x")
         .agg(F.count("*").alias("parts"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.max(F.struct("m", "comp")).alias("top"))
         .where("parts > 1")
-        .select("x", ((F.col("all") * F.col("all") - F.col("squares")) / 2).alias("cross"), F.col("top.comp").alias("main"))
+        .select("x", F.col("top.comp").alias("main"), (F.col("all") * F.col("all") - F.col("squares") <= 2 * STAR * F.col("all")).alias("few"))
     )
 
 
@@ -365,17 +367,15 @@ def _all_across(mixed: DataFrame, t: int) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast) -> DataFrame:
     """(v, c): components of the classes that link with any other class.
 
-    ``classes`` has id, info, keys and outline, one row a class. Once the
-    pairs across the components of the open lists are no more than the first
-    round's list entries, they are all compared and the rounds end.
+    ``classes`` has id, info, keys and outline, one row a class. An open list
+    with at most ``STAR`` pairs an entry across its components is closed by
+    comparing these; the others go round again.
     """
     outlines = classes.select("id", _size().alias("n"), "outline")
     postings = classes.select("id", "info", F.explode("keys").alias("x"))
     tested = labels = None
-    entries = 0
     for r in range(ROUNDS + 1):
         listed = _listed(postings)
-        entries = entries or listed.count()
         placed = _with_components(listed, labels)
         if labels is not None:
             placed = materialise(placed, "jaccard-placed")
@@ -388,16 +388,22 @@ def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast
         # Long lists whose classes still lie in more than one component.
         again = _with_components(long.drop("comp"), labels)
         mixed = materialise(_mixed(again), "jaccard-mixed")
-        cross = mixed.agg(F.sum("cross")).first()[0]
-        if cross is None:
+        now, later = mixed.agg(F.count_if("few"), F.count_if(~F.col("few"))).first()
+        if not now + later:
             break
-        rows = materialise(again.join(mixed.select("x", "main"), "x"), "jaccard-open")
+        rows = materialise(again.join(mixed, "x"), "jaccard-open")
         drop_scratch(mixed)
         release(docs.sparkSession)
-        last = r == ROUNDS or cross <= entries
-        more = _all_across(rows, t) if last else _numbers_suffice(rows, tested, t)
-        tested, labels = _test(docs, more.distinct().withColumn("star", F.lit(False)), outlines, tested, labels, k, t, levels)
-        if last:
+        if r == ROUNDS:
+            now, later, closing = now + later, 0, rows
+        else:
+            closing, rows = rows.where("few"), rows.where("not few")
+        more = [_all_across(closing, t)] if now else []
+        if later:
+            more.append(_numbers_suffice(rows, tested, t))
+        more = reduce(DataFrame.unionByName, more).distinct().withColumn("star", F.lit(False))
+        tested, labels = _test(docs, more, outlines, tested, labels, k, t, levels)
+        if not later:
             break
         # The same lists without their leaders' elements.
         rest = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), "rest")
