@@ -2,15 +2,19 @@
 
 Equal vectors are one class from the start. Classes are dealt to shards by
 hash; a shard holds a bounded number, so its graph is built in one task.
-Every class then asks every shard, in blocks of queries. What a beam finds is
-checked by cosine in double precision; where a beam is full of links, the
-chain of links is followed through the graph, so a large group costs its
-links and no wider beam. A task reports a count for each query, and of its
-links only a spanning forest, so that what is sent grows with the vectors and
-not with the links.
+Every class then asks every shard: a task holds two shards, which ask one
+another. What a beam finds is checked by cosine in double precision; where a
+beam is full of links, the chain of links is followed through the graph, so a
+large group costs its links and no wider beam. A task reports a count for each
+query, in which a link found from one end counts at both, and of its links
+only a spanning forest, so that what is sent grows with the vectors and not
+with the links.
 
 After each pass a bounded sample of queries is compared with all vectors;
-while recall falls short, the beam is doubled and the pass repeated.
+while recall falls short, the beam is doubled and the pass repeated. Recall is
+a mean over queries, for each power of two of links too, so that large groups
+don't hide small ones; where few queries have a link, the nearest neighbours
+of all count as well.
 """
 
 from __future__ import annotations
@@ -28,13 +32,17 @@ from scoreloom.llm.common import connected_components, drop_scratch, materialise
 from scoreloom.llm.hnsw import Graph, unit
 
 LEAST = 0.9
-#: Classes a shard holds, fewest shards, and queries a block holds.
+#: Classes a shard holds, fewest shards, and queries searched at once.
 SHARD_ROWS = 50_000
 SHARDS = 4
 BLOCK_ROWS = 4_096
 BEAM = 24
-#: Queries of an audit, and the recall at which beams stop widening.
+#: Queries of an audit, how many of them should have a link, the most that are drawn for that, and rows compared at once.
 AUDIT = 200
+AUDIT_LINKED = 100
+AUDIT_MOST = 3_200
+AUDIT_ROWS = 1_024
+#: The recall at which beams stop widening.
 RECALL = 0.98
 SLACK = 1e-4
 
@@ -87,27 +95,48 @@ def _pack_shard(t: pa.Table) -> pa.Table:
     )
 
 
-def _pack_block(t: pa.Table) -> pa.Table:
-    order = np.argsort(t["id"].to_numpy())
-    x = _matrix([t["vec"][int(i)].as_py() for i in order])
-    return pa.table(
-        {
-            "dim": t["dim"].slice(0, 1),
-            "block": t["block"].slice(0, 1),
-            "q_ids": pa.array([t["id"].to_numpy()[order].astype(np.int64).tobytes()], pa.binary()),
-            "q_vecs": pa.array([x.tobytes()], pa.binary()),
-        }
-    )
-
-
-def ask(graph: Graph, x: np.ndarray, ids: np.ndarray, sizes: np.ndarray, q: np.ndarray, q_ids: np.ndarray, ef: int, least: float):
-    """Links of a block of queries in a shard: how many vectors each links with, and a spanning forest as edges."""
-    qu = unit(q)
-    found, sims = graph.search(qu, ef)
-    norm, q_norm = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-    counts = np.zeros(len(q), np.int64)
+class Found:
+    """Which of ``n_x`` vectors each of ``n_q`` queries links with: keys for short lists, bits for long ones."""
+
+    def __init__(self, n_q: int, n_x: int):
+        self.n_x, self.keys, self.bits, self.row = n_x, [], [], np.full(n_q, -1, np.int64)
+
+    def add(self, i: int, near: np.ndarray) -> None:
+        if len(near) * 64 > self.n_x:
+            mine = np.zeros(self.n_x, bool)
+            mine[near] = True
+            self.row[i] = len(self.bits)
+            self.bits.append(np.packbits(mine, bitorder="little"))
+        elif len(near):
+            self.keys.append(i * self.n_x + np.sort(near))
+
+    def close(self) -> Found:
+        self.keys = np.sort(np.concatenate(self.keys)) if self.keys else np.zeros(0, np.int64)
+        self.bits = np.stack(self.bits) if self.bits else np.zeros((0, 0), np.uint8)
+        return self
+
+    def has(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        row = self.row[i]
+        long = row >= 0
+        out[long] = (self.bits[row[long], j[long] >> 3] >> (j[long] & 7).astype(np.uint8)) & 1
+        if len(self.keys):
+            key = i[~long] * self.n_x + j[~long]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[~long] = self.keys[at] == key
+        return out
+
+    def lists(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All links as (query, vector), in parts."""
+        yield self.keys // self.n_x, self.keys % self.n_x
+        for i in np.flatnonzero(self.row >= 0):
+            j = np.flatnonzero(np.unpackbits(self.bits[self.row[i]], count=self.n_x, bitorder="little"))
+            yield np.full(len(j), i), j
+
+
+def _forest():
+    """A function that tells whether a link joins two parts."""
     root: dict[int, int] = {}
-    edges = []
 
     def find(v: int) -> int:
         top = v
@@ -117,52 +146,86 @@ def ask(graph: Graph, x: np.ndarray, ids: np.ndarray, sizes: np.ndarray, q: np.n
             root[v], v = top, root[v]
         return top
 
-    hit = (sims >= least - SLACK) & (found >= 0)
-    n_hit = hit.sum(axis=1)
-    for i in np.flatnonzero(n_hit):
-        near = found[i][hit[i]]
-        if n_hit[i] * 2 >= found.shape[1]:
-            near = graph.flood(qu[i], near, least - SLACK)
-        exact = x[near] @ q[i] / (norm[near] * q_norm[i])
-        near = near[(exact >= least) & (ids[near] != q_ids[i])]
-        counts[i] = sizes[near].sum()
-        for other in ids[near].tolist():
-            a, b = find(int(q_ids[i])), find(other)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                edges.append((int(q_ids[i]), other))
-    return counts, edges
-
-
-def _pass(blocks: DataFrame, graphs: DataFrame, ef: int, least: float) -> DataFrame:
-    """(a, b, n): n links of query a in a shard (b null), or an edge of the forest (n null)."""
+    def join(a: int, b: int) -> bool:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+        return a != b
+
+    return join
+
+
+def ask(shard: dict, asker: dict, ef: int, least: float, join):
+    """Links of the vectors of a shard in another or the same: Found, edges that ``join`` parts, and the best cosine of each."""
+    graph, x, ids, q, q_ids = shard["graph"], shard["x"], shard["ids"], asker["x"], asker["ids"]
+    norm, q_norm = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
+    links, edges, best = Found(len(q), len(x)), [], np.full(len(q), -2.0)
+    for at in range(0, len(q), BLOCK_ROWS):
+        qu = unit(q[at : at + BLOCK_ROWS])
+        found, sims = graph.search(qu, ef)
+        other = np.where((found >= 0) & (ids[found] != q_ids[at : at + len(qu), None]), sims, -2.0)
+        best[at : at + len(qu)] = other.max(axis=1)
+        hit = (sims >= least - SLACK) & (found >= 0)
+        n_hit = hit.sum(axis=1)
+        for k in np.flatnonzero(n_hit):
+            i, near = at + int(k), found[k][hit[k]]
+            if n_hit[k] * 2 >= found.shape[1]:
+                near = graph.flood(qu[k], near, least - SLACK)
+            exact = x[near] @ q[i] / (norm[near] * q_norm[i])
+            near = near[(exact >= least) & (ids[near] != q_ids[i])]
+            links.add(i, near)
+            mine = int(q_ids[i])
+            edges += [(mine, o) for o in ids[near].tolist() if join(mine, o)]
+    return links.close(), edges, best
+
+
+def ask_both(a: dict, b: dict | None, ef: int, least: float):
+    """Links between two shards, or within one: (ids, n_links, best cosine) of each shard, and a spanning forest as edges.
+
+    A link counts at both its ends, whichever end found it.
+    """
+    join = _forest()
+    sides = [(a, b), (b, a)] if b else [(a, a)]
+    told = [ask(shard, asker, ef, least, join) for asker, shard in sides]
+    counts = [np.zeros(len(asker["ids"]), np.int64) for asker, _ in sides]
+    for side, (asker, shard) in enumerate(sides):
+        links, back = told[side][0], told[1 - side][0] if b else told[side][0]
+        for i, j in links.lists():
+            np.add.at(counts[side], i, shard["sizes"][j])
+            missed = ~back.has(j, i)
+            np.add.at(counts[len(sides) - 1 - side], j[missed], asker["sizes"][i[missed]])
+    return [(asker["ids"], n, t[2]) for (asker, _), n, t in zip(sides, counts, told)], [e for t in told for e in t[1]]
+
+
+def _pass(graphs: DataFrame, ef: int, least: float) -> DataFrame:
+    """(a, b, n, near): n links and the best cosine of a with a shard (b null), or an edge of the forest (n null)."""
+
+    def shard(r: dict, end: str) -> dict:
+        ids = np.frombuffer(r[f"ids{end}"], np.int64)
+        x = np.frombuffer(r[f"vecs{end}"], np.float64).reshape(len(ids), -1)
+        return {"ids": ids, "x": x, "sizes": np.frombuffer(r[f"sizes{end}"], np.int64), "graph": Graph.unpack(r[f"graph{end}"])}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph = None, None
-        for b in batches:
-            for i in range(b.num_rows):
-                r = {name: b[name][i].as_py() for name in b.schema.names}
-                ids = np.frombuffer(r["ids"], np.int64)
-                x = np.frombuffer(r["vecs"], np.float64).reshape(len(ids), -1)
-                if (r["dim"], r["shard"]) != last:
-                    last, graph = (r["dim"], r["shard"]), Graph.unpack(r["graph"])
-                q_ids = np.frombuffer(r["q_ids"], np.int64)
-                q = np.frombuffer(r["q_vecs"], np.float64).reshape(len(q_ids), -1)
-                counts, edges = ask(graph, x, ids, np.frombuffer(r["sizes"], np.int64), q, q_ids, ef, least)
-                left = [*q_ids.tolist(), *(a for a, _ in edges)]
-                right = [*[None] * len(q_ids), *(o for _, o in edges)]
-                n = [*counts.tolist(), *[None] * len(edges)]
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
-
-    shards = graphs.select("dim", "shard")
-    asked = shards.join(blocks.select("dim", "block"), "dim").select("dim", "shard", "block")
-    rows = asked.join(blocks, ["dim", "block"]).join(graphs, ["dim", "shard"])
-    # A task for each (shard, block): the rows are large and the work is long.
-    return rows.repartition(max(1, asked.count()), "dim", "shard", "block").mapInArrow(run, "a long, b long, n long")
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {name: batch[name][i].as_py() for name in batch.schema.names}
+                ends, edges = ask_both(shard(r, ""), shard(r, "2") if r["shard"] != r["shard2"] else None, ef, least)
+                left = np.concatenate([*(e[0] for e in ends), np.array([e[0] for e in edges], np.int64)])
+                n_told = len(left) - len(edges)
+                right = [*[None] * n_told, *(o for _, o in edges)]
+                n = [*np.concatenate([e[1] for e in ends]).tolist(), *[None] * len(edges)]
+                near = [*np.concatenate([e[2] for e in ends]).tolist(), *[None] * len(edges)]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((left, right, n, near), kinds)], ["a", "b", "n", "near"])
+
+    shards, again = graphs.select("dim", "shard"), graphs.select("dim", *[F.col(c).alias(f"{c}2") for c in ("shard", "ids", "sizes", "vecs", "graph")])
+    asked = shards.join(again.select("dim", "shard2"), "dim").where("shard <= shard2").select("dim", "shard", "shard2")
+    rows = asked.join(graphs, ["dim", "shard"]).join(again, ["dim", "shard2"])
+    # A task for each pair of shards: the rows are large and the work is long.
+    return rows.repartition(max(1, asked.count()), "dim", "shard", "shard2").mapInArrow(run, "a long, b long, n long, near double")
 
 
 def audit(classes: DataFrame, sample: list, least: float) -> DataFrame:
-    """(a, truth): how many vectors the sampled (id, dim, vec) link with, by comparing them with all."""
+    """(a, truth, near): how many vectors the sampled (id, dim, vec) link with and their best cosine, by comparing them with all."""
     by_dim: dict[int, tuple] = {}
     for dim in {s["dim"] for s in sample}:
         mine = [s for s in sample if s["dim"] == dim]
@@ -173,19 +236,60 @@ def audit(classes: DataFrame, sample: list, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims, ids, m = b["dim"].to_numpy(), b["id"].to_numpy(), b["m"].to_numpy()
-            left, n = [], []
+            left, n, near = [], [], []
             for dim, (q_ids, q) in sent.value.items():
                 mine = np.flatnonzero(dims == dim)
                 if not len(mine):
                     continue
-                x = _matrix([b["vec"][int(i)].as_py() for i in mine])
-                linked = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T >= least
-                linked &= ids[mine][:, None] != q_ids[None, :]
+                total, best = np.zeros(len(q_ids), np.int64), np.full(len(q_ids), -2.0)
+                for at in range(0, len(mine), AUDIT_ROWS):
+                    part = mine[at : at + AUDIT_ROWS]
+                    x = _matrix([b["vec"][int(i)].as_py() for i in part])
+                    sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T
+                    sims[ids[part][:, None] == q_ids[None, :]] = -2.0
+                    total += m[part] @ (sims >= least)
+                    best = np.maximum(best, sims.max(axis=0))
                 left += q_ids.tolist()
-                n += (linked * m[mine][:, None]).sum(axis=0).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(n, pa.int64())], ["a", "n"])
+                n += total.tolist()
+                near += best.tolist()
+            kinds = (pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((left, n, near), kinds)], ["a", "n", "near"])
+
+    told = classes.select("id", "dim", "m", "vec").mapInArrow(run, "a long, n long, near double")
+    return told.groupBy("a").agg(F.sum("n").alias("truth"), F.max("near").alias("near"))
+
 
-    return classes.select("id", "dim", "m", "vec").mapInArrow(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("truth"))
+def draw_audit(classes: DataFrame, n: int, least: float) -> dict[int, tuple[int, float]]:
+    """(links, best cosine) of sampled ids; the sample grows until enough have a link, or to its bound."""
+    out: dict[int, tuple[int, float]] = {}
+    size = AUDIT
+    while True:
+        sample = classes.orderBy(F.xxhash64("key", F.lit(2)), "id").limit(size).select("id", "dim", "vec").collect()
+        fresh = [s for s in sample if s["id"] not in out]
+        if fresh:
+            out.update({r["a"]: (r["truth"], r["near"]) for r in audit(classes, fresh, least).collect()})
+        if sum(t > 0 for t, _ in out.values()) >= AUDIT_LINKED or size >= min(n, AUDIT_MOST):
+            return out
+        size = min(size * 4, AUDIT_MOST)
+
+
+def recalls(truth: dict[int, tuple[int, float]], got: dict[int, tuple[int, float]]) -> dict[str, float]:
+    """Mean share of its links that a query found: of all that have one, and of those of each power of two of links.
+
+    Where too few sampled queries have a link, also the share of queries whose
+    nearest other vector was found.
+    """
+    shares: dict[str, list[float]] = {}
+    for a, (t, _) in truth.items():
+        if t:
+            share = min(got.get(a, (0, 0))[0], t) / t
+            shares.setdefault("links", []).append(share)
+            shares.setdefault(f"links from {1 << (t.bit_length() - 1)}", []).append(share)
+    if len(shares.get("links", [])) < AUDIT_LINKED:
+        near = [float(got.get(a, (0, -2.0))[1] >= best - SLACK) for a, (_, best) in truth.items() if best > -2.0]
+        if near:
+            shares["nearest"] = near
+    return {k: float(np.mean(v)) for k, v in shares.items()}
 
 
 def near_duplicates(rows: DataFrame, least: float = LEAST, ef: int = BEAM, recall: float = RECALL, shard_rows: int = SHARD_ROWS, shards: int = SHARDS) -> DataFrame:
@@ -205,21 +309,16 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, ef: int = BEAM, recal
         valid.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "vector-classes"
     )
     n = classes.count()
-    n_shards, n_blocks = max(shards, math.ceil(n / shard_rows)), max(1, math.ceil(n / BLOCK_ROWS))
-    placed = classes.select(
-        "id", "m", "dim", "vec", F.pmod(F.xxhash64("key"), F.lit(n_shards)).alias("shard"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(n_blocks)).alias("block")
-    )
+    n_shards = max(shards, math.ceil(n / shard_rows))
+    placed = classes.select("id", "m", "dim", "vec", F.pmod(F.xxhash64("key"), F.lit(n_shards)).alias("shard"))
     shape = "dim int, shard long, ids binary, sizes binary, vecs binary, graph binary"
     graphs = materialise(placed.groupBy("dim", "shard").applyInArrow(_pack_shard, shape), "vector-graphs")
-    blocks = materialise(placed.select("id", "dim", "vec", "block").groupBy("dim", "block").applyInArrow(_pack_block, "dim int, block long, q_ids binary, q_vecs binary"), "vector-blocks")
-    sample = classes.orderBy(F.xxhash64("key", F.lit(2)), "id").limit(AUDIT).select("id", "dim", "vec").collect()
-    truth = {r["a"]: r["truth"] for r in audit(classes, sample, least).collect()} if sample else {}
+    truth = draw_audit(classes, n, least)
     while True:
-        found = materialise(_pass(blocks, graphs, ef, least), "vector-links")
-        counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n_found"))
-        got = {r["a"]: r["n_found"] for r in counts.where(F.col("a").isin([s["id"] for s in sample])).collect()} if sample else {}
-        hit, total = sum(min(got.get(a, 0), t) for a, t in truth.items()), sum(truth.values())
-        if not total or hit >= recall * total or ef >= min(shard_rows, n):
+        found = materialise(_pass(graphs, ef, least), "vector-links")
+        counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n_found"), F.max("near").alias("near"))
+        got = {r["a"]: (r["n_found"], r["near"]) for r in counts.where(F.col("a").isin(list(truth))).collect()} if truth else {}
+        if all(r >= recall for r in recalls(truth, got).values()) or ef >= min(shard_rows, n):
             break
         ef *= 2
         drop_scratch(found)

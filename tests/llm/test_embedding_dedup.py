@@ -1,5 +1,6 @@
 import numpy as np
 
+from scoreloom.llm import embedding_dedup as ed
 from scoreloom.llm.embedding_dedup import near_duplicates
 from scoreloom.llm.hnsw import Graph, unit
 
@@ -57,3 +58,49 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_recall_counts_queries_and_not_links():
+    truth = {i: (5000, 0.99) for i in range(120)} | {i: (1, 0.95) for i in range(120, 200)}
+    got = {i: (5000, 0.99) for i in range(120)} | {i: (0, 0.5) for i in range(120, 200)}
+    told = ed.recalls(truth, got)
+    assert told["links from 4096"] == 1 and told["links from 1"] == 0 and told["links"] == 0.6
+    # Without links the nearest neighbours are audited.
+    assert ed.recalls({1: (0, 0.4), 2: (0, 0.3)}, {1: (0, 0.4), 2: (0, 0.1)}) == {"nearest": 0.5}
+
+
+def test_a_link_found_from_one_end_counts_at_both():
+    class Half:
+        """A graph that finds nothing for one query."""
+
+        def __init__(self, x, blind):
+            self.x, self.blind = unit(x), blind
+
+        def search(self, q, ef):
+            sims = q @ self.x.T
+            found = np.tile(np.arange(len(self.x)), (len(q), 1))
+            found[self.blind] = -1
+            return found, sims
+
+        def flood(self, q, seeds, least):
+            return seeds
+
+    x = np.array([[1.0, 0.0], [1.0, 0.1], [0.0, 1.0]])
+    a = {"ids": np.array([1, 2, 3]), "sizes": np.array([1, 4, 1]), "x": x, "graph": Half(x, 0)}
+    (ids, n, _), = ed.ask_both(a, None, 3, 0.9)[0]
+    assert dict(zip(ids.tolist(), n.tolist())) == {1: 4, 2: 1, 3: 0}
+    b = {"ids": np.array([4, 5, 6]), "sizes": np.array([2, 1, 1]), "x": x, "graph": Half(x, 0)}
+    ends, _ = ed.ask_both(a, b, 3, 0.9)
+    assert [e[1].tolist() for e in ends] == [[1, 3, 1], [4, 5, 1]]
+
+
+def test_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 64))
+    x[:300] = x[0] + rng.normal(size=(300, 64)) * 0.05
+    x[301:900:2] = x[300:900:2] + rng.normal(size=(300, 64)) * 0.15
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_duplicates(df, ef=2).collect()}
+    n, _ = brute(list(range(900)), x)
+    share = np.array([min(got[i], k) / k for i, k in enumerate(n) if k])
+    assert share.mean() >= 0.97 and share[300:].mean() >= 0.97
