@@ -1,7 +1,7 @@
 """Benchmark items inside documents, by SimHash of item-sized windows.
 
-For every item length, windows of so many words slide over a document. A
-window's fingerprint is the 64-bit SimHash of its weighted word shingles. The
+For every item length, windows of so many words slide over a document; one
+that is shorter than an item is compared with it as a whole. A window's fingerprint is the 64-bit SimHash of its weighted word shingles. The
 items' fingerprints are indexed by multi-index Hamming blocks: with four
 blocks of 16 bits and radius 15, two fingerprints within the radius differ by
 at most three bits in some block, so listing every item under all values
@@ -82,6 +82,10 @@ class Index:
             prints.append(signed(h, np.array([weights[x] for x in h.tolist()])).sum(axis=0))
             for x in set(h.tolist()):
                 keyed.setdefault((min(k, size), x), set()).add(size)
+        self.totals = [sum(weights[x] * n for x, n in c.items()) for c in self.counts]
+        self.of_length: dict[int, list[int]] = {}
+        for i, size in enumerate(self.lengths):
+            self.of_length.setdefault(size, []).append(i)
         self.prints = pack(np.array(prints)) if prints else np.zeros(0, np.uint64)
         self.weights = weights
         # By shingle length: sorted shingles with their weight and the lengths of the items that have them.
@@ -148,7 +152,22 @@ class Index:
             for size, where in by_size.items():
                 if size <= len(h):
                     self._slide(s, hs, weight, run, size, np.array(where), least, best)
-        return [(self.ids[i], b[0], b[1], self.lengths[i], b[2]) for i, b in sorted(best.items())]
+            self._whole(s, [size for size in by_size if size > len(h)], least, best)
+        return [(self.ids[i], b[0], b[1], min(self.lengths[i], len(h)), b[2]) for i, b in sorted(best.items())]
+
+    def _whole(self, s, sizes, least, best) -> None:
+        """Compare a text with the longer items of these lengths, as one window."""
+        if not sizes:
+            return
+        window = Counter(s.tolist())
+        most = sum(self.weights.get(x, self.rare) * n for x, n in window.items())
+        for size in sizes:
+            for item in self.of_length[size]:
+                # The shared part is at most the text's weight, the union at least the item's.
+                if most >= least * self.totals[item]:
+                    sim = self.similarity(window, item)
+                    if sim >= least:
+                        best[item] = [sim, 0, 1]
 
     def _slide(self, s, hs, weight, run, size, hits, least, best) -> None:
         m = size - run + 1
@@ -192,7 +211,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float
 
     One row for each pair of a row of ``docs`` (doc_id, text) and an item
     (item_id, text) with a window of similarity ``least`` or more; the best
-    window is told, the first of equals. Null and empty texts hold nothing and
+    window is told, the first of equals; a text shorter than the item is one
+    window. Null and empty texts hold nothing and
     are in nothing. Items with a null id are matched like others. Repeated
     document rows give repeated results; repeated items too. Items of fewer
     than k words are one shingle. Other columns are ignored.

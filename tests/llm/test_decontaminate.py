@@ -69,3 +69,25 @@ def test_empty_tables(spark):
     assert dc.leaks(docs.limit(0), bench).count() == 0
     assert dc.leaks(docs, bench.limit(0)).count() == 0
     assert dc.without_leaks(docs, bench.limit(0)).count() == 1
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"v{rng.randrange(400)}" for _ in range(n))) for i, n in enumerate([59, 59, 20, 6, 5, 3])]
+    texts = [" ".join(items[0][1].split()[:58]), " ".join(items[0][1].split()[4:]), " ".join(items[1][1].split()[:30]), " ".join(items[2][1].split()[1:19]), " ".join(items[3][1].split()[:5]), "v1"]
+    weights, rare = dc.shingle_weights(items)
+    want = {}
+    for d, text in enumerate(texts):
+        mine = Counter(shingle_hashes(word_hashes(words(text)), 5).tolist())
+        for i, t in items:
+            n = len(text.split())
+            if n < len(t.split()):
+                other = Counter(shingle_hashes(word_hashes(words(t)), 5).tolist())
+                up, down = (sum(weights.get(x, rare) * f(mine[x], other[x]) for x in mine | other) for f in (min, max))
+                if up / down >= 0.8:
+                    want[d, i] = (round(up / down, 9), 0, n, 1)
+    assert {d for d, _ in want} == {0, 1, 3}
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words, r.n_windows) for r in dc.leaks(docs, bench).collect()}
+    assert got == want
+    assert {r.doc_id for r in dc.without_leaks(docs, bench).collect()} == {2, 4, 5}
