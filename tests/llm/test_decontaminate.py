@@ -91,3 +91,26 @@ def test_documents_shorter_than_an_item(spark):
     got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.start_word, r.n_words, r.n_windows) for r in dc.leaks(docs, bench).collect()}
     assert got == want
     assert {r.doc_id for r in dc.without_leaks(docs, bench).collect()} == {2, 4, 5}
+
+
+def test_edits_near_the_least_similarity_are_found():
+    rng = random.Random(2)
+    items = [(i, " ".join(f"v{rng.randrange(3000)}" for _ in range(n))) for i, n in enumerate([60, 100, 104, 150] * 10)]
+    # Parts that many items share weigh less than the rest.
+    items = [(i, "a b c d e f g h i j k l m n o p q r s t " + t if i % 2 else t) for i, t in items]
+    index = dc.Index(items, *dc.shingle_weights(items))
+    missed = tried = 0
+    for i, t in items:
+        ws = t.split()
+        for _ in range(400):
+            if tried >= 2000:
+                break
+            new = list(ws)
+            for p in rng.sample(range(len(ws)), rng.randrange(1, 4)):
+                new[p] = f"new{rng.random()}"
+            window = Counter(shingle_hashes(word_hashes(words(" ".join(new))), 5).tolist())
+            if 0.8 <= index.similarity(window, i) <= 0.85:
+                tried += 1
+                found = {m[0]: m for m in index.matches("x y z " + " ".join(new) + " u v w", 0.8)}
+                missed += i not in found or abs(found[i][1] - index.similarity(window, i)) > 1e-9 and found[i][1] < index.similarity(window, i)
+    assert tried > 500 and missed == 0
