@@ -1,13 +1,13 @@
 """Licences of files: TF-IDF cosine to templates, then inheritance down the directories.
 
-A statement is looked for in every line of a whole text. A line, and every
-window of the template's number of words in it, is a sparse vector of word
+A statement is looked for in a whole text, across its lines. Every line, and
+every window of the template's number of words, is a sparse vector of word
 counts times inverse document frequency, where the frequencies of the
 templates' words are counted over all documents and any other word counts as
-never seen. A line that shares no strong word with a template can't reach the
+never seen. A text that shares no strong word with a template can't reach the
 least cosine and is skipped: the words are *strong* that must be among the
 shared ones for the bound ``|shared part of template| / |template|`` to reach
-it.
+it. The same bound, from running sums, skips windows.
 
 A file without a statement of its own takes the licence of the nearest
 directory above it that holds a licence file with one. Directories are joined
@@ -40,9 +40,27 @@ TEMPLATES = [
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "The MIT License (MIT)"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 ]
+_GNU = "This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."
+# The headers that the GNU licences recommend, and titles and opening words of licence files.
+TEMPLATES += [
+    ("GPL-2.0", _GNU.format(what="program", kind="General", v="2")),
+    ("GPL-3.0", _GNU.format(what="program", kind="General", v="3")),
+    ("LGPL-2.1", _GNU.format(what="library", kind="Lesser General", v="2.1")),
+    ("LGPL-3.0", _GNU.format(what="library", kind="Lesser General", v="3")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+]
 LICENCE_FILES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 
 LEAST = 0.8
@@ -75,6 +93,12 @@ class Matcher:
                 if math.sqrt(weak) / norm >= least:
                     strong.add(t)
             self.templates.append((name, vector, norm, sum(counts.values())))
+        self.place = {t: i for i, t in enumerate(sorted({t for _, vector, _, _ in self.templates for t in vector}))}
+        # Squared weight of each word in each template; the last column stands for any other word.
+        self.squares = np.zeros((len(self.templates), len(self.place) + 1))
+        for row, (_, vector, _, _) in zip(self.squares, self.templates):
+            for t, v in vector.items():
+                row[self.place[t]] = v * v
         self.quick = re.compile("|".join(re.escape(t) for t in sorted(strong))) if strong else None
 
     def _idf(self, df: int) -> float:
@@ -88,37 +112,35 @@ class Matcher:
         dot = sum(w * vector[t] for t, w in own.items() if t in vector)
         return dot / norm / math.sqrt(sum(w * w for w in own.values())) if dot else 0.0
 
-    def best_in_line(self, line: str) -> dict[str, float]:
-        """Best cosine of each licence in a line, over the whole line and windows of template size."""
-        ts = terms(line)
-        out: dict[str, float] = {}
-        seen = set(ts)
-        for name, vector, norm, size in self.templates:
-            shared = math.sqrt(sum(v * v for t, v in vector.items() if t in seen)) / norm
-            if shared < self.least:
-                continue
-            spans = {(0, len(ts))} | {(p, p + size) for p in range(len(ts) - size + 1)}
-            for a, b in spans:
-                c = self.cosine(Counter(ts[a:b]), vector, norm)
-                if c >= self.least and c > out.get(name, 0.0):
-                    out[name] = c
-        return out
-
     def match(self, text: str | None) -> list[tuple[str, float]]:
         """(licence, best cosine) of the licences stated in a text, best first, equals by name."""
         best: dict[str, float] = {}
-        if text and self.quick:
-            low = text.lower()
-            done, end = -1, 0
-            for m in self.quick.finditer(low):
-                if m.start() < end and done >= 0:
-                    continue
-                done = m.start()
-                start = low.rfind("\n", 0, m.start()) + 1
-                end = low.find("\n", m.start())
-                end = len(low) if end < 0 else end
-                for name, c in self.best_in_line(low[start:end]).items():
-                    best[name] = max(c, best.get(name, 0.0))
+        low = (text or "").lower()
+        if not self.quick or not self.quick.search(low):
+            return []
+        ts, ends = [], [0]
+        for line in low.split("\n"):
+            ts += _WORD.findall(line)
+            ends.append(len(ts))
+        other = len(self.place)
+        known = np.fromiter((self.place.get(t, other) for t in ts), np.int64, len(ts))
+        shared = self.squares @ (np.bincount(known, minlength=other + 1) > 0)
+        lines = np.array(sorted(set(zip(ends, ends[1:]))), np.int64).reshape(-1, 2)
+        for (name, vector, norm, size), squares, part in zip(self.templates, self.squares, shared):
+            if part < (self.least * norm) ** 2 * (1 - 1e-9):
+                continue
+            # At least the squared norm of the template's part in each span.
+            run = np.concatenate([[0.0], np.cumsum(squares[known])])
+            enough = (self.least * norm) ** 2 * (1 - 1e-9) - 1e-9 * run[-1]
+            spans = [tuple(x) for x in lines[run[lines[:, 1]] - run[lines[:, 0]] >= enough].tolist()]
+            if len(ts) >= size:
+                spans += [(p, p + size) for p in np.flatnonzero(run[size:] - run[:-size] >= enough).tolist()]
+            else:
+                spans.append((0, len(ts)))
+            for a, b in dict.fromkeys(spans):
+                c = self.cosine(Counter(ts[a:b]), vector, norm)
+                if c >= self.least and c > best.get(name, 0.0):
+                    best[name] = c
         return sorted(best.items(), key=lambda x: (-round(x[1], 9), x[0]))
 
 

@@ -69,3 +69,54 @@ def test_inheritance_by_path(spark):
     assert got[9] == ("GPL-3.0", "directory", "a/b")
     assert lc.licence_scan(df).count() == len(rows)
     assert lc.licence_scan(df.limit(0)).count() == 0
+
+
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are
+# met:"""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+FULL = "                    GNU {}GENERAL PUBLIC LICENSE\n                       Version {}\n\n Copyright (C) 2007 Free Software Foundation, Inc."
+
+
+def test_wrapped_statements_and_licence_files():
+    m = lc.Matcher({}, 100, lc.TEMPLATES, lc.LEAST)
+    said = {
+        "BSD-3-Clause": [BSD, "import os\n" + BSD + "\ncode\n"],
+        "GPL-3.0": [GPL, "/*\n" + GPL + "\n */\nint main;", FULL.format("", "3, 29 June 2007")],
+        "GPL-2.0": [GPL.replace("version 3", "version 2"), FULL.format("", "2, June 1991")],
+        "LGPL-3.0": [GPL.replace("General", "Lesser General"), FULL.format("LESSER ", "3, 29 June 2007")],
+        "Apache-2.0": ["                 Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n", "// Licensed under the\n// Apache License, Version 2.0."],
+        "MPL-2.0": ["Mozilla Public License Version 2.0\n====\n1. Definitions"],
+        "MIT": ["The MIT License (MIT)\n\nCopyright (c) x", "Released under\nthe MIT\nLicense."],
+    }
+    for name, texts in said.items():
+        for text in texts:
+            assert m.match(text)[:1] and m.match(text)[0][0] == name, text
+
+
+def across(matcher, text):
+    """All windows of the whole text, and all lines, without any skipping."""
+    best, ts = dense(matcher, text), lc.terms((text or "").lower())
+    for name, vector, norm, size in matcher.templates:
+        for p in range(max(1, len(ts) - size + 1)):
+            c = matcher.cosine(Counter(ts[p : p + size]), vector, norm) if ts else 0
+            if c >= matcher.least:
+                best[name] = max(best.get(name, 0), c)
+    return best
+
+
+def test_skipping_loses_nothing_across_lines():
+    import random
+
+    rng = random.Random(1)
+    for least in (0.5, 0.8):
+        m = lc.Matcher({"the": 90, "license": 40, "under": 50}, 100, lc.TEMPLATES, least)
+        for _ in range(60):
+            ws = [w for _, t in rng.choices(lc.TEMPLATES, k=3) for w in [*t.split(), *rng.choices(["the", "x", "license", "under"], k=3)] if rng.random() > 0.1]
+            text = "".join(w + rng.choice([" ", " ", "\n"]) for w in ws)
+            got, want = dict(m.match(text)), across(m, text)
+            assert got.keys() == want.keys()
+            assert all(got[k] == pytest.approx(want[k]) for k in got)
