@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is set
-    and used for the rest of the session.
+    Where the setting is absent and Spark runs in this process (tests, a
+    laptop), a temporary folder is set and used for the rest of the session.
+    On a cluster that is an error: executors don't see one another's disks.
     """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None)
@@ -22,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     held = sc.getCheckpointDir()
     if not held:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="scoreloom-"))
         held = sc.getCheckpointDir()
     return held.rstrip("/")
@@ -52,6 +57,21 @@ def drop_scratch(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds few texts as Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def fold(doc_id: str = "doc_id") -> F.Column:
     """crc32 of the id as text, mod 5; fold 0 is held out."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5

@@ -3,8 +3,9 @@
 DataFrame operations only. Calls and results meet by a hash join on the
 conversation and the call's identifier. Calls of a conversation depend on
 one another through the identifiers their arguments name; a call's depth is
-the longest chain of calls it depends on, found by peeling the calls that wait
-for nothing, round by round. (depth, turn, call_id) is a topological order.
+the longest chain of calls it depends on, found by doubling jumps along single
+needs and by peeling calls with several. (depth, turn, call_id) is a
+topological order.
 Arguments are checked against the tool's schema. JSON is canonical: keys
 sorted, no blanks, nulls written.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import drop_scratch, materialise
+from scoreloom.llm.common import drop_scratch, materialise, release, scratch
 
 KEY = ["conv_id", "call_id"]
 #: Tools whose schemas are broadcast: some KB each.
@@ -62,30 +63,82 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
 def depths(calls: DataFrame, uses: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth): the longest chain of calls that each call depends on.
 
-    ``uses`` has conv_id, call_id and needs. Each round places the calls whose
-    needs are all placed; there are as many rounds as the longest chain has
-    calls, and each costs as much as the uses still open. A use of an unknown
-    call, or of itself, counts as none. Calls on a cycle, or that depend on
-    one, are never placed and have depth -1.
+    ``uses`` has conv_id, call_id and needs. A use of an unknown call, or of
+    itself, counts as none. Calls on a cycle, or that depend on one, have
+    depth -1.
+
+    Calls with one need are jumped over first, so a chain of n calls takes
+    log2(n) rounds (see :func:`jumps`). What is left are calls with several
+    needs, whose needs are then calls of that kind or calls that wait for
+    nothing; they are peeled, one round for each such call on the longest
+    chain.
+    """
+    spark = calls.sparkSession
+    ids = calls.where("conv_id is not null and call_id is not null").select(*KEY).distinct()
+    edges = uses.where("call_id <> needs").select(*KEY, "needs").distinct()
+    edges = edges.join(ids, KEY, "left_semi").join(ids.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi")
+    ids = materialise(ids.join(edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("needs").alias("one")), KEY, "left"), "calls-ids")
+    ends = jumps(ids.where("n = 1").select(*KEY, F.col("one").alias("to")))
+    forks = ids.where("n > 1").select(*KEY)
+    done = scratch(spark, "calls-depths")
+    ids.where("n is null").select(*KEY, F.lit(0).cast("long").alias("depth")).write.parquet(f"{done}/round=0")
+    if not forks.isEmpty():
+        # Needs of calls with several, by the end of the chain that each need is on.
+        over = ends.select("conv_id", F.col("call_id").alias("needs"), "to", "steps", "open")
+        wide = edges.join(forks, KEY, "left_semi").join(over, ["conv_id", "needs"], "left")
+        wide = wide.select(*KEY, F.coalesce("to", "needs").alias("needs"), F.coalesce("steps", F.lit(0)).alias("steps"), F.coalesce("open", F.lit(False)).alias("open"))
+        _peel(wide, done)
+    placed = spark.read.schema(ids.select(*KEY, F.lit(0).cast("long").alias("depth")).schema).parquet(f"{done}/*")
+    chained = ends.where("not open").join(placed.select("conv_id", F.col("call_id").alias("to"), "depth"), ["conv_id", "to"]).select(*KEY, (F.col("depth") + F.col("steps")).alias("depth"))
+    return ids.select(*KEY).join(placed.unionByName(chained), KEY, "left").select(*KEY, F.coalesce("depth", F.lit(-1)).alias("depth"))
+
+
+def jumps(pointers: DataFrame) -> DataFrame:
+    """(conv_id, call_id, to, steps, open): where chains of single needs end, by doubling.
+
+    ``pointers`` has conv_id, call_id and to, one row a call. In each round a
+    call whose ``to`` has a pointer of its own takes that one's end, so the
+    distance doubles. Rows that stay open for good are on a cycle or lead to
+    one: while any other row is open, each round closes some. The joined side
+    has one row a call, so no conversation is a hot key.
+    """
+    known = pointers.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("more"))
+    at = materialise(
+        pointers.join(known, ["conv_id", "to"], "left").select(*KEY, "to", F.lit(1).cast("long").alias("steps"), F.col("more").isNotNull().alias("open")), "calls-jumps"
+    )
+    n_open = at.where("open").count()
+    while n_open:
+        far = at.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"), F.col("open").alias("still"))
+        moved = at.where("open").join(far, ["conv_id", "to"]).select(*KEY, F.col("far").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("still").alias("open"))
+        nxt = materialise(at.where("not open").unionByName(moved), "calls-jumps")
+        drop_scratch(at)
+        at, before, n_open = nxt, n_open, nxt.where("open").count()
+        if n_open == before:
+            break
+    return at
+
+
+def _peel(wide: DataFrame, done: str) -> None:
+    """Place the calls of ``wide`` (conv_id, call_id, needs, steps, open) round by round, into folders below ``done``.
+
+    A call is placed when all its needs are, one above the largest of their
+    depth and the steps to them. Open needs are never placed.
     """
-    ids = materialise(calls.where("conv_id is not null and call_id is not null").select(*KEY).distinct(), "calls-ids")
-    known = ids.select("conv_id", F.col("call_id").alias("needs"))
-    edges = uses.where("call_id <> needs").select(*KEY, "needs").distinct().join(known, ["conv_id", "needs"], "left_semi")
-    edges = materialise(edges.select(*KEY, "needs", F.lit(None).cast("long").alias("d")), "calls-uses")
-    waiting = edges.select(*KEY).distinct()
-    fresh = materialise(ids.join(waiting, KEY, "left_anti").withColumn("depth", F.lit(0).cast("long")), "calls-placed")
-    placed = fresh
-    while not fresh.isEmpty():
+    spark, r = wide.sparkSession, 0
+    edges = materialise(wide.withColumn("d", F.lit(None).cast("long")), "calls-uses")
+    while True:
+        fresh = spark.read.parquet(f"{done}/round={r}")
         told = fresh.select("conv_id", F.col("call_id").alias("needs"), F.col("depth").alias("found"))
-        nxt = materialise(
-            edges.join(fresh, KEY, "left_anti").join(told, ["conv_id", "needs"], "left").select(*KEY, "needs", F.coalesce("d", "found").alias("d")), "calls-uses"
-        )
+        nxt = edges.join(told, ["conv_id", "needs"], "left").withColumn("d", F.coalesce("d", F.when(~F.col("open"), F.col("found") + F.col("steps"))))
+        nxt = materialise(nxt.join(fresh.select(*KEY), KEY, "left_anti").select(*KEY, "needs", "steps", "open", "d"), "calls-uses")
         drop_scratch(edges)
-        edges = nxt
+        edges, r = nxt, r + 1
         ready = edges.groupBy(*KEY).agg(F.max("d").alias("top"), F.count("*").alias("n"), F.count("d").alias("known")).where("n = known")
-        fresh = materialise(ready.select(*KEY, (F.col("top") + 1).alias("depth")), "calls-placed")
-        placed = placed.unionByName(fresh)
-    return ids.join(placed, KEY, "left").select(*KEY, F.coalesce("depth", F.lit(-1)).cast("long").alias("depth"))
+        ready.select(*KEY, (F.col("top") + 1).alias("depth")).write.parquet(f"{done}/round={r}")
+        if spark.read.schema("depth long").parquet(f"{done}/round={r}").isEmpty():
+            drop_scratch(edges)
+            return
+        release(spark)
 
 
 def quoted(text: Column) -> Column:
@@ -95,23 +148,49 @@ def quoted(text: Column) -> Column:
 
 
 def _typed(kind: Column, value: Column) -> Column:
+    """Whether a value's text is of a schema type; null is of none."""
     out = F.lit(False)
     for name, pattern in TYPE_PATTERNS.items():
         out = F.when(kind == name, value.rlike(pattern)).otherwise(out)
+    out = out & ((kind != "number") | (F.abs(value.try_cast("double")) < float("inf")))
+    for name in ("object", "array"):
+        out = F.when(kind == name, F.schema_of_variant(F.try_parse_json(value)).startswith(name.upper() + "<")).otherwise(out)
     return F.coalesce(value.isNotNull() & out, F.lit(False))
 
 
+def canonical(kind: Column, value: Column) -> Column:
+    """A well-typed value as JSON, one spelling a value.
+
+    Whole numbers below 10^15 have digits alone, other numbers the shortest
+    form of their double with a small e; objects have sorted keys and no
+    blanks. Integers beyond that keep their digits.
+    """
+    number = value.try_cast("double")
+    short = F.lower(F.regexp_replace(number.cast("string"), r"\.0(E|$)", "$1"))
+    plain = F.when((F.abs(number) < 1e15) & (number == F.floor(number)), number.cast("long").cast("string")).otherwise(short)
+    return (
+        F.when(kind == "number", plain)
+        .when((kind == "integer") & (value == "-0"), F.lit("0"))
+        .when(kind.isin("object", "array"), F.to_json(F.try_parse_json(value)))
+        .when(kind.isin("integer", "boolean"), value)
+        .otherwise(quoted(value))
+    )
+
+
 def check(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """``calls`` with problems, a sorted array of texts, and args_json.
 
-    ``tools`` has name, arg, type (integer, number, boolean or string) and
-    required. Problems are ``unknown tool``, ``unknown: arg``, ``missing: arg``
-    (required, and absent or null) and ``type: arg``. A null map has no
-    arguments. Well-typed numbers and booleans are written as such, all else
-    as strings.
+    ``tools`` has name, arg, type (integer, number, boolean, string, object or
+    array), required and, if there is such a column, allowed (an array of the
+    values that may come, null for any). Problems are ``unknown tool``,
+    ``unknown: arg``, ``missing: arg`` (required, and absent or null),
+    ``type: arg`` and ``value: arg`` (well-typed, but not allowed). A null map
+    has no arguments. Well-typed values are written as :func:`canonical`
+    says, all else as strings.
     """
-    schemas = tools.groupBy("name").agg(
-        F.map_from_entries(F.sort_array(F.collect_set(F.struct("arg", F.struct("type", "required"))))).alias("schema")
+    allowed = F.col("allowed") if "allowed" in tools.columns else F.lit(None).cast("array<string>").alias("allowed")
+    schemas = tools.select("name", "arg", "type", "required", allowed).groupBy("name").agg(
+        F.map_from_entries(F.sort_array(F.collect_set(F.struct("arg", F.struct("type", "required", "allowed"))))).alias("schema")
     )
     args = F.coalesce("arguments", F.expr("map_from_arrays(array(), array())").cast("map<string,string>"))
     rows = calls.join(F.broadcast(schemas) if schemas.count() <= BROADCAST_TOOLS else schemas, "name", "left").withColumn("__args", args)
@@ -121,16 +200,20 @@ def check(calls: DataFrame, tools: DataFrame) -> DataFrame:
         F.filter(entries, lambda e: F.map_contains_key(schema, e["key"]) & e["value"].isNotNull() & ~_typed(schema[e["key"]]["type"], e["value"])),
         lambda e: F.concat(F.lit("type: "), e["key"]),
     )
+    barred = F.transform(
+        F.filter(entries, lambda e: F.map_contains_key(schema, e["key"]) & _typed(schema[e["key"]]["type"], e["value"]) & ~F.array_contains(schema[e["key"]]["allowed"], e["value"])),
+        lambda e: F.concat(F.lit("value: "), e["key"]),
+    )
     missing = F.transform(
         F.filter(F.map_entries(schema), lambda e: e["value"]["required"] & F.element_at(F.col("__args"), e["key"]).isNull()),
         lambda e: F.concat(F.lit("missing: "), e["key"]),
     )
-    problems = F.when(schema.isNull(), F.array(F.lit("unknown tool"))).otherwise(F.array_sort(F.concat(unknown, missing, wrong)))
+    problems = F.when(schema.isNull(), F.array(F.lit("unknown tool"))).otherwise(F.array_sort(F.concat(unknown, missing, wrong, barred)))
 
     def one(e: Column) -> Column:
         kind = F.coalesce(F.when(schema.isNotNull(), F.element_at(schema, e["key"])["type"]), F.lit("string"))
-        raw = kind.isin("integer", "number", "boolean") & _typed(kind, e["value"])
-        return F.concat(quoted(e["key"]), F.lit(":"), F.when(e["value"].isNull(), F.lit("null")).when(raw, e["value"]).otherwise(quoted(e["value"])))
+        said = F.when(e["value"].isNull(), F.lit("null")).when(_typed(kind, e["value"]), canonical(kind, e["value"])).otherwise(quoted(e["value"]))
+        return F.concat(quoted(e["key"]), F.lit(":"), said)
 
     as_json = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), one), ","), F.lit("}"))
     return rows.withColumn("problems", problems).withColumn("args_json", as_json).drop("schema", "__args")
@@ -175,7 +258,8 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     """(calls, results, uses) of plain conversations (conv_id, turn, role, text).
 
     A user's turn is a call named by its length, whose result is the
-    assistant's next turn, and which builds on the user's turn before.
+    assistant's next turn, and which builds on the user's turn before. Turns
+    of other roles are neither and make no row.
     """
     user, assistant = turns.where("role = 'user'"), turns.where("role = 'assistant'")
     ident = lambda back: F.concat(F.lit("t"), (F.col("turn") - back).cast("string"))

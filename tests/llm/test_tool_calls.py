@@ -1,8 +1,9 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from scoreloom.llm.tool_calls import depths, tool_calls
+from scoreloom.llm.tool_calls import check, depths, tool_calls
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments map<string,string>, status string"
 RESULTS = "conv_id long, call_id string, turn long, content string, extra int"
@@ -68,5 +69,43 @@ def test_depths_of_chains_diamonds_and_cycles(spark):
     assert [d[3, x] for x in ("x", "y", "z", "free")] == [-1, -1, -1, 0]
 
 
+def test_depths_of_random_graphs_and_a_long_chain_in_a_hot_conversation(spark):
+    rng = random.Random(4)
+    edges = [(7, f"n{i}", f"n{i - 1}") for i in range(1, 500)]  # a third of all rows
+    for c in range(20, 60):
+        n = rng.randrange(2, 14)
+        for i in range(n):
+            for _ in range(rng.choice([0, 1, 1, 1, 2, 3])):
+                # Mostly backwards; now and then forwards, which may close a cycle.
+                j = rng.randrange(i) if i and rng.random() < 0.93 else rng.randrange(n)
+                edges.append((c, f"n{i}", f"n{j}"))
+    edges += edges[600:620] + [(30, "n0", "unknown"), (31, None, "n1"), (31, "n1", None), (None, "n1", "n2")]
+    ids = sorted({(c, v) for c, a, b in edges for v in (a, b) if c and v and v != "unknown"})
+    got = depths(spark.createDataFrame(ids + ids[:5], "conv_id long, call_id string"), spark.createDataFrame(edges, "conv_id long, call_id string, needs string")).collect()
+    needs = {k: {(c, b) for c, a, b in edges if (c, a) == k and b != a and (c, b) in set(ids)} for k in ids}
+    want = {}
+    while True:
+        ready = {k: max((want[n] + 1 for n in needs[k]), default=0) for k in ids if k not in want and needs[k] <= want.keys()}
+        if not ready:
+            break
+        want.update(ready)
+    assert len(got) == len(ids) and want[7, "n499"] == 499
+    assert {(r.conv_id, r.call_id): r.depth for r in got} == {k: want.get(k, -1) for k in ids}
+    assert any(k not in want for k in ids)
+
+
+def test_canonical_values(spark):
+    cases = [("number", "1.50", "1.5"), ("number", "1e5", "100000"), ("number", "-0", "0"), ("number", "1.5E-9", "1.5e-9"), ("number", "1e999", '"1e999"'), ("integer", "-0", "0"), ("integer", "12345678901234567890", "12345678901234567890"),
+             ("object", '{"b": [1, 2], "a": {"d": null, "c": "x"}}', '{"a":{"c":"x","d":null},"b":[1,2]}'), ("array", "[ 1 , {} ]", "[1,{}]"), ("object", "[1]", '"[1]"'), ("array", "nope", '"nope"'), ("boolean", "true", "true"), ("string", "é", '"é"')]
+    tools = [(f"t{i}", "x", kind, True, ["1e5", "true"] if kind in ("number", "boolean") else None) for i, (kind, _, _) in enumerate(cases)]
+    calls = spark.createDataFrame([(1, f"c{i}", i, f"t{i}", {"x": v}) for i, (_, v, _) in enumerate(cases)], "conv_id long, call_id string, turn long, name string, arguments map<string,string>")
+    got = {r.turn: r for r in check(calls, spark.createDataFrame(tools, "name string, arg string, type string, required boolean, allowed array<string>")).collect()}
+    for i, (kind, v, want) in enumerate(cases):
+        assert got[i].args_json == '{"x":' + want + "}", (kind, v, got[i].args_json)
+        wrong = want.startswith('"') and kind != "string"
+        barred = not wrong and kind in ("number", "boolean") and v not in ("1e5", "true")
+        assert got[i].problems == (["type: x"] if wrong else ["value: x"] if barred else [])
+
+
 def test_empty(spark):
     assert run(spark, [], [], []).where(F.col("json").isNotNull()).count() == 0
