@@ -1,11 +1,15 @@
 """Quality by compression: how much better the dictionary of good text fits than that of bad text.
 
 Two zstandard dictionaries are built from labelled good and bad texts. A text
-is compressed piece by piece with each; the difference of the two sizes, in
-bytes a byte of text, says which side it resembles. A logistic curve, fitted
-on labelled texts that made no dictionary, turns it into a probability. The
-curve also sees the size without any dictionary, because text that repeats
-itself compresses to almost nothing under either.
+is compressed piece by piece with each, and once without any. Its score rests
+on one number, the normalised difference of the two sizes,
+
+    (bytes with the bad one - bytes with the good one) * plain bytes / bytes of text ** 2,
+
+which is the difference a byte of text, less where the text repeats itself:
+what a text says again compresses to nothing under either dictionary and
+speaks for none. A rising curve, fitted on labelled texts that made no
+dictionary, turns the number into a probability.
 """
 
 from __future__ import annotations
@@ -20,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from scoreloom.llm.common import held_out
-from scoreloom.llm.labelled import bounded, class_sizes, fold, sigmoid, training_labels, with_texts
+from scoreloom.llm.common import fresh, held_out, slices
+from scoreloom.llm.labelled import bounded, class_sizes, fold, training_labels, with_texts
 
-#: Bounds of the training sample: documents a class for the dictionaries and for the curve, and the longest text in it.
+#: Bounds of the training sample: documents a class for the dictionaries and for the curve, and the
+#: pieces that a text gives to a dictionary, spread over the whole of it: 64 MB a class at most.
 DICTIONARY_DOCS = 2_000
 CURVE_DOCS = 3_000
-SAMPLE_CHARS = 60_000
-DICTIONARY_BYTES = 112_640
+DICTIONARY_PIECES = 16
+DICTIONARY_BYTES = 500_000
 #: Texts are compressed in pieces of this many bytes, so that what a long text repeats doesn't drown the dictionary.
 PIECE_BYTES = 2_048
 LEVEL = 3
@@ -49,9 +54,21 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return _made[dictionary]
 
 
-def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary of texts; their bytes as they are where there are too few to train one."""
-    pieces = [t[i : i + PIECE_BYTES] for t in texts for i in range(0, len(t), PIECE_BYTES)]
+def encoded(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+def cut(raw: bytes) -> list[bytes]:
+    return [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
+
+
+def spread(pieces: list[bytes], n: int = DICTIONARY_PIECES) -> list[bytes]:
+    """At most n pieces, evenly from first to last."""
+    return pieces if len(pieces) <= n else [pieces[i * (len(pieces) - 1) // (n - 1)] for i in range(n)]
+
+
+def build_dictionary(pieces: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A zstandard dictionary of pieces of text; their bytes as they are where there are too few to train one."""
     total = sum(map(len, pieces))
     if total == 0:
         return b""
@@ -63,82 +80,99 @@ def build_dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
 
 def sizes(text: str | None, good: bytes, bad: bytes) -> tuple[float, float, float]:
     """Compressed bytes a byte of text with the good, the bad and no dictionary; slightly damped for tiny texts."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    pieces = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
+    raw = encoded(text)
     n = len(raw) + 32
-    return tuple(sum(len(c.compress(p)) for p in pieces) / n for c in (_compressor(good), _compressor(bad), _compressor(b"")))
+    return tuple(sum(len(c.compress(p)) for p in cut(raw)) / n for c in (_compressor(good), _compressor(bad), _compressor(b"")))
 
 
-def design(s: np.ndarray) -> np.ndarray:
-    """Columns of the curve from sizes (good, bad, plain): the normalised difference, and plain with its square."""
-    diff = (s[:, 1] - s[:, 0]) / np.maximum(s[:, 2], 1e-3)
-    return np.column_stack([np.ones(len(s)), diff, s[:, 1] - s[:, 0], s[:, 2], s[:, 2] ** 2, diff * s[:, 2]])
+def difference(s: np.ndarray) -> np.ndarray:
+    """The normalised difference, from rows of sizes (good, bad, plain)."""
+    return (s[:, 1] - s[:, 0]) * s[:, 2]
 
 
 @dataclass(frozen=True)
 class Model:
+    """The dictionaries, and the curve: probabilities at rising differences, straight lines between them."""
+
     good: bytes
     bad: bytes
-    curve: np.ndarray
-    centre: np.ndarray
-    scale: np.ndarray
+    at: np.ndarray
+    probability: np.ndarray
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        x = (design(np.array([sizes(t, self.good, self.bad) for t in texts])) - self.centre) / self.scale
-        return sigmoid(x @ self.curve)
-
-
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weighted logistic regression by Newton steps; the first column is the constant and isn't shrunk."""
-    beta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge * len(y))
-    penalty[0] = 1e-9
-    for _ in range(50):
-        p = sigmoid(x @ beta)
-        grad = x.T @ (weight * (p - y)) + penalty * beta
-        hess = (x.T * (weight * p * (1 - p) + 1e-9)) @ x + np.diag(penalty)
-        step = np.linalg.solve(hess, grad)
-        beta -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
+        return np.interp(difference(np.array([sizes(t, self.good, self.bad) for t in texts])), self.at, self.probability)
+
+
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points (x, probability) of a rising curve: the steps nearest to y in weighted squares, joined up.
+
+    Steps come from pooling adjacent violators. Each counts one more
+    observation of the overall share, so that none says 0 or 1 and a step of
+    few says little. A step rises by a tenth of the way to its neighbours
+    from its first x to its last, so that texts on one step keep their order.
+    """
+    blocks: list[list[float]] = []
+    for v in np.unique(x):
+        same = x == v
+        blocks.append([v, v, float((weight * y)[same].sum()), float(weight[same].sum())])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, hi, sy, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0], hi, blocks[-1][2] + sy, blocks[-1][3] + n]
+    share = float((weight * y).sum() / weight.sum())
+    lo, hi, sy, n = np.array(blocks).T
+    p = np.maximum.accumulate((sy + share) / (n + 1))
+    around = np.concatenate([[0.0], p, [1.0]])
+    at = np.column_stack([lo, hi]).reshape(-1)
+    value = np.column_stack([p - (p - around[:-2]) / 10, p + (around[2:] - p) / 10]).reshape(-1)
+    value[::2][lo == hi] = value[1::2][lo == hi] = p[lo == hi]
+    at, first = np.unique(at, return_index=True)
+    return at, value[first]
 
 
 def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     """Build the dictionaries and the curve from a bounded sample of ``docs`` and ``labels`` (doc_id, quality).
 
     Folds 1 and 2 of the labelled rows make dictionaries, folds 3 and 4 the
-    curve, where each class is weighted back to its share. Where a class has
-    no texts, the model says the share of label 1 (1 if there is no label).
+    curve, where each class is weighted back to its share. Pieces of the
+    first and sizes of the second reach the driver. Where a class has no
+    texts, the model says the share of label 1 (1 if there is no label).
     """
+    spark = docs.sparkSession
     known = training_labels(labels, "quality").withColumn("dictionary", fold() <= 2).persist()
     share = class_sizes(known)
-    ids = None
-    for label in (0, 1):
-        for dictionary, n in ((True, DICTIONARY_DOCS), (False, CURVE_DOCS)):
-            part = bounded(known.where((F.col("label") == label) & (F.col("dictionary") == dictionary)), n, seed)
-            ids = part if ids is None else ids.unionByName(part)
-    usable = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    got = with_texts(usable, ids).select("label", "dictionary", "text").toArrow().to_pylist()
+
+    def sample(dictionary: bool, n: int) -> DataFrame:
+        mine = known.where(F.col("dictionary") == dictionary)
+        ids = bounded(mine.where("label = 0"), n, seed).unionByName(bounded(mine.where("label = 1"), n, seed))
+        return with_texts(docs, ids).select("label", "text")
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = [spread(cut(encoded(t))) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["label"], pa.array(rows, pa.list_(pa.binary()))], ["label", "pieces"])
+
+    told = sample(True, DICTIONARY_DOCS).mapInArrow(pieces, "label int, pieces array<binary>").toArrow()
+    rows = sorted(zip(told["label"].to_pylist(), told["pieces"].to_pylist()))  # whatever order they came in
+    good, bad = (build_dictionary([p for label, ps in rows if label == k for p in ps]) for k in (1, 0))
+    sent = spark.sparkContext.broadcast((good, bad))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            d = difference(np.array([sizes(t, *sent.value) for t in b["text"].to_pylist()]).reshape(-1, 3))
+            yield pa.RecordBatch.from_arrays([b["label"], pa.array(d, pa.float64())], ["label", "difference"])
+
+    got = sample(False, CURVE_DOCS).mapInArrow(measure, "label int, difference double").toArrow()
     known.unpersist()
-    got.sort(key=lambda r: (r["label"], r["text"]))
-    texts = {k: [r["text"].encode("utf-8", "surrogatepass") for r in got if r["dictionary"] and r["label"] == k] for k in (0, 1)}
-    good, bad = build_dictionary(texts[1]), build_dictionary(texts[0])
-    rows = [r for r in got if not r["dictionary"]]
-    y = np.array([r["label"] for r in rows], float)
-    width = design(np.ones((1, 3))).shape[1]
-    centre, scale = np.zeros(width), np.ones(width)
+    sent.destroy()
+    x, y = got["difference"].to_numpy(), got["label"].to_numpy().astype(float)
     total = share.get(0, 0) + share.get(1, 0)
     if len(set(y)) < 2 or not good or not bad:
         p = min(max(share.get(1, 0) / total if total else 1.0, 1e-6), 1 - 1e-6)
-        return Model(good, bad, np.append(np.log(p / (1 - p)), np.zeros(width - 1)), centre, scale)
-    x = design(np.array([sizes(r["text"], good, bad) for r in rows]))
-    centre[1:] = x[:, 1:].mean(axis=0)
-    scale[1:] = x[:, 1:].std(axis=0) + 1e-9
+        return Model(good, bad, np.zeros(1), np.full(1, p))
     weight = np.where(y == 1, share[1] / total / (y == 1).mean(), share[0] / total / (y == 0).mean())
-    return Model(good, bad, fit_curve((x - centre) / scale, y, weight), centre, scale)
+    return Model(good, bad, *fit_curve(x, y, weight))
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -146,7 +180,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = pa.array(sent.value.scores(b["text"].to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, s], [*b.schema.names, name])
 
@@ -167,5 +201,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, seed: in
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold, columns unchanged."""
-    name = "__quality"
+    name = fresh(docs.columns, "quality")
     return score(docs, train(docs, labels, seed), name).where(F.col(name) >= threshold).drop(name)
