@@ -113,22 +113,25 @@ def mix(
     within the leaf's budget. Null levels are levels of their own, named
     ``(none)``; null and empty texts have no tokens and ride along in order.
     Repeated ids tie in the order and are taken or left by their text, then
-    row hash. An empty table gives an empty mixture.
+    a hash of the row. An empty table gives an empty mixture.
     """
     base = docs.drop("domain", "epoch", "tokens", "leaf_budget")
     none = F.lit("(none)")
+    # The row as it came is one column, so no name of its own clashes with one made here.
     rows = base.select(
-        "*",
+        F.struct(*base.columns).alias("row"),
+        "doc_id",
+        "text",
         F.coalesce(domain.cast("string"), none).alias("domain"),
-        F.coalesce(F.col("lang").cast("string"), none).alias("__lang"),
-        F.coalesce(F.col("source").cast("string"), none).alias("__source"),
+        F.coalesce(F.col("lang").cast("string"), none).alias("lang"),
+        F.coalesce(F.col("source").cast("string"), none).alias("source"),
         n_words().alias("tokens"),
     )
-    leaf = ["domain", "__lang", "__source"]
-    turns = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("__order", order_hash(seed, F.col("epoch")))
-    turns = turns.withColumn("__slice", F.shiftright("__order", 32 - SLICE_BITS))
+    leaf = ["domain", "lang", "source"]
+    turns = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("order", order_hash(seed, F.col("epoch")))
+    turns = turns.withColumn("slice", F.shiftright("order", 32 - SLICE_BITS))
     slices = materialise(
-        turns.groupBy(*leaf, "epoch", "__slice").agg(F.sum("tokens").alias("slice_tokens")), "mix-slices"
+        turns.groupBy(*leaf, "epoch", "slice").agg(F.sum("tokens").alias("slice_tokens")), "mix-slices"
     )
     leaves = (
         slices.where("epoch = 1")
@@ -138,28 +141,29 @@ def mix(
     )
     total = share * (leaves.agg(F.sum("tokens")).first()[0] or 0)
     budgets = leaf_budgets(leaves, weights or {}, total, epochs).select(
-        "domain", F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.floor(F.col("budget") + 1e-6).alias("leaf_budget")
+        "domain", "lang", "source", F.floor(F.col("budget") + 1e-6).alias("leaf_budget")
     )
-    before = F.sum("slice_tokens").over(W.partitionBy(*leaf).orderBy("epoch", "__slice").rowsBetween(W.unboundedPreceding, -1))
-    placed = slices.withColumn("__before", F.coalesce(before, F.lit(0))).join(budgets, leaf)
+    before = F.sum("slice_tokens").over(W.partitionBy(*leaf).orderBy("epoch", "slice").rowsBetween(W.unboundedPreceding, -1))
+    placed = slices.withColumn("before", F.coalesce(before, F.lit(0))).join(budgets, leaf)
     # Of each leaf: the slice the budget ends in, if it ends before the last, and how much comes before it.
     ends = materialise(
         placed.groupBy(*leaf, "leaf_budget").agg(
             F.min(
-                F.when(F.col("__before") + F.col("slice_tokens") > F.col("leaf_budget"), F.struct("epoch", "__slice", "__before"))
+                F.when(F.col("before") + F.col("slice_tokens") > F.col("leaf_budget"), F.struct("epoch", "slice", "before"))
             ).alias("end")
         ),
         "mix-ends",
     )
     few = ends.count() <= BROADCAST_LEAVES
     known = turns.join(F.broadcast(ends) if few else ends, leaf)
-    here = F.struct(F.col("epoch"), F.col("__slice"))
-    stop = F.struct(F.col("end.epoch").alias("epoch"), F.col("end.__slice").alias("__slice"))
+    here = F.struct(F.col("epoch"), F.col("slice"))
+    stop = F.struct("end.epoch", "end.slice")
     whole = known.where(F.col("end").isNull() | (here < stop))
     last = known.where(here == stop)
-    by = W.partitionBy(*leaf).orderBy("__order", "doc_id", "text").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = last.withColumn("__running", F.col("end.__before") + F.sum("tokens").over(by)).where("__running <= leaf_budget")
-    names = [*base.columns, "domain", "epoch", "tokens", "leaf_budget"]
+    rest = F.xxhash64(*(f"row.`{c}`" for c, kind in base.dtypes if "map<" not in kind and "variant" not in kind))
+    by = W.partitionBy(*leaf).orderBy("order", "doc_id", "text", rest).rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = last.withColumn("running", F.col("end.before") + F.sum("tokens").over(by)).where("running <= leaf_budget")
+    names = ["row.*", "domain", "epoch", "tokens", "leaf_budget"]
     return whole.select(*names).unionByName(last.select(*names))
 
 

@@ -86,6 +86,15 @@ def test_prefixes_of_seeded_epochs(spark):
     assert sum(r.tokens for r in got) <= 1.2 * sum(n.values())
 
 
+def test_clashing_names(spark):
+    names = ["__lang", "__slice", "order", "slice", "before", "end", "row", "running", "LANG_", "slice_tokens", "usable"]
+    docs = spark.createDataFrame([(i, "a b c", "en", "s", *[f"{n}{i}" for n in names], {"k": i}) for i in range(60)] * 2, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names) + ", extra map<string,long>")
+    out = mix(docs, F.lit("d"), 0.5, epochs=1)
+    assert out.columns == [*docs.columns, "domain", "epoch", "tokens", "leaf_budget"]
+    rows = out.collect()
+    assert len(rows) == 60 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, lang string, source string"
     docs = spark.createDataFrame([(None, None, None, None), (1, "", "en", "a"), (2, "a b", "en", "a"), (2, "a b", "en", "a")], schema)
