@@ -33,9 +33,9 @@ NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_BYTES = 100
 DICTIONARY_BYTES = 64 * 1024
-#: Bounds of the dictionary's sample: pages, and characters of a page.
+#: Bounds of the dictionary's sample: pages, and bytes of all of them.
 SAMPLE_PAGES = 1_000
-SAMPLE_CHARS = 60_000
+SAMPLE_BYTES = 4_000_000
 #: First copies up to which they are broadcast: at some 100 bytes each, 10 MB.
 BROADCAST_FIRSTS = 100_000
 
@@ -176,14 +176,18 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 def _dictionary(pages: DataFrame, seed: int = 3) -> bytes:
     """A dictionary from a bounded sample of payloads; empty where there is nothing to learn from."""
-    rows = (
-        pages.where(F.length("html").between(1, SAMPLE_CHARS))
-        .select("html", F.xxhash64(F.lit(seed), F.col("page_id").cast("string")).alias("k"))
-        .orderBy("k", F.length("html"))
-        .limit(SAMPLE_PAGES)
-        .collect()
-    )
-    texts = [r["html"].encode("utf-8", "surrogatepass") for r in rows]
+    keyed = pages.select("html", F.octet_length("html").alias("n"), F.xxhash64(F.lit(seed), F.col("page_id").cast("string")).alias("k")).where("n > 0")
+    # Lengths first: no text is sent that isn't learnt from.
+    size, last = 0, None
+    for r in keyed.select("k", "n").orderBy("k", "n").limit(SAMPLE_PAGES).collect():
+        size += r["n"]
+        if size > SAMPLE_BYTES:
+            break
+        last = r["k"], r["n"]
+    if last is None:
+        return b""
+    rows = keyed.where(F.struct("k", "n") <= F.struct(F.lit(last[0]), F.lit(last[1]))).select("k", "html").limit(SAMPLE_PAGES).collect()
+    texts = [r["html"].encode("utf-8", "surrogatepass") for r in sorted(rows)]
     total = sum(map(len, texts))
     if not total:
         return b""
