@@ -23,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.llm.common import drop_scratch, materialise
+from scoreloom.llm.common import materialise, slices
 
 HUGE_CHARS = 60_000
 CHUNK_CHARS = 30_000
 OVERLAP_CHARS = 400
 MARGIN_CHARS = 64
 TOKEN_LIMIT = 512
-CACHE_WORDS = 1_000_000
+#: Words whose tokens a worker keeps; a full cache starts afresh.
+CACHE_WORDS = 100_000
 
 _loaded: dict[str, tuple] = {}
 
@@ -134,7 +135,8 @@ def _chunk_counts(docs: DataFrame, path: str, chunk: int, overlap: int, margin:
         # A chunk whose core the chunk before already covers to the end is not needed.
         .where((F.col("no") == 0) | (F.col("no") * core + overlap < F.col("chars")))
         .drop("chars")
-        .repartition("doc_key", "no")
+        # By a number, which adaptive execution leaves alone: a chunk is little data and much work.
+        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_key", "no")
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +159,9 @@ def _chunk_counts(docs: DataFrame, path: str, chunk: int, overlap: int, margin:
     def join_up(rows):
         rows = rows.sort_values("no")
         n = splice(rows.to_dict("records"))
-        return rows.head(1)[["doc_key"]].assign(n_tokens=n).astype({"n_tokens": "Int64"})
+        return rows.head(1)[["doc_key"]].assign(n_tokens=n, n_chunks=len(rows)).astype({"n_tokens": "Int64"})
 
-    return told.groupBy("doc_key").applyInPandas(join_up, "doc_key string, n_tokens long")
+    return told.groupBy("doc_key").applyInPandas(join_up, "doc_key string, n_tokens long, n_chunks int")
 
 
 def token_counts(
@@ -182,14 +184,12 @@ def token_counts(
     short = src.where(F.length("text") <= huge)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 256):
-                part = b.slice(s, 256)
-                n = whole_counts(part["text"].to_pylist(), path)
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["n_bytes"], pa.array(n, pa.int64()), pa.array([1] * len(n), pa.int32())],
-                    ["doc_id", "n_bytes", "n_tokens", "n_chunks"],
-                )
+        for part in slices(batches):
+            n = whole_counts(part["text"].to_pylist(), path)
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], part["n_bytes"], pa.array(n, pa.int64()), pa.array([1] * len(n), pa.int32())],
+                ["doc_id", "n_bytes", "n_tokens", "n_chunks"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = short.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text").mapInArrow(
@@ -201,7 +201,7 @@ def token_counts(
     done = []
     while True:
         got = materialise(_chunk_counts(pending, path, chunk, overlap, margin), "token-chunks")
-        done.append(got.where("n_tokens is not null").withColumn("overlap", F.lit(overlap)))
+        done.append(got.where("n_tokens is not null"))
         failed = got.where("n_tokens is null").select("doc_key")
         if failed.isEmpty():
             break
@@ -212,7 +212,7 @@ def token_counts(
     known = done[0]
     for d in done[1:]:
         known = known.unionByName(d)
-    spliced = huge_docs.select("doc_id", "doc_key", F.octet_length("text").cast("long").alias("n_bytes"), F.length("text").alias("chars")).join(
-        known, "doc_key"
-    ).select("doc_id", "n_bytes", "n_tokens", F.ceil(F.col("chars") / chunk).cast("int").alias("n_chunks"))
+    spliced = huge_docs.select("doc_id", "doc_key", F.octet_length("text").cast("long").alias("n_bytes")).join(known, "doc_key").select(
+        "doc_id", "n_bytes", "n_tokens", "n_chunks"
+    )
     return counted.unionByName(spliced).withColumn("over_limit", F.col("n_tokens") > limit)
