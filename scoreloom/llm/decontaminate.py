@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.common import slices
 from scoreloom.llm.words import shingle_hashes, word_hashes, words
 
 SHINGLE = 5
@@ -249,7 +250,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float
         index = spark.sparkContext.broadcast(Index(items[i : i + ITEMS_PER_BLOCK], weights, rare, k))
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 rows = [(d, *m) for d, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()) for m in index.value.matches(t, least)]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32())
                 names = ["doc_id", "item_id", "similarity", "start_word", "n_words", "n_windows"]
@@ -270,7 +271,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least
         index = spark.sparkContext.broadcast(Index(items[i : i + ITEMS_PER_BLOCK], weights, rare, k))
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not index.value.matches(t, least) for t in b["text"].to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.llm.common import connected_components, drop_scratch, materialise, release
+from scoreloom.llm.common import connected_components, drop_scratch, fresh, materialise, release, slices
 from scoreloom.llm.words import common, digest, shingle_set
 
 #: Counters of the frequency sketch, and the parts in which it is summed.
@@ -81,7 +81,7 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.uint32)
-        for b in batches:
+        for b in slices(batches):
             for t in b["text"].to_pylist():
                 total[shingle_set(t, k) >> np.uint64(64 - SKETCH_BITS)] += 1
         press = zstandard.ZstdCompressor(level=1).compress
@@ -150,7 +150,7 @@ def choose_boundary(docs: DataFrame, k: int, t: int, levels: Broadcast) -> int:
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, longs = [], []
-        for b in batches:
+        for b in slices(batches):
             for text in b["text"].to_pylist():
                 s, _ = ordered(shingle_set(text, k), levels.value)
                 head = s[: most_missing(len(s), t) + 1]
@@ -193,22 +193,20 @@ def shingle_rows(docs: DataFrame, k: int, t: int, levels: Broadcast, boundary: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                size, fp, info, found, outlines = [], [], [], [], []
-                for text in b["text"].to_pylist():
-                    s = shingle_set(text, k)
-                    size.append(len(s))
-                    fp.append(digest(s) if len(s) else None)
-                    outlines.append(outline(s))
-                    s, mean = ordered(s, levels.value)
-                    info.append(round(mean * 1000) << SIZE_BITS | len(s))
-                    found.append(keys(s, t, boundary).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"], pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(info, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(outlines, pa.binary())],
-                    ["doc_id", "n_shingles", "fp", "info", "keys", "outline"],
-                )
+        for b in slices(batches, 128):
+            size, fp, info, found, outlines = [], [], [], [], []
+            for text in b["text"].to_pylist():
+                s = shingle_set(text, k)
+                size.append(len(s))
+                fp.append(digest(s) if len(s) else None)
+                outlines.append(outline(s))
+                s, mean = ordered(s, levels.value)
+                info.append(round(mean * 1000) << SIZE_BITS | len(s))
+                found.append(keys(s, t, boundary).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b["doc_id"], pa.array(size, pa.int64()), pa.array(fp, pa.binary()), pa.array(info, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(outlines, pa.binary())],
+                ["doc_id", "n_shingles", "fp", "info", "keys", "outline"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp binary, info long, keys array<long>, outline binary")
 
@@ -238,7 +236,7 @@ def _plausible(pairs: DataFrame, outlines: DataFrame, t: int) -> DataFrame:
     right = outlines.select(F.col("id").alias("b"), F.col("outline").alias("ob"), F.col("n").alias("nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = [may_link(*r, t) for r in zip(*(b[c].to_pylist() for c in ("oa", "ob", "na", "nb")))]
             yield b.select(["a", "b", "star"]).filter(pa.array(ok, pa.bool_()))
 
@@ -261,25 +259,23 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int, t: int, levels: Broadcas
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                both, linked, rest = [], [], []
-                for a, star, text_a, text_b in zip(b["a"].to_pylist(), b["star"].to_pylist(), b["text_a"].to_pylist(), b["text_b"].to_pylist()):
-                    if a not in held:
-                        if len(held) >= 16:
-                            held.clear()
-                        held[a] = shingle_set(text_a, k)
-                    mine, other = held[a], shingle_set(text_b, k)
-                    n = common(mine, other)
-                    union = len(mine) + len(other) - n
-                    both.append(n)
-                    linked.append(union > 0 and 100 * n >= t * union)
-                    outside = np.setdiff1d(other, mine, assume_unique=True) if star else other[:0]
-                    rest.append(ordered(outside, levels.value)[0][: most_missing(len(other), t) + 1].view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [b["a"], b["b"], pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "both", "linked", "rest"]
-                )
+        for b in slices(batches, 64):
+            both, linked, rest = [], [], []
+            for a, star, text_a, text_b in zip(b["a"].to_pylist(), b["star"].to_pylist(), b["text_a"].to_pylist(), b["text_b"].to_pylist()):
+                if a not in held:
+                    if len(held) >= 16:
+                        held.clear()
+                    held[a] = shingle_set(text_a, k)
+                mine, other = held[a], shingle_set(text_b, k)
+                n = common(mine, other)
+                union = len(mine) + len(other) - n
+                both.append(n)
+                linked.append(union > 0 and 100 * n >= t * union)
+                outside = np.setdiff1d(other, mine, assume_unique=True) if star else other[:0]
+                rest.append(ordered(outside, levels.value)[0][: most_missing(len(other), t) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b["a"], b["b"], pa.array(both, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "both", "linked", "rest"]
+            )
 
     return pairs.select("a", "b", "star").join(right, "b").join(left, "a").select("a", "b", "star", "text_a", "text_b").mapInArrow(
         run, "a long, b long, both long, linked boolean, rest array<long>"
@@ -329,16 +325,17 @@ def _numbers_suffice(mixed: DataFrame, tested: DataFrame, t: int) -> DataFrame:
 
     Such a pair needs as much in common with the leader as a link needs in
     all. One of the two is then smaller than the leader, or it would have
-    linked with the leader itself.
+    linked with the leader itself; and one is outside the list's main
+    component, so the join visits at most twice the pairs across.
     """
     own = tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), "both")
     rows = mixed.join(own, ["leader", "id"], "left").withColumn("both", F.when(F.col("id") == F.col("leader"), F.col("n")).otherwise(F.coalesce("both", F.lit(0))))
-    rows = materialise(rows.where(100 * F.col("both") >= t * F.col("n")).select("x", "id", "n", "comp", "both", "leader_n"), "jaccard-near")
-    small = rows.where("n < leader_n").select("x", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("both").alias("both2"))
+    rows = materialise(rows.where(100 * F.col("both") >= t * F.col("n")).select("x", "id", "n", "comp", "main", "both", "leader_n"), "jaccard-near")
+    other = rows.where("comp <> main").select("x", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("both").alias("both2"))
     enough = t * (F.col("n") + F.col("n2")) <= (100 + t) * F.least("both", "both2")
     return (
-        rows.join(small, "x")
-        .where((F.col("comp") != F.col("comp2")) & enough)
+        rows.join(other, "x")
+        .where((F.col("comp") != F.col("comp2")) & (F.least("n", "n2") < F.col("leader_n")) & enough)
         .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
     )
 
@@ -492,5 +489,6 @@ def keep_one(docs: DataFrame, k: int = 5, t: int = 80) -> DataFrame:
         return kept
     again = F.broadcast(again) if n <= BROADCAST_IDS else again
     first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    one = kept.join(again, "doc_id", "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*docs.columns)
+    row = fresh(docs.columns, "row")
+    one = kept.join(again, "doc_id", "left_semi").withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).select(*docs.columns)
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)

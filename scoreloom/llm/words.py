@@ -12,7 +12,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
 
-CACHE_WORDS = 1_000_000
+#: Words whose hash a worker keeps: some 15 MB. A full cache starts afresh, which costs a hash for each word in use.
+CACHE_WORDS = 100_000
 _hashes: dict[bytes, int] = {}
 
 
