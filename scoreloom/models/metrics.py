@@ -81,7 +81,7 @@ def replicate_weight(seed: int, replicate: Column, row_id: Column) -> Column:
     return out
 
 
-def bootstrap(df: DataFrame, row_id: str, y: str, a: str, b: str, draws: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap(df: DataFrame, row_id: str, y: str, a: str, b: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """R2 of model a with its 95 % interval, and the paired two-sided p-value of a against b, at most 1.
 
     Every row meets every replicate with a hashed Poisson count and only three

@@ -14,25 +14,29 @@ SQUAD_SHAPE = {"GKP": 2, "DEF": 5, "MID": 5, "FWD": 3}
 TEAM_LIMIT = 3
 
 
-def horizon_points(players: DataFrame, fixtures: DataFrame, horizon: int, predicted: str = "predicted") -> DataFrame:
+def horizon_points(players: DataFrame, fixtures: DataFrame, horizon: int, predicted: str = "predicted", week: str | None = None) -> DataFrame:
     """Predicted points times the sum of fixture multipliers, and the number of fixtures; none gives 0.
 
     ``players`` has player and the prediction, ``fixtures`` player and score.
     Without any fixture row at all the window is unknown, and the prediction
-    counts once for each of its weeks.
+    counts once for each of its weeks. Where ``week`` names the column of the
+    predicted week and no player has one, there is no window: the prediction
+    counts once, as one fixture.
     """
     per = fixtures.groupBy("player").agg(F.sum(difficulty_multiplier(F.col("score"))).alias("__m"), F.count("*").alias("__n"))
     known = F.broadcast(fixtures.agg((F.count("*") > 0).alias("__known")))
+    anchored = F.broadcast(players.agg((F.count(week) > 0 if week else F.lit(True)).alias("__anchored")))
     return (
         players.join(per, "player", "left")
         .join(known)
+        .join(anchored)
         .withColumns(
             {
-                "horizon_points": F.when(F.col("__known"), F.col(predicted) * F.coalesce("__m", F.lit(0.0))).otherwise(F.col(predicted) * horizon),
-                "fixtures": F.when(F.col("__known"), F.coalesce("__n", F.lit(0))).otherwise(F.lit(horizon)).cast("long"),
+                "horizon_points": F.when(~F.col("__anchored"), F.col(predicted)).when(F.col("__known"), F.col(predicted) * F.coalesce("__m", F.lit(0.0))).otherwise(F.col(predicted) * horizon),
+                "fixtures": F.when(~F.col("__anchored"), F.lit(1)).when(F.col("__known"), F.coalesce("__n", F.lit(0))).otherwise(F.lit(horizon)).cast("long"),
             }
         )
-        .drop("__m", "__n", "__known")
+        .drop("__m", "__n", "__known", "__anchored")
     )
 
 
@@ -64,6 +68,7 @@ def suggestions(owned: DataFrame, pool: DataFrame, bank: float, top: int = 3, hi
     Columns of both: player, position, team, price, value; the pool also has
     status. An equi-join on position replaces the product of all pairs.
     """
+    # A squad has some dozen players, so at most as many teams.
     counts = owned.groupBy("team").agg(F.count("*").alias("held"))
     free = pool.where("status = 'a'").join(owned.select("player"), "player", "left_anti")
     buy = free.select("position", *[F.col(c).alias(f"buy_{c}") for c in ("player", "team", "price", "value")])
@@ -140,7 +145,7 @@ def inverse_draw(low, mid, high, u):
     return F.greatest(F.lit(0.0), F.when(u < 0.1, low).when(u < 0.5, rising).otherwise(upper))
 
 
-def simulate(squad: DataFrame, keys: list[str], player: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+def simulate(squad: DataFrame, keys: list[str], player: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """Total points of each key in each draw; quantiles fall back as floor 0, median predicted, ceiling median."""
     low = F.coalesce("floor", F.lit(0.0))
     mid = F.coalesce("median", "predicted", F.lit(0.0))

@@ -35,6 +35,37 @@ def _only(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.min("code").alias("code"), F.max("code").alias("__max")).where("code = __max").select(key, "code")
 
 
+def _sorted_tokens(name: str) -> Column:
+    return F.array_join(F.array_sort(F.split(F.trim(name), "\\s+")), " ")
+
+
+def _by_blocks(names: DataFrame, people: DataFrame, least: float) -> DataFrame:
+    """Pairs (raw_name, n, full_n, code) that may reach the ratio, by an equi-join that loses none of them.
+
+    A ratio of r between texts of a and b characters leaves at most
+    d = (a + b)(1 - r / 100) characters that aren't common, in order, to
+    both. Cut the longer text into d + 1 pieces: one piece is then untouched
+    and stands in the other text as it is, moved by at most d characters. So
+    the names' pieces meet the same piece at any such place of the people's
+    names; both are sorted by tokens first, as the ratio does.
+    """
+    slack = 1 - least / 100
+    # Lengths b with 2 * min / (a + b) >= r lie between a * r / (2 - r) and a * (2 - r) / r.
+    low, high = (1 - slack) / (1 + slack), (1 + slack) / (1 - slack)
+    left = names.select("raw_name", "n", _sorted_tokens("n").alias("s")).withColumn("a", F.length("s")).where("a > 0")
+    cuts = F.floor(F.col("a") * (1 + high) * slack).cast("int") + 1
+    left = left.withColumn("pieces", F.least(cuts, F.col("a"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    start = F.floor(F.col("a") * F.col("i") / F.col("pieces")).cast("int")
+    left = left.select("raw_name", "n", "a", start.alias("at"), F.expr("substring(s, int(floor(a * i / pieces)) + 1, int(floor(a * (i + 1) / pieces)) - int(floor(a * i / pieces)))").alias("piece"))
+    # Piece lengths are those of any name that long, so each length of piece that occurs is taken at every place.
+    right = people.withColumn("s", _sorted_tokens("full_n")).withColumn("b", F.length("s")).where("b > 0")
+    sizes = left.select(F.length("piece").alias("size")).distinct()
+    grams = right.join(F.broadcast(sizes), F.col("size") <= F.col("b")).select("full_n", "code", "b", F.posexplode(F.transform(F.sequence(F.lit(1), F.expr("b - size + 1")), lambda p: F.substring("s", p, F.col("size")))).alias("place", "piece"))
+    far = F.ceil((F.col("a") + F.col("b")) * slack)
+    met = left.join(grams, "piece").where((F.col("b") >= F.floor(F.col("a") * low)) & (F.col("b") <= F.ceil(F.col("a") * high)) & (F.abs(F.col("place") - F.col("at")) <= far))
+    return met.select("raw_name", "n", "full_n", "code").distinct()
+
+
 def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """raw_name, code and pass of every distinct name of ``raw`` (raw_name, club, seq).
 
@@ -57,7 +88,9 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
         names = names.join(found.select("raw_name"), "raw_name", "left_anti")
 
     if overrides is not None:
-        settle(names.join(overrides.select("raw_name", "code").dropDuplicates(["raw_name"]), "raw_name"), "override")
+        # Both sides in normal form; of several overrides of a name the last row holds.
+        fixed = overrides.select(normalise(F.col("raw_name")).alias("n"), "code", F.monotonically_increasing_id().alias("__row"))
+        settle(names.join(fixed.groupBy("n").agg(F.max_by("code", "__row").alias("code")), "n"), "override")
     exact = _only(people.select(F.explode(F.array("full_n", "web_n")).alias("n"), "code").where("n <> ''").distinct(), "n")
     settle(names.join(exact, "n"), "exact")
     tokens = names.select("raw_name", "c", F.explode(F.array_distinct(F.split("n", "\\s+"))).alias("web_n"))
@@ -69,8 +102,8 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     clubs = people.select("team_n").where("team_n <> ''").distinct()
     near = names.select("c").where("c <> ''").distinct().join(clubs, F.lit(True)).withColumn("score", partial_ratio_udf("c", "team_n")).where(F.col("score") >= least).select("c", "team_n")
     with_club = names.join(near.select("c").distinct(), "c", "left_semi").join(near, "c").join(people.select("team_n", "full_n", "code").distinct(), "team_n")
-    rest = names.join(near.select("c").distinct(), "c", "left_anti").join(people.select("full_n", "code").distinct(), F.length("n") > 0)
-    pool = with_club.select("raw_name", "n", "full_n", "code").unionByName(rest.select("raw_name", "n", "full_n", "code"))
+    rest = _by_blocks(names.join(near.select("c").distinct(), "c", "left_anti"), people.select("full_n", "code").distinct(), least)
+    pool = with_club.select("raw_name", "n", "full_n", "code").unionByName(rest)
     # 2 * shorter / (both) bounds the ratio, so far lengths need no comparison.
     bound = 200 * F.least(F.length("n"), F.length("full_n")) / (F.length("n") + F.length("full_n"))
     scored = pool.where(bound >= least).withColumn("score", token_sort_ratio_udf("n", "full_n")).where(F.col("score") >= least)

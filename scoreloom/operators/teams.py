@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from scoreloom.semantics import latest_by, safe_div
 
 
-def match_results(fixtures: DataFrame, keys: list[str], kept: tuple[str, ...] = ("kickoff",)) -> DataFrame:
-    """Each fixture from both sides, in one scan: team, opponent, is_home, scored, conceded.
-
-    Fixtures without a home score are left out.
-    """
+def sides(fixtures: DataFrame, keys: list[str], kept: tuple[str, ...] = ("kickoff",)) -> DataFrame:
+    """Each fixture from both sides, played or not, in one scan: team, opponent, is_home, scored, conceded."""
     def side(team: str, other: str, home: bool):
         return F.struct(F.col(team).alias("team"), F.col(other).alias("opponent"), F.lit(home).alias("is_home"), F.col(f"{team}_score").alias("scored"), F.col(f"{other}_score").alias("conceded"))
 
     both = F.explode(F.array(side("home", "away", True), side("away", "home", False)))
-    return fixtures.where("home_score is not null").select(*keys, *kept, both.alias("r")).select(*keys, *kept, "r.*")
+    return fixtures.select(*keys, *kept, both.alias("r")).select(*keys, *kept, "r.*")
+
+
+def match_results(fixtures: DataFrame, keys: list[str], kept: tuple[str, ...] = ("kickoff",), finished: str | None = None) -> DataFrame:
+    """The sides of finished fixtures (by the flag ``finished``, if there is one) whose own score is known."""
+    done = fixtures.where(F.col(finished)) if finished else fixtures
+    return sides(done, keys, kept).where("scored is not null")
 
 
 def team_form(results: DataFrame, keys: list[str], order: list[str], n: int = 5) -> DataFrame:
@@ -27,8 +30,27 @@ def team_form(results: DataFrame, keys: list[str], order: list[str], n: int = 5)
 
 
 def latest_form(form: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The form of each team's newest match, at two places."""
-    return latest_by(form, keys, order, ["att", "def"]).select(*keys, F.round("att", 2).alias("att"), F.round("def", 2).alias("def"))
+    """The form of each team's newest match, at two places; a match whose time is unknown is newest."""
+    known = form.withColumn("__undated", F.col(order[0]).isNull())
+    return latest_by(known, keys, ["__undated", *order], ["att", "def"]).select(*keys, F.round("att", 2).alias("att"), F.round("def", 2).alias("def"))
+
+
+def form_now(results: DataFrame, keys: list[str], order: list[str], n: int = 5) -> DataFrame:
+    """:func:`latest_form` without the form of every match: the means of each team's newest n matches.
+
+    Spark cuts each task's rows to n a team before the shuffle, so teams with
+    very many matches are no hot keys.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_first() for c in order])
+    newest = results.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
+    return newest.groupBy(*keys).agg(F.round(F.avg("scored"), 2).alias("att"), F.round(F.avg("conceded"), 2).alias("def"))
+
+
+def next_fixture(fixtures: DataFrame, keys: list[str], finished: str = "finished") -> DataFrame:
+    """Each team's earliest fixture that isn't finished and has a time: opponent, is_home and kickoff."""
+    open_ = sides(fixtures.where(~F.col(finished)), keys).where("kickoff is not null")
+    first = F.min(F.struct("kickoff", *keys, "opponent", "is_home")).alias("r")
+    return open_.groupBy("team").agg(first).select("team", "r.opponent", "r.is_home", "r.kickoff")
 
 
 def fixture_difficulty(upcoming: DataFrame, latest: DataFrame) -> DataFrame:

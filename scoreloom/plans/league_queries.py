@@ -61,8 +61,7 @@ def team_form(s, d):
 
 
 def _latest(s, d):
-    form = teams.team_form(teams.match_results(_fixtures(s, d), ["k1", "k2"]), ["team"], ["kickoff", "k1", "k2", "is_home"])
-    return teams.latest_form(form, ["team"], ["kickoff", "k1", "k2", "is_home"])
+    return teams.form_now(teams.match_results(_fixtures(s, d), ["k1", "k2"]), ["team"], ["kickoff", "k1", "k2", "is_home"])
 
 
 @query("latest_form", f"WITH {_LATEST_SQL} SELECT team, att, def FROM latest")
@@ -111,9 +110,11 @@ def self_join_roles(s, d):
     nation = table(s, d, "nation")
     buyer = F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("buyer")))
     seller = F.broadcast(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("seller")))
-    li = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    li = li.join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return li.join(buyer, "c_nationkey").join(seller, "s_nationkey").groupBy("buyer", "seller").agg(F.count("*").alias("n"))
+    # Lines are counted by order and seller before they meet the orders.
+    sold = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", "s_nationkey").agg(F.count("*").alias("lines"))
+    bought = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    pairs = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("s_nationkey", "c_nationkey").agg(F.sum("lines").alias("n"))
+    return pairs.join(buyer, "c_nationkey").join(seller, "s_nationkey").select("buyer", "seller", "n")
 
 
 @query("candidate_pairs", """
@@ -287,7 +288,7 @@ def monte_carlo(s, d):
     xi = table(s, d, "part").withColumn("n", F.row_number().over(w)).where("n <= 11").select(
         "p_brand", "p_partkey", F.when(F.col("n") == 1, 2).otherwise(1).alias("multiplier"), (F.col("p_size") / 10).alias("floor"), (F.col("p_size") / 5).alias("median"), (F.col("p_size") / 2).alias("ceiling"), F.col("p_size").cast("double").alias("predicted")
     )
-    t = decisions.simulate(xi, ["p_brand"], "p_partkey", draws=500)
+    t = decisions.simulate(xi, ["p_brand"], "p_partkey")
     q = F.percentile("total", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     return t.groupBy("p_brand").agg(F.avg("total").alias("mean"), q[0].alias("p10"), q[1].alias("p50"), q[2].alias("p90"))
 
@@ -295,7 +296,7 @@ def monte_carlo(s, d):
 @query("bootstrap_r2")
 def bootstrap_r2(s, d):
     x = _scored(s, d).withColumn("q", F.lit(150_000.0))
-    return metrics.bootstrap(x, "o_orderkey", "y", "q", "p", draws=100)
+    return metrics.bootstrap(x, "o_orderkey", "y", "q", "p")
 
 
 @query("greedy_plan")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.operators.asof import latest_at
 from scoreloom.operators.bands import fixture_grade, run_rating
 from scoreloom.operators.decisions import best_line_up, horizon_points
 
@@ -98,7 +99,7 @@ def lineup_changes(squad: DataFrame) -> DataFrame:
 def recommendation(rankings: DataFrame, fixtures: DataFrame, horizon: int) -> DataFrame:
     """Rankings with points over the horizon; a missing prediction counts as 0."""
     players = rankings.withColumns({"predicted": F.coalesce("predicted_points", F.lit(0.0)), "player": F.col("player_code")})
-    return horizon_points(players, fixtures, horizon).drop("player", "predicted")
+    return horizon_points(players, fixtures, horizon, week="predicted_gw" if "predicted_gw" in rankings.columns else None).drop("player", "predicted")
 
 
 def due_tiers(hours_left: DataFrame, log: DataFrame, tiers: tuple[int, ...] = (24, 6, 2)) -> DataFrame:
@@ -117,9 +118,10 @@ def manager_comparison(picks: DataFrame, predictions: DataFrame, official: DataF
     xi = picks.where("multiplier >= 1")
     newest = predictions.groupBy(*keys).agg(F.max_by("predicted_points", F.struct("predicted_at", "model_id")).alias("pred"))
     day = deadlines.select("season", "event_id", F.to_date("deadline_time").alias("day"))
-    known = official.where("ep_next is not null").select("season", "player_code", "snapshot_date", "ep_next")
-    asof = xi.select(*keys).join(F.broadcast(day), ["season", "event_id"]).join(known, ["season", "player_code"]).where("snapshot_date <= day").groupBy(*keys).agg(F.max_by("ep_next", "snapshot_date").alias("ep"))
-    sums = xi.join(newest, keys, "left").join(asof, keys, "left").groupBy("entry_id", "season", "event_id").agg(
+    asked = xi.select(*keys).distinct().join(day, ["season", "event_id"])
+    known = official.where("ep_next is not null").select("season", "player_code", "snapshot_date", F.col("ep_next").alias("ep"))
+    seen = latest_at(asked, known, ["season", "player_code"], "day", "snapshot_date", ["ep"], ["ep"], ["event_id"])
+    sums = xi.join(newest, keys, "left").join(seen, keys, "left").groupBy("entry_id", "season", "event_id").agg(
         F.sum(F.col("pred") * F.col("multiplier")).alias("model_points"), F.count("pred").alias("model_matched"), F.sum(F.col("ep") * F.col("multiplier")).alias("official_points"), F.count("ep").alias("official_matched")
     )
     return weeks.join(sums, ["entry_id", "season", "event_id"], "left")

@@ -66,9 +66,13 @@ def raw_snapshot(payloads: DataFrame, endpoint: str, season: str) -> DataFrame:
 
 
 def to_codes(df: DataFrame, ids: DataFrame, id_column: str, keys: tuple[str, ...] = ("season",)) -> DataFrame:
-    """Season-local ids to stable codes, by a broadcast of the season's directory; unknown ids drop out."""
-    small = ids.select(*keys, F.col("id").alias(id_column), "code")
-    return df.join(F.broadcast(small), [*keys, id_column])
+    """Season-local ids to stable codes: adds code, null where an id is unknown."""
+    return df.join(ids.select(*keys, F.col("id").alias(id_column), "code"), [*keys, id_column], "left")
+
+
+def known_only(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose references all lead somewhere; the others are skipped, not landed."""
+    return df.dropna(subset=list(columns))
 
 
 def nan_free(c: Column) -> Column:
