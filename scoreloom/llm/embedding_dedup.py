@@ -10,8 +10,12 @@ query, in which a link found from one end counts at both, and of its links
 only a spanning forest, so that what is sent grows with the vectors and not
 with the links.
 
-After each pass a bounded sample of queries is compared with all vectors;
-while recall falls short, the beam is doubled and the pass repeated. Recall is
+The beam is found first: a bounded sample of queries is compared with all
+vectors, and then asks every shard where it lies, with beams that double while
+recall falls short. All vectors then ask once, with that beam, and each pair
+of shards is sent once, in one shuffle. The number of shards follows the rows,
+and for few rows the cores: what is sent is the vectors times the shards and
+one, so shards are as large as a worker holds. Recall is
 a mean over queries, for each power of two of links too, so that large groups
 don't hide small ones; where few queries have a link, the nearest neighbours
 of all count as well.
@@ -32,10 +36,12 @@ from scoreloom.llm.common import connected_components, drop_scratch, materialise
 from scoreloom.llm.hnsw import Graph, unit
 
 LEAST = 0.9
-#: Classes a shard holds, fewest shards, and queries searched at once.
-SHARD_ROWS = 50_000
-SHARDS = 4
+#: Classes a shard holds at most, and at least where there are cores for more shards; queries searched at once;
+#: tasks over pairs of shards at most.
+SHARD_ROWS = 60_000
+LEAST_ROWS = 4_000
 BLOCK_ROWS = 4_096
+PAIR_TASKS = 10_000
 BEAM = 24
 #: Queries of an audit, how many of them should have a link, the most that are drawn for that, and rows compared at once.
 AUDIT = 200
@@ -89,12 +95,25 @@ def _pack_shard(t: pa.Table) -> pa.Table:
             "shard": t["shard"].slice(0, 1),
             "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
             "sizes": pa.array([m.astype(np.int64).tobytes()], pa.binary()),
-            "vecs": pa.array([x.tobytes()], pa.binary()),
-            "graph": pa.array([graph.pack()], pa.binary()),
+            "vecs": pa.array([_narrow(x).tobytes()], pa.binary()),
+            "graph": pa.array([graph.pack(vectors=False)], pa.binary()),
         }
     )
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """The same numbers in half the bytes, where single precision holds all of them."""
+    half = x.astype(np.float32)
+    return half if (half == x).all() else x
+
+
+def _shard(r: dict) -> dict:
+    ids = np.frombuffer(r["ids"], np.int64)
+    wide = len(r["vecs"]) == 8 * len(ids) * r["dim"]
+    x = np.frombuffer(r["vecs"], np.float64 if wide else np.float32).reshape(len(ids), -1).astype(np.float64)
+    return {"ids": ids, "x": x, "sizes": np.frombuffer(r["sizes"], np.int64), "graph": Graph.unpack(r["graph"], unit(x))}
+
+
 class Found:
     """Which of ``n_x`` vectors each of ``n_q`` queries links with: keys for short lists, bits for long ones."""
 
@@ -196,32 +215,61 @@ def ask_both(a: dict, b: dict | None, ef: int, least: float):
     return [(asker["ids"], n, t[2]) for (asker, _), n, t in zip(sides, counts, told)], [e for t in told for e in t[1]]
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch[name][i].as_py() for name in batch.schema.names}
+
+
 def _pass(graphs: DataFrame, ef: int, least: float) -> DataFrame:
     """(a, b, n, near): n links and the best cosine of a with a shard (b null), or an edge of the forest (n null)."""
 
-    def shard(r: dict, end: str) -> dict:
-        ids = np.frombuffer(r[f"ids{end}"], np.int64)
-        x = np.frombuffer(r[f"vecs{end}"], np.float64).reshape(len(ids), -1)
-        return {"ids": ids, "x": x, "sizes": np.frombuffer(r[f"sizes{end}"], np.int64), "graph": Graph.unpack(r[f"graph{end}"])}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for r in _rows_of(batches):
+            # The two shards of a pair follow one another.
+            if r["of_two"] and held.get("pair") != r["pair"]:
+                held = {"pair": r["pair"], "shard": _shard(r)}
+                continue
+            ends, edges = ask_both(held.pop("shard"), _shard(r), ef, least) if r["of_two"] else ask_both(_shard(r), None, ef, least)
+            left = np.concatenate([*(e[0] for e in ends), np.array([e[0] for e in edges], np.int64)])
+            n_told = len(left) - len(edges)
+            right = [*[None] * n_told, *(o for _, o in edges)]
+            n = [*np.concatenate([e[1] for e in ends]).tolist(), *[None] * len(edges)]
+            near = [*np.concatenate([e[2] for e in ends]).tolist(), *[None] * len(edges)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((left, right, n, near), kinds)], ["a", "b", "n", "near"])
+
+    known = sorted((r["dim"], r["shard"]) for r in graphs.select("dim", "shard").collect())
+    pairs = [(dim, a, b) for dim, a in known for d, b in known if d == dim and a <= b]
+    ends = [(i, dim, s, a != b) for i, (dim, a, b) in enumerate(pairs) for s in {a, b}]
+    asked = graphs.sparkSession.createDataFrame(ends, "pair long, dim int, shard long, of_two boolean")
+    tasks = max(1, min(len(pairs), PAIR_TASKS))
+    rows = graphs.join(F.broadcast(asked), ["dim", "shard"]).repartition(tasks, F.pmod("pair", F.lit(tasks))).sortWithinPartitions("pair", "shard")
+    return rows.mapInArrow(run, "a long, b long, n long, near double")
+
+
+def probe(graphs: DataFrame, sample: list, ef: int, least: float) -> dict[int, tuple[int, float]]:
+    """(links, best cosine) that the sampled (id, dim, vec) find by asking every shard, where it lies, with a beam."""
+    by_dim = {dim: [s for s in sample if s["dim"] == dim] for dim in {s["dim"] for s in sample}}
+    askers = {dim: {"ids": np.array([s["id"] for s in mine]), "x": _matrix([s["vec"] for s in mine])} for dim, mine in by_dim.items()}
+    sent = graphs.sparkSession.sparkContext.broadcast(askers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {name: batch[name][i].as_py() for name in batch.schema.names}
-                ends, edges = ask_both(shard(r, ""), shard(r, "2") if r["shard"] != r["shard2"] else None, ef, least)
-                left = np.concatenate([*(e[0] for e in ends), np.array([e[0] for e in edges], np.int64)])
-                n_told = len(left) - len(edges)
-                right = [*[None] * n_told, *(o for _, o in edges)]
-                n = [*np.concatenate([e[1] for e in ends]).tolist(), *[None] * len(edges)]
-                near = [*np.concatenate([e[2] for e in ends]).tolist(), *[None] * len(edges)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((left, right, n, near), kinds)], ["a", "b", "n", "near"])
-
-    shards, again = graphs.select("dim", "shard"), graphs.select("dim", *[F.col(c).alias(f"{c}2") for c in ("shard", "ids", "sizes", "vecs", "graph")])
-    asked = shards.join(again.select("dim", "shard2"), "dim").where("shard <= shard2").select("dim", "shard", "shard2")
-    rows = asked.join(graphs, ["dim", "shard"]).join(again, ["dim", "shard2"])
-    # A task for each pair of shards: the rows are large and the work is long.
-    return rows.repartition(max(1, asked.count()), "dim", "shard", "shard2").mapInArrow(run, "a long, b long, n long, near double")
+        for r in _rows_of(batches):
+            asker = sent.value.get(r["dim"])
+            if asker is not None:
+                shard = _shard(r)
+                links, _, best = ask(shard, asker, ef, least, lambda a, b: False)
+                n = np.zeros(len(best), np.int64)
+                for i, j in links.lists():
+                    np.add.at(n, i, shard["sizes"][j])
+                yield pa.RecordBatch.from_arrays([pa.array(asker["ids"], pa.int64()), pa.array(n, pa.int64()), pa.array(best, pa.float64())], ["a", "n", "near"])
+
+    told = graphs.mapInArrow(run, "a long, n long, near double").groupBy("a").agg(F.sum("n").alias("n"), F.max("near").alias("near"))
+    got = {r["a"]: (r["n"], r["near"]) for r in told.collect()}
+    sent.destroy()
+    return got
 
 
 def audit(classes: DataFrame, sample: list, least: float) -> DataFrame:
@@ -259,8 +307,8 @@ def audit(classes: DataFrame, sample: list, least: float) -> DataFrame:
     return told.groupBy("a").agg(F.sum("n").alias("truth"), F.max("near").alias("near"))
 
 
-def draw_audit(classes: DataFrame, n: int, least: float) -> dict[int, tuple[int, float]]:
-    """(links, best cosine) of sampled ids; the sample grows until enough have a link, or to its bound."""
+def draw_audit(classes: DataFrame, n: int, least: float) -> tuple[list, dict[int, tuple[int, float]]]:
+    """Sampled rows, and (links, best cosine) by id; the sample grows until enough have a link, or to its bound."""
     out: dict[int, tuple[int, float]] = {}
     size = AUDIT
     while True:
@@ -269,7 +317,7 @@ def draw_audit(classes: DataFrame, n: int, least: float) -> dict[int, tuple[int,
         if fresh:
             out.update({r["a"]: (r["truth"], r["near"]) for r in audit(classes, fresh, least).collect()})
         if sum(t > 0 for t, _ in out.values()) >= AUDIT_LINKED or size >= min(n, AUDIT_MOST):
-            return out
+            return sample, out
         size = min(size * 4, AUDIT_MOST)
 
 
@@ -292,7 +340,12 @@ def recalls(truth: dict[int, tuple[int, float]], got: dict[int, tuple[int, float
     return {k: float(np.mean(v)) for k, v in shares.items()}
 
 
-def near_duplicates(rows: DataFrame, least: float = LEAST, ef: int = BEAM, recall: float = RECALL, shard_rows: int = SHARD_ROWS, shards: int = SHARDS) -> DataFrame:
+def graph_cores(rows: DataFrame) -> int:
+    """The number of shards whose pairs give each core one."""
+    return math.ceil((math.sqrt(8 * rows.sparkSession.sparkContext.defaultParallelism + 1) - 1) / 2)
+
+
+def near_duplicates(rows: DataFrame, least: float = LEAST, ef: int = BEAM, recall: float = RECALL, shard_rows: int = SHARD_ROWS, shards: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``rows`` (vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components
@@ -309,19 +362,18 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, ef: int = BEAM, recal
         valid.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "vector-classes"
     )
     n = classes.count()
-    n_shards = max(shards, math.ceil(n / shard_rows))
+    cores = graph_cores(rows) if shards is None else 1
+    n_shards = shards or max(1, math.ceil(n / shard_rows), min(cores, math.ceil(n / LEAST_ROWS)))
     placed = classes.select("id", "m", "dim", "vec", F.pmod(F.xxhash64("key"), F.lit(n_shards)).alias("shard"))
     shape = "dim int, shard long, ids binary, sizes binary, vecs binary, graph binary"
-    graphs = materialise(placed.groupBy("dim", "shard").applyInArrow(_pack_shard, shape), "vector-graphs")
-    truth = draw_audit(classes, n, least)
-    while True:
-        found = materialise(_pass(graphs, ef, least), "vector-links")
-        counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n_found"), F.max("near").alias("near"))
-        got = {r["a"]: (r["n_found"], r["near"]) for r in counts.where(F.col("a").isin(list(truth))).collect()} if truth else {}
-        if all(r >= recall for r in recalls(truth, got).values()) or ef >= min(shard_rows, n):
-            break
+    # By a number, so that shards aren't put together in fewer tasks.
+    graphs = materialise(placed.repartition(n_shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_pack_shard, shape), "vector-graphs")
+    sample, truth = draw_audit(classes, n, least)
+    while truth and ef < min(shard_rows, n) and any(r < recall for r in recalls(truth, probe(graphs, sample, ef, least)).values()):
         ef *= 2
-        drop_scratch(found)
+    found = materialise(_pass(graphs, ef, least), "vector-links")
+    drop_scratch(graphs)
+    counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n_found"))
     labels = connected_components(found.where("b is not null").select("a", "b"), "vectors-cc")
     told = classes.select("key", "id", "m").join(counts, F.col("id") == F.col("a"), "left").join(labels, F.col("id") == F.col("v"), "left")
     told = materialise(told.select("key", (F.col("m") - 1 + F.coalesce("n_found", F.lit(0))).alias("links"), F.coalesce("c", "id").alias("c")), "vector-told")

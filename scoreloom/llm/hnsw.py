@@ -180,25 +180,28 @@ class Graph:
 
     # --- as bytes ---------------------------------------------------------
 
-    def pack(self) -> bytes:
+    def pack(self, vectors: bool = True) -> bytes:
+        """The graph, with its vectors or without; neighbours are counted from 1, in two bytes where these suffice."""
         import io
 
         buffer = io.BytesIO()
-        arrays = {"x": self.x, "n": np.array([len(self.layers)])}
+        arrays = {"n": np.array([len(self.layers)])} | ({"x": self.x} if vectors else {})
+        small = np.uint16 if len(self.x) < 1 << 16 else np.uint32
         for i, (nodes, adj) in enumerate(self.layers):
-            arrays[f"nodes{i}"] = nodes.astype(np.int32)
-            arrays[f"adj{i}"] = (adj if i == len(self.layers) - 1 else adj[nodes]).astype(np.int32)
+            arrays[f"nodes{i}"] = nodes.astype(small)
+            arrays[f"adj{i}"] = ((adj if i == len(self.layers) - 1 else adj[nodes]) + 1).astype(small)
         np.savez(buffer, **arrays)
         return buffer.getvalue()
 
     @classmethod
-    def unpack(cls, data: bytes) -> Graph:
+    def unpack(cls, data: bytes, x: np.ndarray | None = None) -> Graph:
+        """A graph from its bytes; ``x`` are its vectors where they aren't in there."""
         import io
 
         with np.load(io.BytesIO(data)) as f:
-            x, layers = f["x"], []
+            x, layers = f["x"] if x is None else x, []
             for i in range(int(f["n"][0])):
-                nodes, adj = f[f"nodes{i}"].astype(np.int64), f[f"adj{i}"].astype(np.int64)
+                nodes, adj = f[f"nodes{i}"].astype(np.int64), f[f"adj{i}"].astype(np.int64) - 1
                 if len(adj) != len(x):
                     full = np.full((len(x), adj.shape[1]), -1, np.int64)
                     full[nodes] = adj

@@ -104,3 +104,16 @@ def test_small_groups_beside_a_large_one(spark):
     n, _ = brute(list(range(900)), x)
     share = np.array([min(got[i], k) / k for i, k in enumerate(n) if k])
     assert share.mean() >= 0.97 and share[300:].mean() >= 0.97
+
+
+def test_rare_links_among_many_vectors(spark):
+    """One vector in 500 has a link: the audit draws on nearest neighbours, and the links are found."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 32))
+    for i in range(4):
+        x[1000 * i + 1] = x[1000 * i] + rng.normal(size=32) * 0.1
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_duplicates(df, shards=3).collect()}
+    n, _ = brute(list(range(4000)), x)
+    assert sum(k > 0 for k in n) == 8 and all(got[i] == k for i, k in enumerate(n) if k)
+    assert all(got[i] <= k for i, k in enumerate(n))
