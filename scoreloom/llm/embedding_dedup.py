@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +84,16 @@ def _matrix(vecs: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(v, np.float64) for v in vecs])
 
 
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shard and length of vectors in a task."""
+    got = list(batches)
+    if got:
+        t = pa.Table.from_batches(got)
+        for key in t.group_by(["dim", "shard"]).aggregate([]).to_pylist():
+            mine = pc.and_(pc.equal(t["dim"], key["dim"]), pc.equal(t["shard"], key["shard"]))
+            yield from _pack_shard(t.filter(mine)).to_batches()
+
+
 def _pack_shard(t: pa.Table) -> pa.Table:
     """One row a shard: ids, sizes and vectors of its classes, and the graph."""
     order = np.argsort(t["id"].to_numpy())
@@ -245,7 +256,7 @@ def _pass(graphs: DataFrame, ef: int, least: float) -> DataFrame:
     ends = [(i, dim, s, a != b) for i, (dim, a, b) in enumerate(pairs) for s in {a, b}]
     asked = graphs.sparkSession.createDataFrame(ends, "pair long, dim int, shard long, of_two boolean")
     tasks = max(1, min(len(pairs), PAIR_TASKS))
-    rows = graphs.join(F.broadcast(asked), ["dim", "shard"]).repartition(tasks, F.pmod("pair", F.lit(tasks))).sortWithinPartitions("pair", "shard")
+    rows = graphs.join(F.broadcast(asked), ["dim", "shard"]).repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair", "shard")
     return rows.mapInArrow(run, "a long, b long, n long, near double")
 
 
@@ -366,8 +377,8 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, ef: int = BEAM, recal
     n_shards = shards or max(1, math.ceil(n / shard_rows), min(cores, math.ceil(n / LEAST_ROWS)))
     placed = classes.select("id", "m", "dim", "vec", F.pmod(F.xxhash64("key"), F.lit(n_shards)).alias("shard"))
     shape = "dim int, shard long, ids binary, sizes binary, vecs binary, graph binary"
-    # By a number, so that shards aren't put together in fewer tasks.
-    graphs = materialise(placed.repartition(n_shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(_pack_shard, shape), "vector-graphs")
+    # A task a shard, by its number.
+    graphs = materialise(placed.repartitionById(n_shards, F.col("shard").cast("int")).select("dim", "shard", "id", "m", "vec").mapInArrow(_build, shape), "vector-graphs")
     sample, truth = draw_audit(classes, n, least)
     while truth and ef < min(shard_rows, n) and any(r < recall for r in recalls(truth, probe(graphs, sample, ef, least)).values()):
         ef *= 2
