@@ -23,22 +23,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches 0.3, judged by their whole text, row by row.
+
+    A null text counts as empty and gets the score of an empty text; rows
+    without id are judged like others, repeated rows each; extra columns pass.
+    """
     return keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5, judged by their whole text, row by row; edges as in the quality stage."""
     return drop_toxic(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (5 words, 0.8): that with the smallest id, one row of it.
+
+    Rows without id, and rows of ids without any words, are in no group and all stay.
+    """
     return keep_one(docs, k=5, t=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; null and empty texts hold none and stay."""
     return without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows by target weights, once for each epoch that takes them, with domain, epoch, tokens and leaf_budget.
+
+    Null languages and sources are levels of their own; columns of those four names are replaced.
+    """
     return mix(docs, domain_of(), SHARE, target_weights(spark))
 
 
