@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,23 +72,22 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     """raw_name, code and pass of every distinct name of ``raw`` (raw_name, club, seq).
 
     A name that comes with several clubs has the last one by seq. The
-    directory has code, full_name, web_name and team, a row a season. Each
-    pass sees only what is left, and a name that leads to several codes at
-    once is left for the next; what no pass settles has a null code. Only the
-    fuzzy pass compares names pairwise: the rest of the names against the
-    directory, within clubs that match where there are any.
+    directory has code, full_name, web_name and team, a row a season. The
+    first pass that leads a name to one code settles it; one that leads to
+    several leaves it to the next, and what no pass settles has a null code.
+    Only the fuzzy pass compares names pairwise, what is left of them: with
+    the people of clubs that match where there are any, and else with those
+    that share a piece of the name (see :func:`_by_blocks`).
     """
     names = raw.where("raw_name is not null").groupBy("raw_name").agg(F.max_by("club", "seq").alias("club"))
     names = names.withColumns({"n": normalise(F.col("raw_name")), "c": club(F.col("club"))})
     people = directory.withColumns({"full_n": normalise(F.col("full_name")), "web_n": normalise(F.col("web_name")), "team_n": club(F.col("team"))})
-    done = []
+    found: list[DataFrame] = []
 
-    def settle(found: DataFrame, label: str) -> None:
-        nonlocal names
-        found = found.select("raw_name", "code", F.lit(label).alias("pass"))
-        done.append(found)
-        names = names.join(found.select("raw_name"), "raw_name", "left_anti")
+    def settle(rows: DataFrame, label: str) -> None:
+        found.append(rows.select("raw_name", "code", F.lit(len(found)).alias("rank"), F.lit(label).alias("pass")))
 
+    # What a pass says of a name doesn't hang on other names, so the equi-join passes see all names and the first that settles one holds.
     if overrides is not None:
         # Both sides in normal form; of several overrides of a name the last row holds.
         fixed = overrides.select(normalise(F.col("raw_name")).alias("n"), "code", F.monotonically_increasing_id().alias("__row"))
@@ -95,21 +96,20 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     settle(names.join(exact, "n"), "exact")
     tokens = names.select("raw_name", "c", F.explode(F.array_distinct(F.split("n", "\\s+"))).alias("web_n"))
     candidates = tokens.join(people.select("web_n", "code", "team_n").where("web_n <> ''"), "web_n")
-    settle(names.join(_only(candidates.select("raw_name", "code").distinct(), "raw_name"), "raw_name"), "token")
-    at_club = candidates.join(names.select("raw_name"), "raw_name", "left_semi").where("c <> ''").withColumn("score", partial_ratio_udf("c", "team_n")).where(F.col("score") >= least)
+    settle(_only(candidates.select("raw_name", "code").distinct(), "raw_name"), "token")
+    at_club = candidates.where("c <> ''").withColumn("score", partial_ratio_udf("c", "team_n")).where(F.col("score") >= least)
     best = at_club.groupBy("raw_name", "code").agg(F.max("score").alias("score")).withColumn("top", F.max("score").over(Window.partitionBy("raw_name"))).where("score = top")
-    settle(names.join(_only(best, "raw_name"), "raw_name"), "token_club")
+    settle(_only(best, "raw_name"), "token_club")
+    settled = reduce(DataFrame.unionByName, found).groupBy("raw_name").agg(F.min_by(F.struct("code", "pass"), "rank").alias("r")).select("raw_name", "r.code", "r.pass")
+    left = names.join(settled.select("raw_name"), "raw_name", "left_anti")
     clubs = people.select("team_n").where("team_n <> ''").distinct()
-    near = names.select("c").where("c <> ''").distinct().join(clubs, F.lit(True)).withColumn("score", partial_ratio_udf("c", "team_n")).where(F.col("score") >= least).select("c", "team_n")
-    with_club = names.join(near.select("c").distinct(), "c", "left_semi").join(near, "c").join(people.select("team_n", "full_n", "code").distinct(), "team_n")
-    rest = _by_blocks(names.join(near.select("c").distinct(), "c", "left_anti"), people.select("full_n", "code").distinct(), least)
+    near = left.select("c").where("c <> ''").distinct().join(clubs, F.lit(True)).withColumn("score", partial_ratio_udf("c", "team_n")).where(F.col("score") >= least).select("c", "team_n")
+    with_club = left.join(near.select("c").distinct(), "c", "left_semi").join(near, "c").join(people.select("team_n", "full_n", "code").distinct(), "team_n")
+    rest = _by_blocks(left.join(near.select("c").distinct(), "c", "left_anti"), people.select("full_n", "code").distinct(), least)
     pool = with_club.select("raw_name", "n", "full_n", "code").unionByName(rest)
     # 2 * shorter / (both) bounds the ratio, so far lengths need no comparison.
     bound = 200 * F.least(F.length("n"), F.length("full_n")) / (F.length("n") + F.length("full_n"))
     scored = pool.where(bound >= least).withColumn("score", token_sort_ratio_udf("n", "full_n")).where(F.col("score") >= least)
     top = scored.groupBy("raw_name", "code").agg(F.max("score").alias("score")).withColumn("top", F.max("score").over(Window.partitionBy("raw_name"))).where("score = top")
-    settle(names.join(_only(top, "raw_name"), "raw_name"), "fuzzy")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.unionByName(names.select("raw_name", F.lit(None).cast(out.schema["code"].dataType).alias("code"), F.lit(None).cast("string").alias("pass")))
+    near_names = _only(top, "raw_name").select("raw_name", "code", F.lit("fuzzy").alias("pass"))
+    return names.select("raw_name").join(settled.unionByName(near_names), "raw_name", "left")
