@@ -100,12 +100,27 @@ def first_then_mean(df: DataFrame, keys: list[str], order: list, value: str, sea
     return F.coalesce(F.avg(value).over(w), F.avg(value).over(Window.partitionBy(*season)))
 
 
-def capped_fold(df: DataFrame, keys: list[str], step: str, used: str, cap: int = 5, first: int = 1) -> DataFrame:
+def capped_fold(df: DataFrame, keys: list[str], step: str, used: str, cap: int = 5, first: int = 1, width: int = 1024) -> DataFrame:
     """Free moves left after a fold over the steps of each key.
 
     It starts at 1; every step from the second on takes what it used and adds
-    one, never below 0 before or above ``cap`` after.
+    one, never below 0 before or above ``cap`` after. A step is a shift and a
+    clamp, and a run of such maps is one of their kind, so slices of ``width``
+    step numbers become one map each, and no array holds a key's whole history.
     """
-    steps = F.array_sort(F.collect_list(F.when(F.col(step) > first, F.struct(step, used))))
-    fold = F.aggregate(steps, F.lit(1).cast("long"), lambda a, x: F.least(F.lit(cap).cast("long"), F.greatest(F.lit(0).cast("long"), a - x[used]) + 1))
-    return df.groupBy(*keys).agg(fold.alias("free_moves"))
+    kind = "struct<s:long, lo:long, hi:long>"
+    same = F.struct(F.lit(0).alias("s"), F.lit(-(1 << 40)).alias("lo"), F.lit(1 << 40).alias("hi")).cast(kind)
+
+    def then(a, b):
+        """The map that applies a, then b."""
+        held = lambda x: F.least(b["hi"], F.greatest(b["lo"], x + b["s"]))
+        return F.struct((a["s"] + b["s"]).alias("s"), held(a["lo"]).alias("lo"), held(a["hi"]).alias("hi")).cast(kind)
+
+    def folded(at: str):
+        return F.aggregate(F.array_sort(F.collect_list(F.struct(at, "m"))), same, lambda a, x: then(a, x["m"]))
+
+    one = F.struct((1 - F.col(used)).alias("s"), F.lit(1).alias("lo"), F.lit(cap).alias("hi")).cast(kind)
+    steps = df.withColumns({"m": F.when(F.col(step) > first, one).otherwise(same), "__slice": F.floor(F.col(step) / width)})
+    slices = steps.groupBy(*keys, "__slice").agg(folded(step).alias("m"))
+    whole = slices.groupBy(*keys).agg(folded("__slice").alias("m"))
+    return whole.select(*keys, F.least("m.hi", F.greatest("m.lo", F.lit(1) + F.col("m.s"))).alias("free_moves"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from scoreloom.models import training
 from scoreloom.models.squad_solver import sweep
 from scoreloom.operators.matching import match_names
-from scoreloom.session import table
-from scoreloom.streaming.incremental import run_to_memory, windowed_counts
+from scoreloom.session import shared_folder, table
+from scoreloom.streaming.incremental import run_to_table, windowed_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -59,7 +59,7 @@ def squad_sweep(s, d):
         (F.round(F.col("p_retailprice") / 100) / 2).alias("price"), (F.col("p_size") / 5.0).alias("predicted"), F.lit("a").alias("status"),
     )
     budgets = s.createDataFrame([("predicted", b) for b in (60.0, 80.0, 100.0)], "basis string, budget double")
-    return sweep(p, budgets, seconds=5.0).select("basis", "budget", F.round("objective", 6).alias("objective"), F.size("players").alias("n"))
+    return sweep(p, budgets, seconds=5.0).select("basis", "budget", F.round("objective", 6).alias("objective"), F.size("players").alias("n"), "proven", F.round("bound", 6).alias("bound"))
 
 
 @query("name_match")
@@ -72,10 +72,8 @@ def name_match(s, d):
 
 @query("stream_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(s, d):
-    import uuid
-
     schema = table(s, d, "events").schema
     # A stream reads a folder; the table is a file in it.
     stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    out = run_to_memory(windowed_counts(stream, "ts", ["event_type"]), f"counts_{uuid.uuid4().hex}")
+    out = run_to_table(windowed_counts(stream, "ts", ["event_type"]), ["start", "event_type"], shared_folder(s, "counts"))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))

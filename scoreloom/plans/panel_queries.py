@@ -9,6 +9,7 @@ from scoreloom.operators import aggregates as agg
 from scoreloom.operators import asof, merge, windows
 from scoreloom.semantics import DAY_US, latest_by, safe_div
 from scoreloom.session import table
+from scoreloom.sources import archive
 
 QUERIES, ORACLES = {}, {}
 
@@ -230,8 +231,9 @@ def insert_absent(s, d):
 @query("json_flatten", """
 SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, count(DISTINCT json_extract_string(props, '$.k')) AS k_distinct FROM events GROUP BY event_type""")
 def json_flatten(s, d):
-    e = table(s, d, "events").select("event_type", F.from_json("props", "k string").alias("p"))
-    return e.groupBy("event_type").agg(F.sum(F.col("p.k").try_cast("long")).alias("k_sum"), F.countDistinct("p.k").alias("k_distinct"))
+    landed = table(s, d, "events").select("event_type", F.array(F.from_json("props", "k string")).alias("items"))
+    e = archive.flatten(landed, "items", {"k": "long"}, keep=("event_type",))
+    return e.groupBy("event_type").agg(F.sum("k").alias("k_sum"), F.countDistinct("k").alias("k_distinct"))
 
 
 @query("percentile_summary", """

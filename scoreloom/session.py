@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,13 @@ def session(app: str = "scoreloom", cpus: int | str | None = None, shuffle: int
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; the path is left to Spark, so any store it can open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root}/scoreloom/{name}-{uuid.uuid4().hex}"

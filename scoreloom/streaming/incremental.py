@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,26 +9,45 @@ from pyspark.sql.streaming import StreamingQuery
 from scoreloom.operators.merge import upsert
 
 
-def upsert_stream(spark: SparkSession, source: str, schema, target: str, keys: list[str], seq: str, checkpoint: str) -> StreamingQuery:
-    """Merge whatever files are new in ``source`` into versions of a table below ``target``, then stop.
+def upsert_stream(spark: SparkSession, source: str, schema, target: str, keys: list[str], seq: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Merge whatever files are new in ``source`` into the table below ``target``, then stop.
 
-    Each batch writes a whole new version named by its number, so a batch that
-    is run again after a failure writes the same one.
+    Rows lie in buckets of their keys' hash. A batch writes the buckets it
+    touches as versions named by its number, so one that is run again after a
+    failure writes the same ones; the other buckets keep their last version.
     """
     def merge(batch: DataFrame, number: int) -> None:
-        old = read_version(spark, target, number - 1)
-        new = batch if old is None else upsert(old, batch, keys, seq)
-        if old is None:
-            new = upsert(batch.limit(0), batch, keys, seq)
-        new.write.mode("overwrite").parquet(f"{target}/v={number}")
+        new = batch.withColumn("bucket", F.pmod(F.hash(*keys), F.lit(buckets)))
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        old = _newest(spark, target, number - 1)
+        old = new.limit(0) if old is None else old.where(F.col("bucket").isin(touched))
+        rows = upsert(old, new, keys, seq).withColumn("v", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(target)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _newest(spark: SparkSession, target: str, number: int) -> DataFrame | None:
+    if number < 0:
+        return None
+    rows = spark.read.parquet(target)
+    newest: dict[int, int] = {}
+    for path in rows.inputFiles():
+        b, v = (int(part.split("=")[1]) for part in path.split("/")[-3:-1])
+        if v <= number:
+            newest[b] = max(v, newest.get(b, v))
+    # Both are folders, so the files of other versions aren't opened.
+    wanted = F.lit(False)
+    for b, v in newest.items():
+        wanted = wanted | ((F.col("bucket") == b) & (F.col("v") == v))
+    return rows.where(wanted).drop("v")
+
+
 def read_version(spark: SparkSession, target: str, number: int) -> DataFrame | None:
-    """A version of the table, or None before the first."""
-    return None if number < 0 else spark.read.parquet(f"{target}/v={number}")
+    """The table after a batch, or None before the first."""
+    rows = _newest(spark, target, number)
+    return None if rows is None else rows.drop("bucket")
 
 
 def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -39,10 +56,20 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str = "1
     return at.groupBy(F.window(ts, width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "complete", then: Callable[[], None] | None = None) -> DataFrame:
-    """Run a stream over what is there and read its result; for tests and small reports."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(df: DataFrame, keys: list[str], path: str) -> DataFrame:
+    """Run a stream over what is there in update mode and read its result: the row of each key that changed last.
+
+    Each batch lands its changed rows below ``path`` under its own number, so
+    a batch that is run again replaces its rows.
+    """
+    spark = df.sparkSession
+
+    def land(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    land(spark.createDataFrame([], df.schema), -1)
+    q = df.writeStream.outputMode("update").foreachBatch(land).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    if then:
-        then()
-    return df.sparkSession.table(name)
+    rest = [c for c in df.columns if c not in keys]
+    last = spark.read.parquet(f"{path}/rows").groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return last.select(*keys, "r.*").select(*df.columns)

@@ -1,13 +1,15 @@
 """Cases of the survey's edge rules: overrides, unknown kick-offs, finished flags, unknown ids, missing anchors."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
 
 from scoreloom.functions.text import normal, token_sort_ratio
-from scoreloom.operators import decisions, matching, teams
+from scoreloom.operators import decisions, matching, teams, windows
 from scoreloom.plans import payloads
 from scoreloom.sources import archive
+from scoreloom.streaming import incremental
 
 
 def test_overrides_meet_in_normal_form_and_the_last_holds(spark):
@@ -92,3 +94,46 @@ def test_manager_comparison_takes_what_was_known_on_the_day(spark):
     got = {r.event_id: r for r in payloads.manager_comparison(picks, pred, off, deadline, weeks).collect()}
     assert (got[1].model_points, got[1].model_matched, got[1].official_points, got[1].official_matched) == (8.0, 1, 5.0, 1)
     assert got[2].model_points is None
+
+
+def test_free_moves_over_many_slices(spark):
+    rng = random.Random(5)
+    used = [rng.choice([0, 0, 1, 2, 7]) for _ in range(500)]
+    df = spark.createDataFrame([("a", g, u) for g, u in enumerate(used, 1)] + [("b", 1, 4)], "k string, gw int, made long")
+    want = 1
+    for u in used[1:]:
+        want = min(5, max(0, want - u) + 1)
+    for width in (7, 1024):
+        assert {r.k: r.free_moves for r in windows.capped_fold(df, ["k"], "gw", "made", width=width).collect()} == {"a": want, "b": 1}
+
+
+def test_upsert_stream_rewrites_only_what_changed(spark, tmp_path):
+    source, target, at = (str(tmp_path / n) for n in ("in", "out", "at"))
+    schema = "id int, seq int, x string"
+
+    def load(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        incremental.upsert_stream(spark, source, schema, target, ["id"], "seq", at, buckets=8).awaitTermination()
+
+    load([(i, 1, "a") for i in range(40)])
+    load([(3, 2, "b"), (99, 1, "c")])
+    rows = lambda n: {r.id: r.x for r in incremental.read_version(spark, target, n).collect()}
+    assert rows(0) == {i: "a" for i in range(40)}
+    assert rows(1) == {**{i: "a" for i in range(40)}, 3: "b", 99: "c"}
+    assert 1 <= len(list((tmp_path / "out").glob("bucket=*/v=1"))) <= 2
+    assert incremental.read_version(spark, target, -1) is None
+
+
+def test_stream_lands_what_changed_and_the_last_row_holds(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "ts timestamp, k string"
+    day = lambda n: datetime.datetime(2024, 1, n)
+
+    def load(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        counts = incremental.windowed_counts(spark.readStream.schema(schema).parquet(source), "ts", ["k"])
+        return {(r.start.day, r.k): r.n for r in incremental.run_to_table(counts, ["start", "k"], out).collect()}
+
+    assert load([(day(1), "a"), (day(9), "a"), (day(9), None)]) == {(1, "a"): 1, (9, "a"): 1, (9, None): 1}
+    # Eight days late is beyond the watermark, one isn't.
+    assert load([(day(1), "a"), (day(8), "a"), (day(9), "a")]) == {(1, "a"): 1, (8, "a"): 1, (9, "a"): 2, (9, None): 1}
