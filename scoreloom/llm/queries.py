@@ -1,4 +1,4 @@
-"""The thin queries op1..op10: each applies its operator to a whole table."""
+"""The thin queries op1..op13: each applies its operator to a whole table."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from scoreloom.llm import warc
 from scoreloom.llm.common import scratch
 from scoreloom.llm.decontaminate import leaks
 from scoreloom.llm.embedding_dedup import near_duplicates
+from scoreloom.llm.infill import fill_in_middle, restore
 from scoreloom.llm.jaccard_join import jaccard_components
 from scoreloom.llm.licences import document_paths, licence_scan
 from scoreloom.llm.mixing import SHARE, domain_of, mix, target_weights
@@ -159,6 +160,36 @@ LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
 """
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = restore(fill_in_middle(read(spark, sf_dir, "documents")))
+    digest = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
+
+
+OP13_SQL = """
+WITH base AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM base
+), cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:n], '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -170,5 +201,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_tool_calls": op9_tool_calls,
     "op10_licences": op10_licences,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op9_tool_calls": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op9_tool_calls": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
