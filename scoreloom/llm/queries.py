@@ -17,6 +17,7 @@ from scoreloom.llm.quality import quality
 from scoreloom.llm.token_counts import token_counts
 from scoreloom.llm.tool_calls import TOOLS, from_conversations, tool_calls
 from scoreloom.llm.toxicity import toxicity
+from scoreloom.llm.whitening import whiten
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,6 +161,10 @@ LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
 """
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = restore(fill_in_middle(read(spark, sf_dir, "documents")))
     digest = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
@@ -201,6 +206,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_tool_calls": op9_tool_calls,
     "op10_licences": op10_licences,
+    "op11_whitening": op11_whitening,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op9_tool_calls": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
