@@ -9,6 +9,7 @@ from scoreloom.llm import warc
 from scoreloom.llm.common import scratch
 from scoreloom.llm.decontaminate import leaks
 from scoreloom.llm.embedding_dedup import near_duplicates
+from scoreloom.llm.fingerprints import fingerprints
 from scoreloom.llm.infill import fill_in_middle, restore
 from scoreloom.llm.jaccard_join import jaccard_components
 from scoreloom.llm.licences import document_paths, licence_scan
@@ -165,6 +166,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = restore(fill_in_middle(read(spark, sf_dir, "documents")))
     digest = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
@@ -207,6 +212,7 @@ QUERIES = {
     "op9_tool_calls": op9_tool_calls,
     "op10_licences": op10_licences,
     "op11_whitening": op11_whitening,
+    "op12_fingerprints": op12_fingerprints,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {"op6_warc": OP6_SQL, "op7_mixing": OP7_SQL, "op9_tool_calls": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
