@@ -29,6 +29,8 @@ HUGE_CHARS = 60_000
 CHUNK_CHARS = 30_000
 OVERLAP_CHARS = 400
 MARGIN_CHARS = 64
+#: Chunks that a task sends on at once.
+CUT_ROWS = 64
 TOKEN_LIMIT = 512
 #: Words whose tokens a worker keeps; a full cache starts afresh.
 CACHE_WORDS = 100_000
@@ -118,26 +120,32 @@ def splice(chunks: list[dict]) -> int | None:
     return total + chunks[-1]["n"] - start
 
 
+def cuts(chars: int, chunk: int, overlap: int) -> list[tuple[int, int, bool]]:
+    """(first, end, whether it is the last) of the chunks of a text; a chunk within the overlap of the one before is none."""
+    firsts = [f for f in range(0, chars, chunk) if f == 0 or f + overlap < chars]
+    return [(f, min(f + chunk + overlap, chars), f + chunk + overlap >= chars) for f in firsts]
+
+
+def _pieces(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(doc_key, no, first, last, piece, chars): the overlapping chunks of each text, cut in one walk over it."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_key", "no", "first", "last", "piece", "chars"]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32()]
+        for b in slices(batches, 1):
+            key, text = b["doc_key"][0].as_py(), b["text"][0].as_py()
+            rows = [(key, no, *c) for no, c in enumerate(cuts(len(text), chunk, overlap))]
+            for at in range(0, len(rows), CUT_ROWS):
+                some = [(k, no, first, last, text[first:end], len(text)) for k, no, first, end, last in rows[at : at + CUT_ROWS]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*some), kinds)], names)
+
+    return docs.select("doc_key", "text").mapInArrow(cut, "doc_key string, no int, first int, last boolean, piece string, chars int")
+
+
 def _chunk_counts(docs: DataFrame, path: str, chunk: int, overlap: int, margin: int) -> DataFrame:
-    """(doc_key, n_tokens) of huge texts; n_tokens is null where a splice failed."""
-    core = F.lit(chunk)
-    cut = (
-        docs.select("doc_key", "text", F.length("text").alias("chars"))
-        .select("doc_key", "text", "chars", F.explode(F.sequence(F.lit(0), F.ceil(F.col("chars") / core).cast("int") - 1)).alias("no"))
-        .select(
-            "doc_key",
-            "no",
-            (F.col("no") * core).alias("first"),
-            ((F.col("no") + 1) * core + overlap >= F.col("chars")).alias("last"),
-            F.substring("text", F.col("no") * core + 1, core + overlap).alias("piece"),
-            F.col("chars"),
-        )
-        # A chunk whose core the chunk before already covers to the end is not needed.
-        .where((F.col("no") == 0) | (F.col("no") * core + overlap < F.col("chars")))
-        .drop("chars")
-        # By a number, which adaptive execution leaves alone: a chunk is little data and much work.
-        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_key", "no")
-    )
+    """(doc_key, n_tokens, n_chunks, chars) of huge texts; n_tokens is null where a splice failed."""
+    # By a number, which adaptive execution leaves alone: a chunk is little data and much work.
+    cut = _pieces(docs, chunk, overlap).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_key", "no")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,21 +155,21 @@ def _chunk_counts(docs: DataFrame, path: str, chunk: int, overlap: int, margin:
             ]
             cols = [pa.array([o[i] for o in out], pa.list_(pa.int32())) for i in range(4)]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_key"], b["no"], *cols, pa.array([o[4] for o in out], pa.int32())],
-                ["doc_key", "no", "head_at", "head_before", "tail_at", "tail_before", "n"],
+                [b["doc_key"], b["no"], *cols, pa.array([o[4] for o in out], pa.int32()), b["chars"]],
+                ["doc_key", "no", "head_at", "head_before", "tail_at", "tail_before", "n", "chars"],
             )
 
     told = cut.mapInArrow(
         encode,
-        "doc_key string, no int, head_at array<int>, head_before array<int>, tail_at array<int>, tail_before array<int>, n int",
+        "doc_key string, no int, head_at array<int>, head_before array<int>, tail_at array<int>, tail_before array<int>, n int, chars int",
     )
 
     def join_up(rows):
         rows = rows.sort_values("no")
         n = splice(rows.to_dict("records"))
-        return rows.head(1)[["doc_key"]].assign(n_tokens=n, n_chunks=len(rows)).astype({"n_tokens": "Int64"})
+        return rows.head(1)[["doc_key", "chars"]].assign(n_tokens=n, n_chunks=len(rows)).astype({"n_tokens": "Int64"})
 
-    return told.groupBy("doc_key").applyInPandas(join_up, "doc_key string, n_tokens long, n_chunks int")
+    return told.groupBy("doc_key").applyInPandas(join_up, "doc_key string, chars int, n_tokens long, n_chunks int")
 
 
 def token_counts(
@@ -201,14 +209,14 @@ def token_counts(
     done = []
     while True:
         got = materialise(_chunk_counts(pending, path, chunk, overlap, margin), "token-chunks")
-        done.append(got.where("n_tokens is not null"))
-        failed = got.where("n_tokens is null").select("doc_key")
-        if failed.isEmpty():
+        done.append(got.where("n_tokens is not null").drop("chars"))
+        failed = got.where("n_tokens is null")
+        longest = failed.agg(F.max("chars")).first()[0]
+        if longest is None:
             break
-        longest = huge_docs.join(failed, "doc_key", "left_semi").agg(F.max(F.length("text"))).first()[0]
         overlap *= 2
         chunk = longest + 1 if overlap >= longest else max(chunk, overlap)
-        pending = huge_docs.join(failed, "doc_key", "left_semi").groupBy("doc_key").agg(F.first("text").alias("text"))
+        pending = huge_docs.join(failed.select("doc_key"), "doc_key", "left_semi").groupBy("doc_key").agg(F.first("text").alias("text"))
     known = done[0]
     for d in done[1:]:
         known = known.unionByName(d)

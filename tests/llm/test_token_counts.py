@@ -1,9 +1,11 @@
+import random
+
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from scoreloom.llm.token_counts import chunk_rows, splice, token_counts, whole_counts
+from scoreloom.llm.token_counts import chunk_rows, cuts, splice, token_counts, whole_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOK = Tokenizer.from_file(PATH)
@@ -50,3 +52,19 @@ def test_frame_with_huge_null_empty_and_unbroken_texts(spark):
 
 def test_an_empty_table(spark):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_a_text_of_four_megabytes(spark):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["alpha", "beta gamma", "汉字", "\n\n", "x" * 50, "12345", "end."]) for _ in range(700_000))
+    assert len(text) > 4_000_000
+    r = token_counts(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
+    assert (r.n_tokens, r.n_bytes) == (library(text), len(text.encode())) and r.n_chunks > 130
+
+
+@given(st.integers(0, 300), st.sampled_from([1, 7, 50]), st.sampled_from([1, 20, 400]))
+def test_cuts_cover_a_text_and_overlap(chars, chunk, overlap):
+    got = cuts(chars, chunk, overlap)
+    assert [c[2] for c in got] == [False] * (len(got) - 1) + [True] * bool(got)
+    assert not got or (got[0][0] == 0 and got[-1][1] == chars)
+    assert all(a[1] - b[0] == overlap for a, b in zip(got, got[1:]))
