@@ -29,7 +29,7 @@ def order_key(seed: int) -> F.Column:
 
 
 def bounded(ids: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n rows of ``ids``, by the seeded order."""
+    """At most n rows of ``ids``, whose ids must be distinct, by the seeded order."""
     return ids.orderBy(order_key(seed), "doc_id").limit(n)
 
 
@@ -38,8 +38,15 @@ def class_sizes(known: DataFrame) -> dict[int, int]:
 
 
 def with_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of a bounded id list; the list is small by construction, so it is broadcast and no text is shuffled."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    """``ids`` (distinct doc_id and other columns) with a text each, where ``docs`` has one.
+
+    The list is bounded, so it is broadcast, and only texts that it names are
+    shuffled. Of several rows of one id the text with the smallest hash
+    counts, so a sample has no more rows than ids.
+    """
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = F.min_by("text", F.xxhash64("text")).alias("text")
+    return named.groupBy(*ids.columns).agg(one)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

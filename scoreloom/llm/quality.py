@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from scoreloom.llm.common import fresh, held_out, slices
-from scoreloom.llm.labelled import bounded, class_sizes, fold, training_labels, with_texts
+from scoreloom.llm.common import drop_scratch, fresh, held_out, materialise, slices
+from scoreloom.llm.labelled import bounded, class_sizes, fold, order_key, training_labels, with_texts
 
-#: Bounds of the training sample: documents a class for the dictionaries and for the curve, and the
-#: pieces that a text gives to a dictionary, spread over the whole of it: 64 MB a class at most.
+#: Bounds of the training sample: labelled rows a class for the dictionaries and for the curve. For the
+#: dictionaries, rows whose whole texts would bring their class over so many bytes are passed over as well.
 DICTIONARY_DOCS = 2_000
 CURVE_DOCS = 3_000
-DICTIONARY_PIECES = 16
+SAMPLE_BYTES = 64_000_000
 DICTIONARY_BYTES = 500_000
 #: Texts are compressed in pieces of this many bytes, so that what a long text repeats doesn't drown the dictionary.
 PIECE_BYTES = 2_048
@@ -62,9 +62,14 @@ def cut(raw: bytes) -> list[bytes]:
     return [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
 
 
-def spread(pieces: list[bytes], n: int = DICTIONARY_PIECES) -> list[bytes]:
-    """At most n pieces, evenly from first to last."""
-    return pieces if len(pieces) <= n else [pieces[i * (len(pieces) - 1) // (n - 1)] for i in range(n)]
+def within(rows: list[tuple[int, int, int]], most: int = SAMPLE_BYTES) -> list[int]:
+    """Ids of the (id, label, bytes) that stay within so many bytes a label, in the order given; a row that doesn't fit is passed over."""
+    used, out = {}, []
+    for i, label, n in rows:
+        if used.get(label, 0) + n <= most:
+            used[label] = used.get(label, 0) + n
+            out.append(i)
+    return out
 
 
 def build_dictionary(pieces: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -135,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     """Build the dictionaries and the curve from a bounded sample of ``docs`` and ``labels`` (doc_id, quality).
 
     Folds 1 and 2 of the labelled rows make dictionaries, folds 3 and 4 the
-    curve, where each class is weighted back to its share. Pieces of the
-    first and sizes of the second reach the driver. Where a class has no
+    curve, where each class is weighted back to its share. Texts of the
+    first and sizes of the second reach the driver; an id counts once, however
+    many rows it has. Where a class has no
     texts, the model says the share of label 1 (1 if there is no label).
     """
     spark = docs.sparkSession
@@ -146,16 +152,14 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     def sample(dictionary: bool, n: int) -> DataFrame:
         mine = known.where(F.col("dictionary") == dictionary)
         ids = bounded(mine.where("label = 0"), n, seed).unionByName(bounded(mine.where("label = 1"), n, seed))
-        return with_texts(docs, ids).select("label", "text")
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = [spread(cut(encoded(t))) for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["label"], pa.array(rows, pa.list_(pa.binary()))], ["label", "pieces"])
-
-    told = sample(True, DICTIONARY_DOCS).mapInArrow(pieces, "label int, pieces array<binary>").toArrow()
-    rows = sorted(zip(told["label"].to_pylist(), told["pieces"].to_pylist()))  # whatever order they came in
-    good, bad = (build_dictionary([p for label, ps in rows if label == k for p in ps]) for k in (1, 0))
+        return with_texts(docs, ids.select("doc_id", "label"))
+
+    texts = materialise(sample(True, DICTIONARY_DOCS), "quality-sample")
+    sizes_ = texts.select("doc_id", "label", F.octet_length("text").alias("n")).orderBy(order_key(seed), "doc_id").collect()
+    taken = spark.createDataFrame([(i,) for i in within([tuple(r) for r in sizes_])], texts.select("doc_id").schema)
+    rows = sorted(map(tuple, texts.join(F.broadcast(taken), "doc_id").select("label", "text").collect()))  # whatever order they came in
+    drop_scratch(texts)
+    good, bad = (build_dictionary([p for label, t in rows if label == k for p in cut(encoded(t))]) for k in (1, 0))
     sent = spark.sparkContext.broadcast((good, bad))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
             d = difference(np.array([sizes(t, *sent.value) for t in b["text"].to_pylist()]).reshape(-1, 3))
             yield pa.RecordBatch.from_arrays([b["label"], pa.array(d, pa.float64())], ["label", "difference"])
 
-    got = sample(False, CURVE_DOCS).mapInArrow(measure, "label int, difference double").toArrow()
+    got = sample(False, CURVE_DOCS).select("label", "text").mapInArrow(measure, "label int, difference double").toArrow()
     known.unpersist()
     sent.destroy()
     x, y = got["difference"].to_numpy(), got["label"].to_numpy().astype(float)

@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     At most ``POSITIVES`` confirmed texts and ``UNLABELLED`` texts drawn from
     all that may teach, confirmed or not: the risk estimator wants a sample
     with the share of positives that the prior says, which is that of the
-    labels. Of these texts only the ids of the kept features reach the
+    labels. An id counts once, however many rows it has. Of these texts only the ids of the kept features reach the
     driver. Without a confirmed text, or without any text, the model says the
     class prior, or 0.001 where that is unknown.
     """
@@ -185,10 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     total = sum(sizes.values())
     prior = min(0.9, max(1e-3, sizes.get(1, 0) / total)) if total else 1e-3
     toxic = bounded(known.where("label = 1").select("doc_id"), POSITIVES, seed)
-    n = docs.where(~held_out()).count()
+    n = docs.where(~held_out()).agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]
     share = min(1.0, 1.5 * UNLABELLED / max(n, 1))
     cut = min(int((share - 0.5) * 2**64), 2**63 - 1)
-    some = bounded(docs.where(~held_out() & (order_key(seed + 1) <= F.lit(cut))).select("doc_id"), UNLABELLED, seed + 1)
+    some = bounded(docs.where(~held_out() & (order_key(seed + 1) <= F.lit(cut))).select("doc_id").distinct(), UNLABELLED, seed + 1)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -197,6 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
 
     ids = toxic.withColumn("positive", F.lit(True)).unionByName(some.withColumn("positive", F.lit(False)))
     shape = "positive boolean, ids array<int>"
+    # An id may be in both samples; with the flag as a column each has its row.
     sample = materialise(with_texts(docs, ids).select("positive", "text").mapInArrow(features, shape), "toxicity-sample")
     known.unpersist()
     n_pos, n_unl = sample.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scoreloom.llm import quality as ql
 from scoreloom.llm import toxicity as tx
 from scoreloom.llm.common import held_out
+from scoreloom.llm.labelled import with_texts
 
 SF = "/root/testdata/sf0.01"
 
@@ -165,3 +166,28 @@ def test_filters_keep_columns(spark):
 def test_dictionary_of_too_little_text():
     assert ql.build_dictionary([]) == b""
     assert ql.build_dictionary([b"abc"]) == b"abc"
+
+
+def repeated_ids(spark):
+    """One labelled id, and one unlabelled id, at a third of all rows each."""
+    rows = [(i, f"good text number {i} about trees", 1, i % 2) for i in range(100)]
+    rows += [(1, f"row {j} of the same document", 1, 1) for j in range(100)] + [(1000, f"row {j} of another", None, None) for j in range(100)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    return docs, labels
+
+
+def test_samples_have_no_more_rows_than_ids(spark):
+    docs, labels = repeated_ids(spark)
+    ids = labels.select("doc_id", "toxic").unionByName(spark.createDataFrame([(1000, None)], "doc_id long, toxic int"))
+    got = with_texts(docs, ids).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 101
+    assert {r.doc_id: r.text for r in with_texts(docs.repartition(7), ids).collect()} == {r.doc_id: r.text for r in got}
+    out = tx.toxicity(docs, labels)
+    assert out.count() == docs.count()
+    assert ql.quality(docs, labels).count() == docs.count()
+
+
+def test_dictionary_rows_within_bytes():
+    rows = [(1, 0, 50), (2, 1, 70), (3, 0, 60), (4, 0, 50), (5, 1, 31), (6, 1, 30), (7, 0, 1)]
+    assert ql.within(rows, 100) == [1, 2, 4, 6]
