@@ -176,17 +176,16 @@ def frames(data: bytes) -> Iterator[tuple[int, bytes]]:
 
 def _dictionary(pages: DataFrame, seed: int = 3) -> bytes:
     """A dictionary from a bounded sample of payloads; empty where there is nothing to learn from."""
-    keyed = pages.select("html", F.octet_length("html").alias("n"), F.xxhash64(F.lit(seed), F.col("page_id").cast("string")).alias("k")).where("n > 0")
-    # Lengths first: no text is sent that isn't learnt from.
-    size, last = 0, None
-    for r in keyed.select("k", "n").orderBy("k", "n").limit(SAMPLE_PAGES).collect():
-        size += r["n"]
-        if size > SAMPLE_BYTES:
-            break
-        last = r["k"], r["n"]
-    if last is None:
-        return b""
-    rows = keyed.where(F.struct("k", "n") <= F.struct(F.lit(last[0]), F.lit(last[1]))).select("k", "html").limit(SAMPLE_PAGES).collect()
+    told = pages.select("html", F.octet_length("html").alias("n"), F.xxhash64(F.lit(seed), F.col("page_id").cast("string")).alias("k"), F.xxhash64("html").alias("h"))
+    told = told.where("n > 0")
+    # Lengths first, one row an id: no text is sent that isn't learnt from. A page that doesn't fit is passed over.
+    size, taken = 0, []
+    for k, first in told.groupBy("k").agg(F.min(F.struct("n", "h")).alias("first")).orderBy("k").limit(SAMPLE_PAGES).collect():
+        if size + first["n"] <= SAMPLE_BYTES:
+            size += first["n"]
+            taken.append((k, first["n"], first["h"]))
+    chosen = pages.sparkSession.createDataFrame(taken, "k long, n int, h long")
+    rows = told.join(F.broadcast(chosen), ["k", "n", "h"]).groupBy("k").agg(F.first("html").alias("html")).collect()
     texts = [r["html"].encode("utf-8", "surrogatepass") for r in sorted(rows)]
     total = sum(map(len, texts))
     if not total:

@@ -59,3 +59,12 @@ def test_an_empty_table(spark):
     path = scratch(spark, "warc-test")
     warc.write_archives(spark.createDataFrame([], SCHEMA), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_a_dictionary_whatever_the_first_page(spark):
+    rows = [(i, f"<html><body>page {i} of many with words {i * 7}</body></html>" * 8) for i in range(200)]
+    sizes = []
+    for big in (0, 5_000_000):
+        df = spark.createDataFrame([(i, h + "x" * (big if i % 3 == 0 and i < 9 else 0)) for i, h in rows] + [(5, "again")] * 60, "page_id long, html string")
+        sizes.append(len(warc._dictionary(df)))
+    assert min(sizes) > 1_000
