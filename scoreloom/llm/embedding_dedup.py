@@ -184,21 +184,41 @@ def _forest():
     return join
 
 
-def ask(shard: dict, asker: dict, ef: int, least: float, join):
-    """Links of the vectors of a shard in another or the same: Found, edges that ``join`` parts, and the best cosine of each."""
+def _all_near(shard: dict, qu: np.ndarray, q_ids: np.ndarray, least: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Vectors of a shard near each query, and the best cosine of each, by comparing them with all."""
+    near, best = [np.zeros(0, np.int64)] * len(qu), np.full(len(qu), -2.0)
+    u = unit(shard["x"])
+    for at in range(0, len(qu), AUDIT_ROWS):
+        sims = qu[at : at + AUDIT_ROWS] @ u.T
+        sims[q_ids[at : at + AUDIT_ROWS, None] == shard["ids"][None, :]] = -2.0
+        best[at : at + AUDIT_ROWS] = sims.max(axis=1)
+        near[at : at + AUDIT_ROWS] = [np.flatnonzero(row >= least - SLACK) for row in sims]
+    return near, best
+
+
+def ask(shard: dict, asker: dict, ef: int | None, least: float, join):
+    """Links of the vectors of a shard in another or the same: Found, edges that ``join`` parts, and the best cosine of each.
+
+    Without a beam (``ef`` None) all are compared with all.
+    """
     graph, x, ids, q, q_ids = shard["graph"], shard["x"], shard["ids"], asker["x"], asker["ids"]
     norm, q_norm = np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
     links, edges, best = Found(len(q), len(x)), [], np.full(len(q), -2.0)
     for at in range(0, len(q), BLOCK_ROWS):
         qu = unit(q[at : at + BLOCK_ROWS])
-        found, sims = graph.search(qu, ef)
-        other = np.where((found >= 0) & (ids[found] != q_ids[at : at + len(qu), None]), sims, -2.0)
-        best[at : at + len(qu)] = other.max(axis=1)
-        hit = (sims >= least - SLACK) & (found >= 0)
-        n_hit = hit.sum(axis=1)
+        if ef is None:
+            hits, best[at : at + len(qu)] = _all_near(shard, qu, q_ids[at : at + len(qu)], least)
+            n_hit = np.array([len(h) for h in hits])
+        else:
+            found, sims = graph.search(qu, ef)
+            other = np.where((found >= 0) & (ids[found] != q_ids[at : at + len(qu), None]), sims, -2.0)
+            best[at : at + len(qu)] = other.max(axis=1)
+            hit = (sims >= least - SLACK) & (found >= 0)
+            n_hit = hit.sum(axis=1)
         for k in np.flatnonzero(n_hit):
-            i, near = at + int(k), found[k][hit[k]]
-            if n_hit[k] * 2 >= found.shape[1]:
+            i = at + int(k)
+            near = hits[k] if ef is None else found[k][hit[k]]
+            if ef is not None and n_hit[k] * 2 >= found.shape[1]:
                 near = graph.flood(qu[k], near, least - SLACK)
             exact = x[near] @ q[i] / (norm[near] * q_norm[i])
             near = near[(exact >= least) & (ids[near] != q_ids[i])]
@@ -208,7 +228,7 @@ def ask(shard: dict, asker: dict, ef: int, least: float, join):
     return links.close(), edges, best
 
 
-def ask_both(a: dict, b: dict | None, ef: int, least: float):
+def ask_both(a: dict, b: dict | None, ef: int | None, least: float):
     """Links between two shards, or within one: (ids, n_links, best cosine) of each shard, and a spanning forest as edges.
 
     A link counts at both its ends, whichever end found it.
@@ -232,17 +252,24 @@ def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch[name][i].as_py() for name in batch.schema.names}
 
 
-def _pass(graphs: DataFrame, ef: int, least: float) -> DataFrame:
-    """(a, b, n, near): n links and the best cosine of a with a shard (b null), or an edge of the forest (n null)."""
+def _pass(graphs: DataFrame, n_shards: int, ef: int | None, least: float) -> DataFrame:
+    """(a, b, n, near): n links and the best cosine of a with a shard (b null), or an edge of the forest (n null).
+
+    Each shard is sent once for each partner's number, so nobody lists pairs;
+    a shard whose partner has no rows of its length is read and left.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for r in _rows_of(batches):
             # The two shards of a pair follow one another.
-            if r["of_two"] and held.get("pair") != r["pair"]:
-                held = {"pair": r["pair"], "shard": _shard(r)}
+            if r["shard"] == r["partner"]:
+                ends, edges = ask_both(_shard(r), None, ef, least)
+            elif held.get("pair") == (r["pair"], r["dim"]):
+                ends, edges = ask_both(held.pop("shard"), _shard(r), ef, least)
+            else:
+                held = {"pair": (r["pair"], r["dim"]), "shard": _shard(r)}
                 continue
-            ends, edges = ask_both(held.pop("shard"), _shard(r), ef, least) if r["of_two"] else ask_both(_shard(r), None, ef, least)
             left = np.concatenate([*(e[0] for e in ends), np.array([e[0] for e in edges], np.int64)])
             n_told = len(left) - len(edges)
             right = [*[None] * n_told, *(o for _, o in edges)]
@@ -251,12 +278,12 @@ def _pass(graphs: DataFrame, ef: int, least: float) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip((left, right, n, near), kinds)], ["a", "b", "n", "near"])
 
-    known = sorted((r["dim"], r["shard"]) for r in graphs.select("dim", "shard").collect())
-    pairs = [(dim, a, b) for dim, a in known for d, b in known if d == dim and a <= b]
-    ends = [(i, dim, s, a != b) for i, (dim, a, b) in enumerate(pairs) for s in {a, b}]
-    asked = graphs.sparkSession.createDataFrame(ends, "pair long, dim int, shard long, of_two boolean")
-    tasks = max(1, min(len(pairs), PAIR_TASKS))
-    rows = graphs.join(F.broadcast(asked), ["dim", "shard"]).repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair", "shard")
+    tasks = max(1, min(n_shards * (n_shards + 1) // 2, PAIR_TASKS))
+    low, high = F.least("shard", "partner"), F.greatest("shard", "partner")
+    sent = graphs.withColumn("partner", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
+    # Pairs (0, 0), (0, 1), (1, 1), (0, 2), ... by number.
+    sent = sent.withColumn("pair", (high * (high + 1) / 2).cast("long") + low)
+    rows = sent.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair", "dim", "shard")
     return rows.mapInArrow(run, "a long, b long, n long, near double")
 
 
@@ -357,15 +384,17 @@ def graph_cores(rows: DataFrame) -> int:
 
 
 def near_duplicates(rows: DataFrame, least: float = LEAST, ef: int = BEAM, recall: float = RECALL, shard_rows: int = SHARD_ROWS, shards: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of ``rows`` (vec_id, embedding).
+    """vec_id, n_links, component_id, kept and audited_recall of every row of ``rows`` (vec_id, embedding).
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, nor do vectors of different lengths with one another.
     Equal vectors link with one another; repeated rows of an id count as
     other vectors. A null vec_id gets no component and is not kept; its
     vector counts for no other. component_id is the smallest vec_id reachable
-    by links that were found; all of them were checked. Other columns are
-    ignored.
+    by links that were found; all of them were checked. audited_recall is
+    what the sample's queries found with the beam in the end, the least of
+    the audited means; where the widest beam falls short, shards are compared
+    whole, and it is 1. Other columns are ignored.
     """
     all_ = materialise(classes_of(rows), "vectors")
     valid = all_.where("key is not null and vec_id is not null")
@@ -380,9 +409,17 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, ef: int = BEAM, recal
     # A task a shard, by its number.
     graphs = materialise(placed.repartitionById(n_shards, F.col("shard").cast("int")).select("dim", "shard", "id", "m", "vec").mapInArrow(_build, shape), "vector-graphs")
     sample, truth = draw_audit(classes, n, least)
-    while truth and ef < min(shard_rows, n) and any(r < recall for r in recalls(truth, probe(graphs, sample, ef, least)).values()):
+    audited = 1.0
+    while truth:
+        audited = min(recalls(truth, probe(graphs, sample, ef, least)).values(), default=1.0)
+        if audited >= recall:
+            break
+        if ef >= min(shard_rows, n):
+            # No beam is wide enough: all vectors of a pair of shards are compared.
+            ef, audited = None, 1.0
+            break
         ef *= 2
-    found = materialise(_pass(graphs, ef, least), "vector-links")
+    found = materialise(_pass(graphs, n_shards, ef, least), "vector-links")
     drop_scratch(graphs)
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("n_found"))
     labels = connected_components(found.where("b is not null").select("a", "b"), "vectors-cc")
@@ -394,4 +431,5 @@ def near_duplicates(rows: DataFrame, least: float = LEAST, ef: int = BEAM, recal
         .join(told, "key", "left")
         .select("vec_id", F.when(named, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(named, F.coalesce("c", "vec_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+        .withColumn("audited_recall", F.lit(audited))
     )

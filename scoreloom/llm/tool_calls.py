@@ -38,7 +38,8 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
     n_results tells how many there are. Status is ``linked``, ``unanswered``,
     ``early`` (the result comes before the call) or ``unnamed`` (a null
     conversation or identifier links with nothing). Of several calls under one
-    identifier the earliest keeps it and the others are ``repeated``.
+    identifier the earliest keeps it and the others are ``repeated``; rows that are equal in
+    turn, name and arguments are the same call, and share its status.
     """
     answered = (
         results.where("conv_id is not null and call_id is not null")

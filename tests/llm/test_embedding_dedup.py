@@ -117,3 +117,14 @@ def test_rare_links_among_many_vectors(spark):
     n, _ = brute(list(range(4000)), x)
     assert sum(k > 0 for k in n) == 8 and all(got[i] == k for i, k in enumerate(n) if k)
     assert all(got[i] <= k for i, k in enumerate(n))
+
+
+def test_exact_where_no_beam_reaches_the_recall(spark):
+    x = clusters(500, seed=9)
+    ids = list(range(500))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_duplicates(df, ef=256, recall=1.1, shards=3).collect()}
+    n, comp = brute(ids, x)
+    assert [got[i].n_links for i in ids] == n.tolist()
+    assert [got[i].component_id for i in ids] == comp
+    assert {r.audited_recall for r in got.values()} == {1.0}

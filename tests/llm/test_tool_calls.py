@@ -109,3 +109,11 @@ def test_canonical_values(spark):
 
 def test_empty(spark):
     assert run(spark, [], [], []).where(F.col("json").isNotNull()).count() == 0
+
+
+def test_equal_rows_of_a_call_share_its_status(spark):
+    from scoreloom.llm.tool_calls import link
+
+    calls = spark.createDataFrame([(1, "a", 0, "f", "{}"), (1, "a", 0, "f", "{}"), (1, "a", 2, "f", "{}")], "conv_id int, call_id string, turn int, name string, args_text string")
+    results = spark.createDataFrame([(1, "a", 1, "r")], "conv_id int, call_id string, turn int, content string")
+    assert sorted((r.turn, r.status) for r in link(calls, results).collect()) == [(0, "linked"), (0, "linked"), (2, "repeated")]
