@@ -78,8 +78,8 @@ def fit_classifiers(df: DataFrame, features: list[str], points: str, least: floa
 def quantile_forest(train: DataFrame, test: DataFrame, features: list[str], label: str, row_id: str, quantiles=(0.1, 0.5, 0.9), trees: int = 50) -> DataFrame:
     """Quantiles of the training labels that share leaves with each test row (Meinshausen 2006).
 
-    Spark's boosted trees have no pinball loss, so a forest's leaves serve as
-    neighbourhoods: labels are counted per (tree, leaf, value), and a test row
+    The other way to quantiles, beside :mod:`scoreloom.models.boosting`: a
+    forest's leaves serve as neighbourhoods, labels are counted per (tree, leaf, value), and a test row
     adds up its trees' shares of each value.
     """
     forest = RandomForestRegressor(numTrees=trees, maxDepth=6, minInstancesPerNode=20, seed=SEED, labelCol=label, featuresCol="features", leafCol="leaves")
@@ -89,12 +89,12 @@ def quantile_forest(train: DataFrame, test: DataFrame, features: list[str], labe
         told = model.transform(design(df, features, label))
         return told.select(*keep, F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
 
-    counts = leaves(train, label).groupBy("tree", "leaf", F.col(label).alias("y")).agg(F.count("*").alias("n"))
-    share = counts.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("tree", "leaf"))).select("tree", "leaf", "y", "w")
-    mass = leaves(test, row_id, label).join(share, ["tree", "leaf"]).groupBy(row_id, label, "y").agg((F.sum("w") / trees).alias("w"))
-    upto = F.sum("w").over(Window.partitionBy(row_id).orderBy("y"))
+    counts = leaves(train, label).groupBy("tree", "leaf", F.col(label).alias("__y")).agg(F.count("*").alias("n"))
+    share = counts.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("tree", "leaf"))).select("tree", "leaf", "__y", "w")
+    mass = leaves(test, row_id, label).join(share, ["tree", "leaf"]).groupBy(row_id, label, "__y").agg((F.sum("w") / trees).alias("w"))
+    upto = F.sum("w").over(Window.partitionBy(row_id).orderBy("__y"))
     ranked = mass.withColumn("upto", upto)
-    return ranked.groupBy(row_id, label).agg(*[F.min(F.when(F.col("upto") >= q - 1e-9, F.col("y"))).alias(f"q{round(q * 100)}") for q in quantiles])
+    return ranked.groupBy(row_id, label).agg(*[F.min(F.when(F.col("upto") >= q - 1e-9, F.col("__y"))).alias(f"q{round(q * 100)}") for q in quantiles])
 
 
 def quantile_scores(df: DataFrame, label: str, quantiles=(0.1, 0.5, 0.9)) -> DataFrame:

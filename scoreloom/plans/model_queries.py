@@ -6,7 +6,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scoreloom.models import training
+from scoreloom.models import boosting, training
 from scoreloom.models.squad_solver import sweep
 from scoreloom.operators.matching import match_names
 from scoreloom.session import shared_folder, table
@@ -47,8 +47,8 @@ def model_regression(s, d):
 @query("model_quantiles")
 def model_quantiles(s, d):
     o = _orders(s, d)
-    q = training.quantile_forest(o.where("year < 2000"), o.where("year >= 2000"), FEATURES, "o_totalprice", "o_orderkey", trees=5)
-    return training.quantile_scores(q, "o_totalprice")
+    model = boosting.fit(o.where("year < 2000"), FEATURES, "o_totalprice")
+    return training.quantile_scores(boosting.predict(o.where("year >= 2000"), model), "o_totalprice")
 
 
 @query("squad_sweep")
