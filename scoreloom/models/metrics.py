@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.operators.selection import percentiles
+
 
 def _err(y: str, p: str) -> Column:
     return F.col(y) - F.col(p)
@@ -103,9 +105,9 @@ def bootstrap(df: DataFrame, row_id: str, y: str, a: str, b: str, draws: int = 1
 
 def calibration_curve(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
     """Mean score and share of positives in bins between score quantiles; equal edges merge."""
-    edges = df.agg(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
-    at = F.size(F.filter("edges", lambda e: e < F.col(score)))
-    return df.join(F.broadcast(edges)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("positive_rate"))
+    edges = [e for e in percentiles(df, score, [i / bins for i in range(1, bins)]) if e is not None]
+    at = F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col(score)))
+    return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("positive_rate"))
 
 
 def calibration_by_segment(df: DataFrame, y: str, p: str, minutes: str, least: float = 75.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.operators.selection import percentiles
 from scoreloom.semantics import latest_by, safe_div
 
 
@@ -50,8 +51,8 @@ def histogram(df: DataFrame, value: str, bins: int = 36) -> DataFrame:
 
 
 def simulation_summary(df: DataFrame, value: str) -> DataFrame:
-    """Mean, 10/50/90 percentiles (interpolated) and the shares of 60 and 80 or more."""
-    p = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    """Mean, 10/50/90 percentiles (interpolated) and the shares of 60 and 80 or more; the percentiles are selected by passes of their own."""
+    p = [F.lit(v).cast("double") for v in percentiles(df, value, [0.1, 0.5, 0.9])]
     return df.agg(
         F.avg(value).alias("mean"), p[0].alias("p10"), p[1].alias("p50"), p[2].alias("p90"),
         F.avg((F.col(value) >= 60).cast("double")).alias("p_ge_60"), F.avg((F.col(value) >= 80).cast("double")).alias("p_ge_80"),
