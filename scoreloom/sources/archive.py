@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import math
 from pathlib import PurePosixPath
@@ -35,22 +36,54 @@ def read_or_empty(spark: SparkSession, path: str, schema: str, **options) -> Dat
     return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def season_rows(spark: SparkSession, root: str, season: str) -> DataFrame:
-    """One season's player rows, with availability flags for the families that came later."""
-    path = str(PurePosixPath(root) / season / "merged_gw.csv")
-    header = set(spark.read.option("header", True).csv(path).columns)
-    rows = read_or_empty(spark, path, ARCHIVE_SCHEMA)
-    flags = {"season": F.lit(season), "xg_data_available": F.lit(int("expected_goals" in header)), "dc_data_available": F.lit(int("defensive_contribution" in header))}
-    return rows.withColumns(flags).where("position <> 'AM'").withColumn("position", F.when(F.col("position") == "GK", "GKP").otherwise(F.col("position")))
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file, None where there is no file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(at), "UTF-8"))
+    try:
+        return reader.readLine()
+    finally:
+        reader.close()
 
 
 def seasons(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """All seasons as one frame; the season is a column to partition a table by."""
-    out = None
-    for name in sorted(names):
-        rows = season_rows(spark, root, name)
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+    """All seasons' player rows in one scan, typed, with availability flags for the column families that came later.
+
+    Columns are found by each season's own header line, in any order; those
+    that a season lacks are null. A season without a file has no rows. The
+    season comes from the file's path, so a filter on it skips files.
+    """
+    wanted = spark.createDataFrame([], ARCHIVE_SCHEMA).schema
+    paths = {n: str(PurePosixPath(root) / n / "merged_gw.csv") for n in names}
+    lines = {n: first_line(spark, p) for n, p in sorted(paths.items())}
+    # The text reader drops a byte order mark; so does this.
+    found = {n: x.removeprefix("\ufeff") for n, x in lines.items() if x}
+    headers = {n: next(csv.reader([x])) for n, x in found.items()}
+    flags = {"xg_data_available": "expected_goals", "dc_data_available": "defensive_contribution"}
+    if not found:
+        return spark.createDataFrame([], f"{ARCHIVE_SCHEMA}, season string, " + ", ".join(f"{f} int" for f in flags))
+
+    def by_season(value):
+        """A value for each season's header, as a lookup by season."""
+        return F.create_map(*[F.lit(x) for n, h in headers.items() for x in (n, value(n, h))])[F.col("season")]
+
+    text = spark.read.text([paths[n] for n in found]).select("value", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("season"))
+    body = text.where((F.trim("value") != "") & (F.col("value") != by_season(lambda n, h: found[n])))
+    width = max(map(len, headers.values()))
+    cells = body.select("season", F.from_csv("value", ", ".join(f"c{i} string" for i in range(width))).alias("c"))
+    row = F.array(*[F.col(f"c.c{i}") for i in range(width)])
+
+    def cell(name: str) -> Column:
+        places = {n: h.index(name) for n, h in headers.items() if name in h}
+        if len(places) == len(headers) and len(set(places.values())) == 1:
+            return F.col(f"c.c{next(iter(places.values()))}")
+        return F.get(row, by_season(lambda n, h: places.get(n, -1))) if places else F.lit(None)
+
+    rows = cells.select(*[cell(f.name).try_cast(f.dataType).alias(f.name) for f in wanted], "season", *[by_season(lambda n, h, c=c: int(c in h)).alias(f) for f, c in flags.items()])
+    return rows.where("position <> 'AM'").withColumn("position", F.when(F.col("position") == "GK", "GKP").otherwise(F.col("position")))
 
 
 def flatten(landed: DataFrame, array: str, fields: dict[str, str], nested: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

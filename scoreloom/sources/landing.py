@@ -1,4 +1,4 @@
-"""Landed files to tables: JSON, parameterised SQL, ordered ingest, reports, a cache with an age."""
+"""Landed files to tables: JSON, parameterised SQL, ordered ingest, reports, a cache with an age. Pulls are in :mod:`scoreloom.sources.pull`."""
 
 from __future__ import annotations
 
@@ -13,18 +13,6 @@ from scoreloom.operators.merge import insert_absent, upsert
 from scoreloom.sources.archive import read_or_empty, to_codes
 
 
-def with_retries(read: Callable[[], DataFrame], tries: int = 3, pause: float = 2.0) -> DataFrame:
-    """What ``read`` gives, tried again after growing pauses; RuntimeError after the last try."""
-    for n in range(1, tries + 1):
-        try:
-            return read()
-        except OSError as e:
-            if n == tries:
-                raise RuntimeError(f"no answer after {tries} tries") from e
-            time.sleep(pause * n)
-    raise ValueError("tries must be 1 or more")
-
-
 def landed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Landed payloads, one document a file, typed by ``schema``; a malformed file fails the read."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)

@@ -178,6 +178,18 @@ def test_archive_and_features(spark, tmp_path):
     rows = archive.seasons(spark, str(tmp_path), ["2022-23", "2021-22"])
     assert rows.where("position = 'AM'").count() == 0 and rows.where("position = 'GKP'").count() > 0
     assert {(r.season, r.xg_data_available) for r in rows.select("season", "xg_data_available").distinct().collect()} == {("2021-22", 0), ("2022-23", 1)}
+    plan = rows._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("FileScan") == 1
+    one = rows.where("season = '2021-22'")
+    assert {r.expected_goals for r in one.select("expected_goals").distinct().collect()} == {None}
+    scan = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    scan.executeColumnar() if scan.supportsColumnar() else scan.execute().count()
+    assert scan.metrics().apply("numFiles").value() == 1
+    assert archive.seasons(spark, str(tmp_path), ["1999-00"]).collect() == []
+    (tmp_path / "2023-24").mkdir()
+    (tmp_path / "2023-24" / "merged_gw.csv").write_text('\ufeffGW,name,element,position,expected_goals\n\n3,"Some, One",5,GK,0.25\n4,x,bad,FWD,\n')
+    moved = archive.seasons(spark, str(tmp_path), ["2023-24", "2022-23", "1999-00"]).where("season = '2023-24'").orderBy("GW").collect()
+    assert [(r.GW, r.name, r.element, r.position, r.expected_goals, r.minutes, r.xg_data_available) for r in moved] == [(3, "Some, One", 5, "GKP", 0.25, None, 1), (4, "x", None, "FWD", None, None, 1)]
     rows = rows.withColumns({"code": F.col("element") + 1000, "opponent": F.when(F.col("team") == "T1", "T2").otherwise("T1")})
     frame = features.training_frame(rows).persist()
     assert frame.count() == rows.select("season", "element", "GW").distinct().count()

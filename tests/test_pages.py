@@ -22,18 +22,6 @@ def squad(spark):
     return spark.createDataFrame(rows, "player_code long, squad_position int, position string, team string, predicted_points double, multiplier int, is_captain boolean")
 
 
-def test_retries():
-    tries = []
-
-    def fail():
-        tries.append(1)
-        raise OSError
-
-    with pytest.raises(RuntimeError):
-        landing.with_retries(fail, pause=0)
-    assert len(tries) == 3 and landing.with_retries(lambda: 5) == 5
-
-
 def test_landing_in_order(spark, tmp_path):
     (tmp_path / "boot.json").write_text(json.dumps({"elements": [{"code": 100, "id": 1, "web_name": "A"}, {"code": 200, "id": 2, "web_name": "B"}]}, indent=1))
     boot = landing.landed_json(spark, str(tmp_path / "boot.json"), "elements array<struct<code: long, id: int, web_name: string>>")
