@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.operators.slices import UP_TO, Line
 from scoreloom.semantics import micros
 
 #: Days after its start at which an open interval is taken to end.
@@ -22,6 +23,5 @@ def open_intervals(queries: DataFrame, intervals: DataFrame, keys: list[str], at
     none = F.lit(None).cast(q.schema["q"].dataType)
     starts = intervals.select(*keys, micros(start).alias("us"), F.lit(0).alias("kind"), F.lit(1).alias("step"), none.alias("q"))
     ends = intervals.select(*keys, micros(until).alias("us"), F.lit(0).alias("kind"), F.lit(-1).alias("step"), none.alias("q"))
-    w = Window.partitionBy(*keys).orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    line = q.unionByName(starts).unionByName(ends).withColumn("n_open", F.sum("step").over(w))
+    line = Line(q.unionByName(starts).unionByName(ends), keys, ["us", "kind"]).running(UP_TO, {"n_open": ("sum", F.col("step"))}).done()
     return line.where("kind = 1").select(*keys, "q.*", "n_open")

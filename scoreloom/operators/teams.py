@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.operators.slices import Line
 from scoreloom.semantics import latest_by, safe_div
 
 
@@ -25,8 +26,10 @@ def match_results(fixtures: DataFrame, keys: list[str], kept: tuple[str, ...] =
 
 def team_form(results: DataFrame, keys: list[str], order: list[str], n: int = 5) -> DataFrame:
     """Mean goals for and against over the last n matches with the current one."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
-    return results.withColumns({"att": F.avg("scored").over(w), "def": F.avg("conceded").over(w)})
+    def means(w: Window) -> dict:
+        return {name: F.avg(c).over(w.rowsBetween(1 - n, 0)) for name, c in (("att", "scored"), ("def", "conceded"))}
+
+    return Line(results, keys, order).rows(n - 1, means).done()
 
 
 def latest_form(form: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

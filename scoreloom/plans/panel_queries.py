@@ -62,7 +62,7 @@ SELECT event_id, CASE WHEN sum({_K_SQL}) OVER w > 0 THEN sum(value) OVER w * 90.
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)""")
 def per90_ratio(s, d):
     e = table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").try_cast("double"))
-    return e.select("event_id", windows.prior_rate(e, ["user_id"], EV, "value", "k").alias("per90"))
+    return windows.prior_rate(e, ["user_id"], EV, "value", "k", "per90").select("event_id", "per90")
 
 
 _W_SQL = " + ".join(f"coalesce(lag(value, {k}) OVER w, 0.0) * {x}" for k, x in enumerate(windows.FORM_WEIGHTS))
