@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.operators.bands import difficulty_multiplier
+from scoreloom.operators.slices import BEFORE, Line
 
 # The eight formations (defenders, midfielders, forwards), in order of preference.
 FORMATIONS = [(3, 4, 3), (3, 5, 2), (4, 3, 3), (4, 4, 2), (4, 5, 1), (5, 2, 3), (5, 3, 2), (5, 4, 1)]
@@ -62,23 +63,52 @@ def best_line_up(players: DataFrame, keys: list[str], position: str, value: str,
     return wide.select(*keys, best.alias("b")).where("b is not null").select(*keys, "b.formation", "b.total")
 
 
+def best_within(items: DataFrame, probes: DataFrame, keys: list[str], at: str, best: str, top: int) -> DataFrame:
+    """``probes`` with the ``top`` greatest ``best`` of the items of their key at or below their place ``at``, as list ``found``.
+
+    Items and probes lie on one line by ``at``. The greatest so far is a
+    running maximum. What an item, or the maximum that it pushes aside, leaves
+    for the second place has as its running maximum the second greatest, and
+    so on: a window a place, and no pair is formed.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
+    asks = probes.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(items.schema[best].dataType).alias("__x0"), row.alias("__row"))
+    held = items.select(*keys, F.col(at).alias("__at"), F.lit(0).alias("__kind"), F.col(best).alias("__x0"), F.lit(None).cast(asks.schema["__row"].dataType).alias("__row"))
+    line = Line(held.unionByName(asks), keys, ["__at", "__kind"])
+    for i in range(top):
+        line.running(BEFORE, {f"__b{i}": ("max", F.col(f"__x{i}"))})
+        over = F.col(f"__b{i}")
+        line.df = line.df.withColumn(f"__x{i + 1}", F.when(over.isNotNull() & F.col(f"__x{i}").isNotNull(), F.least(f"__x{i}", over)))
+    found = F.filter(F.array(*[F.col(f"__b{i}") for i in range(top)]), lambda b: b.isNotNull())
+    return line.done().where("__kind = 1").select("__row.*", found.alias("found"))
+
+
 def suggestions(owned: DataFrame, pool: DataFrame, bank: float, top: int = 3, hit: float = HIT) -> DataFrame:
     """For each owned player the best replacements: same position, available, affordable, within the team limit, better.
 
-    Columns of both: player, position, team, price, value; the pool also has
-    status. An equi-join on position replaces the product of all pairs.
+    Columns of both: player (a number), position, team, price, value; the pool
+    also has status. Teams that are full open only to those who sell one of
+    the same team, so their players have lanes of their own; a seller asks
+    the open lane of its position, and its team's where that is full. Rows
+    without position, price or value take no part.
     """
-    # A squad has some dozen players, so at most as many teams.
+    known = F.col("position").isNotNull() & F.col("price").isNotNull() & F.col("value").isNotNull()
     counts = owned.groupBy("team").agg(F.count("*").alias("held"))
-    free = pool.where("status = 'a'").join(owned.select("player"), "player", "left_anti")
-    buy = free.select("position", *[F.col(c).alias(f"buy_{c}") for c in ("player", "team", "price", "value")])
-    sell = owned.select("position", *[F.col(c).alias(f"sell_{c}") for c in ("player", "team", "price", "value")])
-    pairs = sell.join(buy, "position").join(F.broadcast(counts.withColumnRenamed("team", "buy_team")), "buy_team", "left")
-    after = F.coalesce("held", F.lit(0)) - (F.col("sell_team") == F.col("buy_team")).cast("int") + 1
+    full, lane = F.coalesce("held", F.lit(0)), F.when(F.col("held") == TEAM_LIMIT, F.col("team"))
+    free = pool.where((F.col("status") == "a") & known).join(owned.select("player").distinct(), "player", "left_anti").join(counts, "team", "left")
+    best = F.struct(F.col("value").alias("value"), (-F.col("player")).alias("order"), "player", "team", "price").alias("best")
+    items = free.where(full <= TEAM_LIMIT).select("position", lane.alias("lane"), F.col("price").cast("double").alias("at"), best)
+    sell = owned.where(known).join(counts, "team", "left").withColumn("lanes", F.array_distinct(F.array(F.lit(None).cast(owned.schema["team"].dataType), lane)))
+    asks = sell.select(
+        "position", F.explode("lanes").alias("lane"), (F.col("price") + F.lit(bank)).cast("double").alias("at"), *[F.col(c).alias(f"sell_{c}") for c in ("player", "team", "price", "value")]
+    )
+    got = best_within(items, asks, ["position", "lane"], "at", "best", top).select("*", F.explode("found").alias("b"))
+    pairs = got.select("position", *[c for c in got.columns if c.startswith("sell_")], *[F.col(f"b.{c}").alias(f"buy_{c}") for c in ("player", "team", "price", "value")])
     gain = F.col("buy_value") - F.col("sell_value")
-    ok = pairs.where((F.col("buy_price") <= F.col("sell_price") + bank) & (after <= TEAM_LIMIT) & (gain > 0)).withColumns({"gain": gain, "gain_after_hit": gain - hit})
+    ok = pairs.where(gain > 0).withColumns({"gain": gain, "gain_after_hit": gain - hit})
+    # At most two times ``top`` rows a seller.
     w = Window.partitionBy("sell_player").orderBy(F.col("gain").desc(), "buy_player")
-    return ok.withColumn("choice", F.row_number().over(w)).where(F.col("choice") <= top).drop("held")
+    return ok.withColumn("choice", F.row_number().over(w)).where(F.col("choice") <= top)
 
 
 #: Largest pool of players that is sent to every task, some 10 MB.
