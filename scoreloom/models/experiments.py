@@ -3,83 +3,85 @@
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.models.gram import gram
 from scoreloom.models.metrics import bootstrap, regression
 from scoreloom.models.training import assembler, design
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by its continued fraction (Lentz)."""
-    if x <= 0 or x >= 1:
-        return min(1.0, max(0.0, x))
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    total = d
-    for m in range(1, 300):
-        for sign in (1, -1):
-            if sign > 0:
-                num = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            else:
-                num = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            d = 1 + num * d
-            c = 1 + num / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            total *= d * c
-        if abs(d * c - 1) < 1e-14:
-            break
-    return front * total
-
-
-def f_p_value(f: float, d1: int, d2: int) -> float:
-    """Upper tail of the F distribution."""
-    return incomplete_beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
-
-
 def ols_diagnostics(df: DataFrame, features: list[str], label: str) -> dict:
     """Coefficients with p-values and 95 % intervals, R2 and the F test of an ordinary least-squares fit."""
-    fit = Pipeline(stages=[assembler(features), LinearRegression(solver="normal", labelCol=label)]).fit(design(df, features, label)).stages[-1]
-    s, n, k = fit.summary, fit.summary.numInstances, len(features)
-    f = (s.r2 / k) / ((1 - s.r2) / (n - k - 1)) if s.r2 < 1 else float("inf")
-    names, coefs = [*features, "intercept"], [*fit.coefficients, fit.intercept]
-    return {
-        "r2": s.r2,
-        "f_p_value": f_p_value(f, k, n - k - 1),
-        "terms": [
-            {"name": a, "coef": c, "p_value": p, "low": c - 1.96 * e, "high": c + 1.96 * e} for a, c, p, e in zip(names, coefs, s.pValues, s.coefficientStandardErrors)
-        ],
-    }
+    fit = gram(df, features, label).fit()
+    return {"r2": fit.r2, "f_p_value": fit.f_p_value, "terms": fit.terms()}
+
+
+#: Slices of a hashed order in which rows are numbered.
+ORDER_SLICES = 1_024
+
+
+def numbered(df: DataFrame, row_id: str, seed: int, name: str = "__i") -> DataFrame:
+    """Rows numbered from 0 in a hashed order of their ids: numbers within slices of the order, and one offset a slice."""
+    h = F.xxhash64(F.lit(seed), F.col(row_id))
+    # Leading bits, so that slices follow one another in the order.
+    rows = df.withColumns({"__h": h, "__s": F.shiftright(h, 54)})
+    sizes = rows.groupBy("__s").agg(F.count("*").alias("__n"))
+    offsets = sizes.select(F.col("__s").alias("__slice"), (F.sum("__n").over(Window.orderBy("__s")) - F.col("__n")).alias("__offset"))
+    at = F.row_number().over(Window.partitionBy("__s").orderBy("__h", row_id)) - 1
+    # At most ORDER_SLICES rows.
+    return rows.withColumn("__at", at).join(F.broadcast(offsets), F.col("__s") == F.col("__slice")).withColumn(name, F.col("__offset") + F.col("__at")).drop("__h", "__s", "__n", "__slice", "__offset", "__at")
+
+
+def deals(n: int, n_features: int, repeats: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """(feature, repeat, a, b) of the moves i -> (a * i + b) mod n, each a permutation, since a has no divisor of n."""
+    rng = random.Random(seed)
+    out = []
+    for f in range(n_features):
+        for r in range(repeats):
+            a = 1
+            while n > 2:
+                a = rng.randrange(1, min(n, 2**31))
+                if math.gcd(a, n) == 1 and (a > 1 or n < 5):
+                    break
+            out.append((f, r, a, rng.randrange(n) if n else 0))
+    return out
 
 
 def permutation_importance(model, test: DataFrame, features: list[str], label: str, row_id: str, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Loss of R2 when one feature's values are dealt out anew; mean and deviation over repeats.
+    """Loss of R2 when one feature's values are dealt out anew; mean and deviation over repeats, for all features in one job.
 
-    A row takes the value of the row that follows it in a hashed order. The
-    order is cut in slices so that no task sorts all rows, and rows are dealt
-    within their slice.
+    Rows are numbered in a hashed order. For each feature and repeat a row
+    sends its value to the row that a permutation of the numbers names; a row
+    joins what it was sent, becomes one row for each feature and repeat, and
+    is scored in the same stage. What remains of a feature and repeat is one
+    sum of squares.
     """
-    base = design(test, features, label).persist()
-    whole = model.transform(base).agg(*regression(label, "prediction")).first()["r2"]
-    rows = []
-    for i, name in enumerate(features):
-        for r in range(repeats):
-            h = F.xxhash64(F.lit(seed), F.lit(r), F.lit(i), F.col(row_id))
-            slice_ = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(r), F.lit(i), F.col(row_id)), F.lit(64))
-            w = Window.partitionBy(slice_).orderBy(h)
-            dealt = F.coalesce(F.lead(f"__x_{i}").over(w), F.first(f"__x_{i}").over(w))
-            r2 = model.transform(base.withColumn(f"__x_{i}", dealt)).agg(*regression(label, "prediction")).first()["r2"]
-            rows.append((name, r, float(whole - r2)))
-    drops = test.sparkSession.createDataFrame(rows, "feature string, repeat int, loss double")
-    return drops.groupBy("feature").agg(F.avg("loss").alias("mean"), F.coalesce(F.stddev_samp("loss"), F.lit(0.0)).alias("std"))
+    base = design(test, features, label)
+    n = base.count()
+    if not n:
+        return test.sparkSession.createDataFrame([], "feature string, mean double, std double")
+    rows = numbered(base, row_id, seed)
+    moves = F.array(*[F.struct(*[F.lit(v).cast("long").alias(k) for k, v in zip("frab", d)]) for d in deals(n, len(features), repeats, seed)])
+    x = F.array(*[F.col(f"__x_{i}") for i in range(len(features))])
+    sent = rows.select("__i", x.alias("__x"), F.explode(moves).alias("d")).select(
+        F.pmod(F.col("d.a") * F.col("__i") + F.col("d.b"), F.lit(n)).alias("__to"), F.col("d.f").alias("f"), F.col("d.r").alias("r"), F.get("__x", F.col("d.f").cast("int")).alias("v")
+    )
+    # A row gets one value for each feature and repeat.
+    got = sent.groupBy("__to").agg(F.collect_list(F.struct("f", "r", "v")).alias("dealt"))
+    plain = F.array(F.struct(F.lit(-1).cast("long").alias("f"), F.lit(0).cast("long").alias("r"), F.lit(0.0).alias("v")))
+    each = rows.join(got, F.col("__i") == F.col("__to")).select(F.col(label).alias("__y"), *[f"__x_{i}" for i in range(len(features))], F.explode(F.concat(plain, "dealt")).alias("d"))
+    changed = {f"__x_{i}": F.when(F.col("d.f") == i, F.col("d.v")).otherwise(F.col(f"__x_{i}")) for i in range(len(features))}
+    squares = (F.col("__y") - F.col("prediction")) * (F.col("__y") - F.col("prediction"))
+    told = model.transform(each.withColumns(changed)).groupBy(F.col("d.f").alias("f"), F.col("d.r").alias("r")).agg(F.sum(squares).alias("sse"), (F.var_pop("__y") * F.count("*")).alias("sst"))
+    whole = told.where("f = -1").select(F.col("sse").alias("whole"))
+    names = F.array(*map(F.lit, features))
+    loss = told.where("f >= 0").join(F.broadcast(whole)).select(F.get(names, F.col("f").cast("int")).alias("feature"), ((F.col("sse") - F.col("whole")) / F.col("sst")).alias("loss"))
+    return loss.groupBy("feature").agg(F.avg("loss").alias("mean"), F.coalesce(F.stddev_samp("loss"), F.lit(0.0)).alias("std"))
 
 
 def group_features(features: list[str]) -> dict[str, list[str]]:
@@ -97,7 +99,7 @@ def group_features(features: list[str]) -> dict[str, list[str]]:
     return out
 
 
-def leave_groups_out(df: DataFrame, features: list[str], label: str, row_id: str, is_train: F.Column, kind: Callable[[], object], draws: int = 200) -> DataFrame:
+def leave_groups_out(df: DataFrame, features: list[str], label: str, row_id: str, is_train: F.Column, kind: Callable[[], object], draws: int = 1000) -> DataFrame:
     """A reference fit, and one without each group: R2, its change, and the paired p-value of the change."""
     data = df.withColumn("__train", is_train)
 

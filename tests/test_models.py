@@ -4,13 +4,13 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from scoreloom.models import backtest, experiments, metrics, training
+from scoreloom.models import backtest, experiments, metrics, statistics, training
 
 
 def test_f_distribution():
-    assert experiments.f_p_value(4.1028, 2, 10) == pytest.approx(0.05, abs=1e-4)
-    assert experiments.f_p_value(0.0, 2, 10) == 1.0
-    assert experiments.incomplete_beta(2, 3, 0.5) == pytest.approx(0.6875)
+    assert statistics.f_p_value(4.1028, 2, 10) == pytest.approx(0.05, abs=1e-4)
+    assert statistics.f_p_value(0.0, 2, 10) == 1.0
+    assert statistics.incomplete_beta(2, 3, 0.5) == pytest.approx(0.6875)
 
 
 def frame(spark, n=600):
