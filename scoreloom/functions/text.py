@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def tokens(df: DataFrame, key: str, name: str) -> DataFrame:
     """Distinct (key, token) rows of a name's lower-cased blank-separated tokens."""
     return df.select(key, F.explode(F.array_distinct(F.split(F.lower(name), " "))).alias("token"))
@@ -21,9 +24,47 @@ def normal(s: str | None) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower().strip()
 
 
-@F.pandas_udf(T.StringType())
-def normalise(s: pd.Series) -> pd.Series:
-    return s.map(normal)
+def _plain(s: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).lower()
+
+
+@cache
+def _letters() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Characters that become one other, or none, as two texts for ``translate``; and letters that become several ASCII letters."""
+    one, none, several = [], [], []
+    for code in range(128, sys.maxunicode + 1):
+        c = chr(code)
+        if 0xD800 <= code < 0xE000 or unicodedata.category(c) == "Cn":
+            continue
+        plain = _plain(c)
+        if plain == "":
+            none.append(c)
+        elif len(plain) == 1 and plain != c:
+            one.append((c, plain))
+        elif len(plain) > 1 and plain.isascii() and plain.isalpha() and unicodedata.category(c)[0] == "L":
+            several.append((c, plain))
+    return "".join(c for c, _ in one) + "".join(none), "".join(p for _, p in one), tuple(several)
+
+
+#: White space that compatibility forms don't turn into a blank.
+SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u1680\u2028\u2029"
+
+
+def normalise(c: Column) -> Column:
+    """:func:`normal` as an expression: each character becomes its plain form.
+
+    Letters whose plain form is several ASCII letters (ligatures, digraphs) are
+    spelt out; other characters that would become several, such as syllables
+    of Hangul or fractions, stay as they are.
+    """
+    old, new, several = _letters()
+    found = F.coalesce(c, F.lit(""))
+    # Few names have one of these, so one search spares the replacements.
+    spelt = found
+    for char, plain in several:
+        spelt = F.replace(spelt, F.lit(char), F.lit(plain))
+    rare = found.rlike("[" + "".join(char for char, _ in several) + "]")
+    return F.btrim(F.lower(F.translate(F.when(rare, spelt).otherwise(found), old, new)), F.lit(SPACES))
 
 
 def subsequence(a: str, b: str) -> int:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.text import normalise, partial_ratio_udf, token_sort_ratio_udf
+from scoreloom.session import materialise
 
 # Other names of clubs, after normalising.
 CLUB_ALIASES = {
@@ -68,6 +69,29 @@ def _by_blocks(names: DataFrame, people: DataFrame, least: float) -> DataFrame:
     return met.select("raw_name", "n", "full_n", "code").distinct()
 
 
+def _club_scores(clubs: DataFrame, teams: DataFrame, least: float) -> DataFrame:
+    """(c, team_n, score) of distinct clubs and teams whose partial ratio reaches ``least``, equal ones by a join alone.
+
+    The ratio sets the shorter text, of n characters, against windows of the
+    longer: at 90 or more they differ by n (2 - 2 r) edits at most, so of one
+    piece more than that one stands in the longer text as it is.
+    """
+    same = clubs.join(teams, F.col("c") == F.col("team_n")).withColumn("score", F.lit(100.0))
+    slack = 2 - 2 * least / 100
+
+    def meets(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
+        cut = short.where(F.length(s) > 0).withColumn("k", F.least(F.length(s), F.floor(F.length(s) * slack).cast("int") + 1)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        piece = F.expr(f"substring({s}, int(floor(length({s}) * i / k)) + 1, int(floor(length({s}) * (i + 1) / k)) - int(floor(length({s}) * i / k)))")
+        cut = cut.select(s, piece.alias("piece"))
+        sizes = cut.select(F.length("piece").alias("size")).distinct()
+        # Lengths of pieces are fewer than characters of a name.
+        grams = long.join(F.broadcast(sizes), F.col("size") <= F.length(t)).select(t, F.explode(F.transform(F.sequence(F.lit(1), F.expr(f"length({t}) - size + 1")), lambda p: F.substring(t, p, F.col("size")))).alias("piece"))
+        return cut.join(grams.distinct(), "piece").where(F.length(s) <= F.length(t)).select("c", "team_n").distinct()
+
+    pairs = meets(clubs, "c", teams, "team_n").unionByName(meets(teams, "team_n", clubs, "c")).distinct().where("c <> team_n")
+    return same.unionByName(pairs.withColumn("score", partial_ratio_udf("c", "team_n")).where(F.col("score") >= least))
+
+
 def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """raw_name, code and pass of every distinct name of ``raw`` (raw_name, club, seq).
 
@@ -75,8 +99,9 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     directory has code, full_name, web_name and team, a row a season. The
     first pass that leads a name to one code settles it; one that leads to
     several leaves it to the next, and what no pass settles has a null code.
-    Only the fuzzy pass compares names pairwise, what is left of them: with
-    the people of clubs that match where there are any, and else with those
+    Normal forms and the passes up to tokens are expressions and equi-joins.
+    Clubs are compared with teams once a distinct pair. Only the fuzzy pass
+    compares names pairwise, what is left of them: with the people of clubs that match where there are any, and else with those
     that share a piece of the name (see :func:`_by_blocks`).
     """
     names = raw.where("raw_name is not null").groupBy("raw_name").agg(F.max_by("club", "seq").alias("club"))
@@ -97,14 +122,15 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     tokens = names.select("raw_name", "c", F.explode(F.array_distinct(F.split("n", "\\s+"))).alias("web_n"))
     candidates = tokens.join(people.select("web_n", "code", "team_n").where("web_n <> ''"), "web_n")
     settle(_only(candidates.select("raw_name", "code").distinct(), "raw_name"), "token")
-    at_club = candidates.where("c <> ''").withColumn("score", partial_ratio_udf("c", "team_n")).where(F.col("score") >= least)
+    clubs = names.select("c").where("c <> ''").distinct()
+    near = materialise(_club_scores(clubs, people.select("team_n").where("team_n <> ''").distinct(), least), "club-scores")
+    at_club = candidates.join(near, ["c", "team_n"])
     best = at_club.groupBy("raw_name", "code").agg(F.max("score").alias("score")).withColumn("top", F.max("score").over(Window.partitionBy("raw_name"))).where("score = top")
     settle(_only(best, "raw_name"), "token_club")
     settled = reduce(DataFrame.unionByName, found).groupBy("raw_name").agg(F.min_by(F.struct("code", "pass"), "rank").alias("r")).select("raw_name", "r.code", "r.pass")
+    settled = materialise(settled, "names-settled")
     left = names.join(settled.select("raw_name"), "raw_name", "left_anti")
-    clubs = people.select("team_n").where("team_n <> ''").distinct()
-    near = left.select("c").where("c <> ''").distinct().join(clubs, F.lit(True)).withColumn("score", partial_ratio_udf("c", "team_n")).where(F.col("score") >= least).select("c", "team_n")
-    with_club = left.join(near.select("c").distinct(), "c", "left_semi").join(near, "c").join(people.select("team_n", "full_n", "code").distinct(), "team_n")
+    with_club = left.join(near.select("c").distinct(), "c", "left_semi").join(near.select("c", "team_n"), "c").join(people.select("team_n", "full_n", "code").distinct(), "team_n")
     rest = _by_blocks(left.join(near.select("c").distinct(), "c", "left_anti"), people.select("full_n", "code").distinct(), least)
     pool = with_club.select("raw_name", "n", "full_n", "code").unionByName(rest)
     # 2 * shorter / (both) bounds the ratio, so far lengths need no comparison.

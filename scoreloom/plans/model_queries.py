@@ -62,12 +62,33 @@ def squad_sweep(s, d):
     return sweep(p, budgets, seconds=5.0).select("basis", "budget", F.round("objective", 6).alias("objective"), F.size("players").alias("n"), "proven", F.round("bound", 6).alias("bound"))
 
 
+def name_tables(s, d):
+    """Names as another source writes them, and the directory: parts as people, brands as clubs.
+
+    A person's last word spells the key; the short name spells it mod 50, so
+    that people share short names. A sixth each of the raw names is plain,
+    accented, in another order, short with a club, misspelt with a club, and of
+    nobody's full name.
+    """
+    word = lambda c: F.translate(c.cast("string"), "0123456789", "abcdefghij")
+    key = F.col("p_partkey")
+    p = table(s, d, "part").select(key.alias("code"), F.concat_ws(" ", "p_name", word(key)).alias("full_name"), word(key % 50).alias("web_name"), F.col("p_brand").alias("team"))
+    name, kind = F.col("full_name"), F.col("code") % 6
+    other = (
+        F.when(kind == 0, F.initcap(name))
+        .when(kind == 1, F.upper(F.translate(name, "aeiou", "áéíóú")))
+        .when(kind == 2, F.array_join(F.reverse(F.split(name, " ")), " "))
+        .when(kind == 3, F.concat(F.lit("X. "), "web_name"))
+        .when(kind == 4, F.concat(F.substring(name, 1, 2), F.substring(name, 2, 100)))
+        .otherwise(F.concat(F.lit("nobody "), word(F.col("code") * 7)))
+    )
+    club = F.when(kind == 3, F.concat(F.upper("team"), F.lit(" FC"))).when(kind == 4, F.col("team"))
+    return p.select(other.alias("raw_name"), club.alias("club"), F.col("code").alias("seq")), p
+
+
 @query("name_match")
 def name_match(s, d):
-    p = table(s, d, "part")
-    raw = p.select(F.initcap("p_name").alias("raw_name"), F.lit(None).cast("string").alias("club"), F.col("p_partkey").alias("seq"))
-    directory = p.groupBy("p_name").agg(F.min("p_partkey").alias("code")).select("code", F.col("p_name").alias("full_name"), F.col("p_name").alias("web_name"), F.lit("x").alias("team"))
-    return match_names(raw, directory)
+    return match_names(*name_tables(s, d))
 
 
 @query("stream_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -37,7 +37,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below ``spark.checkpoint.dir``; only a local session may do without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root}/scoreloom/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back, so that what made it runs once and lost executors cost only their tasks."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
