@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.operators.selection import percentiles
+from scoreloom.semantics import hash_uniform
 
 
 def _err(y: str, p: str) -> Column:
@@ -69,16 +70,21 @@ def auc_brier(df: DataFrame, label: str, score: str) -> DataFrame:
     return area.join(F.broadcast(brier))
 
 
-def replicate_weight(seed: int, replicate: Column, row_id: Column) -> Column:
-    """A Poisson(1) count for a row in a bootstrap replicate, from a hash: the same under any partitioning."""
-    u = (F.xxhash64(F.lit(seed), replicate, row_id).bitwiseAND(F.lit((1 << 53) - 1))) / F.lit(float(1 << 53))
-    out, mass, total = F.lit(8), 0.36787944117144233, 0.0
-    cuts = []
+def poisson_cuts() -> list[float]:
+    """Shares of Poisson(1) draws of at most 0, 1, ... 7."""
+    out, mass, total = [], 0.36787944117144233, 0.0
     for k in range(8):
         total += mass
-        cuts.append((total, k))
+        out.append(total)
         mass /= k + 1
-    for cut, k in reversed(cuts):
+    return out
+
+
+def replicate_weight(seed: int, replicate: Column, row_id: Column) -> Column:
+    """A Poisson(1) count (8 at most) for a row in a bootstrap replicate, from a hash: the same under any partitioning."""
+    u = hash_uniform(seed, row_id, replicate)
+    out = F.lit(8)
+    for k, cut in reversed(list(enumerate(poisson_cuts()))):
         out = F.when(u < cut, k).otherwise(out)
     return out
 
@@ -86,8 +92,8 @@ def replicate_weight(seed: int, replicate: Column, row_id: Column) -> Column:
 def bootstrap(df: DataFrame, row_id: str, y: str, a: str, b: str, draws: int = 1000, seed: int = 42) -> DataFrame:
     """R2 of model a with its 95 % interval, and the paired two-sided p-value of a against b, at most 1.
 
-    Every row meets every replicate with a hashed Poisson count and only three
-    sums a replicate remain.
+    Every row meets every replicate with a hashed Poisson count and only five
+    sums a replicate remain. Row ids are whole numbers.
     """
     r = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__r"))
     w = replicate_weight(seed, F.col("__r"), F.col(row_id)).cast("double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.operators.bands import difficulty_multiplier
 from scoreloom.operators.slices import BEFORE, Line
+from scoreloom.semantics import hash_uniform
 
 # The eight formations (defenders, midfielders, forwards), in order of preference.
 FORMATIONS = [(3, 4, 3), (3, 5, 2), (4, 3, 3), (4, 4, 2), (4, 5, 1), (5, 2, 3), (5, 3, 2), (5, 4, 1)]
@@ -163,11 +164,6 @@ def greedy_plans(squads: DataFrame, pool: DataFrame, free: int, most: int = 5, h
     return squads.groupBy("group").applyInPandas(plan, PLAN_SCHEMA)
 
 
-def hash_uniform(seed: int, *ids) -> F.Column:
-    """A uniform in [0, 1) from a hash of ids: the same under any partitioning."""
-    return F.xxhash64(F.lit(seed), *ids).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-
-
 def inverse_draw(low, mid, high, u):
     """Points at quantile u: flat below .1, straight lines through (.1, low), (.5, mid), (.9, high), extrapolated above; never below 0."""
     rising = low + (mid - low) * (u - 0.1) / 0.4
@@ -176,7 +172,7 @@ def inverse_draw(low, mid, high, u):
 
 
 def simulate(squad: DataFrame, keys: list[str], player: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """Total points of each key in each draw; quantiles fall back as floor 0, median predicted, ceiling median."""
+    """Total points of each key in each draw; quantiles fall back as floor 0, median predicted, ceiling median. Players are whole numbers."""
     low = F.coalesce("floor", F.lit(0.0))
     mid = F.coalesce("median", "predicted", F.lit(0.0))
     high = F.coalesce("ceiling", mid)

@@ -10,6 +10,7 @@ from scoreloom.models import metrics
 from scoreloom.operators import aggregates as agg
 from scoreloom.operators import bands, decisions, teams
 from scoreloom.plans.panel_queries import _rounded
+from scoreloom.semantics import uniform_sql
 from scoreloom.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -110,10 +111,10 @@ def self_join_roles(s, d):
     nation = table(s, d, "nation")
     buyer = F.broadcast(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("buyer")))
     seller = F.broadcast(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("seller")))
-    # Lines are counted by order and seller before they meet the orders.
-    sold = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("l_orderkey", "s_nationkey").agg(F.count("*").alias("lines"))
+    # Both joins keep the lines where they are if supplier and customer are small, and shuffle them otherwise; lines are counted once, at the end.
+    sold = table(s, d, "lineitem").join(table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "s_nationkey")
     bought = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    pairs = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("s_nationkey", "c_nationkey").agg(F.sum("lines").alias("n"))
+    pairs = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("s_nationkey", "c_nationkey").agg(F.count("*").alias("n"))
     return pairs.join(buyer, "c_nationkey").join(seller, "s_nationkey").select("buyer", "seller", "n")
 
 
@@ -281,7 +282,16 @@ def top_n_per_group(s, d):
     return x.withColumn("n", F.row_number().over(w)).where("n <= 3").select("n_name", "s_suppkey", "s_acctbal")
 
 
-@query("monte_carlo")
+_DRAW = uniform_sql(42, "p_partkey", "draw")
+
+
+@query("monte_carlo", f"""
+WITH xi AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS n, p_size / 10.0 AS lo, p_size / 5.0 AS mi, p_size / 2.0 AS hi FROM part),
+drawn AS (SELECT xi.*, draw, {_DRAW} AS u FROM xi, range(1, 10001) r(draw) WHERE n <= 11),
+totals AS (
+  SELECT p_brand, draw, sum(greatest(0.0, CASE WHEN u < 0.1 THEN lo WHEN u < 0.5 THEN lo + (mi - lo) * (u - 0.1) / 0.4 ELSE mi + (hi - mi) * (u - 0.5) / 0.4 END) * CASE WHEN n = 1 THEN 2 ELSE 1 END) AS total
+  FROM drawn GROUP BY 1, 2)
+SELECT p_brand, round(avg(total), 6) AS mean, round(quantile_cont(total, 0.1), 6) AS p10, round(quantile_cont(total, 0.5), 6) AS p50, round(quantile_cont(total, 0.9), 6) AS p90 FROM totals GROUP BY 1""")
 def monte_carlo(s, d):
     """Simulated totals of the dearest 11 parts of each brand, summarised."""
     w = Window.partitionBy("p_brand").orderBy(F.col("p_retailprice").desc(), "p_partkey")
@@ -290,13 +300,24 @@ def monte_carlo(s, d):
     )
     t = decisions.simulate(xi, ["p_brand"], "p_partkey")
     q = F.percentile("total", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return t.groupBy("p_brand").agg(F.avg("total").alias("mean"), q[0].alias("p10"), q[1].alias("p50"), q[2].alias("p90"))
+    return t.groupBy("p_brand").agg(F.round(F.avg("total"), 6).alias("mean"), *[F.round(q[i], 6).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+
+
+_COUNT = "CASE " + " ".join(f"WHEN u < {cut!r} THEN {k}" for k, cut in enumerate(metrics.poisson_cuts())) + " ELSE 8 END"
 
 
-@query("bootstrap_r2")
+@query("bootstrap_r2", f"""
+WITH x AS (SELECT o_orderkey, {_Y} FROM orders JOIN customer ON o_custkey = c_custkey),
+weighted AS (SELECT y, p, r, {_COUNT} AS w FROM (SELECT x.*, r, {uniform_sql(42, "o_orderkey", "r")} AS u FROM x, range(1, 1001) t(r))),
+sums AS (
+  SELECT r, CAST(sum(w) AS DOUBLE) AS n, sum(w * y) AS sy, sum(w * y * y) AS syy, sum(w * (y - 150000.0) * (y - 150000.0)) AS sa, sum(w * (y - p) * (y - p)) AS sb FROM weighted GROUP BY r),
+each AS (SELECT 1 - sa / (syy - sy * sy / n) AS r2, (sb - sa) / n AS gain FROM sums)
+SELECT round(avg(r2), 6) AS r2, round(quantile_cont(r2, 0.025), 6) AS low, round(quantile_cont(r2, 0.975), 6) AS high,
+  least(1.0, 2 * least(avg(CAST(gain <= 0 AS DOUBLE)), avg(CAST(gain >= 0 AS DOUBLE)))) AS p_value FROM each""")
 def bootstrap_r2(s, d):
     x = _scored(s, d).withColumn("q", F.lit(150_000.0))
-    return metrics.bootstrap(x, "o_orderkey", "y", "q", "p")
+    out = metrics.bootstrap(x, "o_orderkey", "y", "q", "p")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("r2", "low", "high")], "p_value")
 
 
 @query("greedy_plan")

@@ -1,12 +1,14 @@
-"""Model, matching and streaming queries on the driver's tables; results are rows without an SQL twin, but for the stream."""
+"""Model, matching and streaming queries on the driver's tables, with SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scoreloom.models import boosting, training
+from scoreloom.models import boosting, gram, training
+from scoreloom.models.experiments import permutation_importance
 from scoreloom.models.squad_solver import sweep
 from scoreloom.operators.matching import match_names
 from scoreloom.session import shared_folder, table
@@ -51,6 +53,44 @@ def model_quantiles(s, d):
     return training.quantile_scores(boosting.predict(o.where("year >= 2000"), model), "o_totalprice")
 
 
+_LINES = "SELECT l_orderkey, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount, CAST(l_tax AS DOUBLE) AS tax, CAST(l_extendedprice AS DOUBLE) / 1000 AS price FROM lineitem"
+NUMBERS = ["quantity", "discount", "tax", "price"]
+
+
+def _lines(s, d):
+    li = table(s, d, "lineitem")
+    return li.select("l_orderkey", *[F.col(f"l_{c}").cast("double").alias(c) for c in NUMBERS[:3]], (F.col("l_extendedprice").cast("double") / 1000).alias("price"))
+
+
+@query("gram_covariances", f"WITH x AS ({_LINES}) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(avg({a}), 6) AS mean_a, round(avg({b}), 6) AS mean_b, round(covar_samp({a}, {b}), 6) AS covariance FROM x"
+    for i, a in enumerate(NUMBERS) for b in NUMBERS[i:]))
+def gram_covariances(s, d):
+    out = gram.covariances(_lines(s, d), NUMBERS)
+    return out.select("a", "b", "n", *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "covariance")])
+
+
+@query("feature_subsets", f"WITH x AS ({_LINES}), " + """told AS (
+  SELECT unnest(['quantity', 'discount', 'tax']) AS name, unnest([quantity, discount, tax]) AS v, price AS y, l_orderkey % 5 <> 0 AS train FROM x
+), fits AS (SELECT name, regr_slope(y, v) AS b, regr_intercept(y, v) AS a, regr_r2(y, v) AS train_r2 FROM told WHERE train GROUP BY name)
+SELECT name, round(train_r2, 6) AS train_r2, round(1 - sum((y - a - b * v) * (y - a - b * v)) / (count(*) * var_pop(y)), 6) AS r2, count(*) AS n
+FROM told JOIN fits USING (name) WHERE NOT train GROUP BY name, train_r2""")
+def feature_subsets(s, d):
+    """Prices fitted on single features, trained and tested from one pass over the lines."""
+    by = gram.grams(_lines(s, d), NUMBERS[:3], "price", F.col("l_orderkey") % 5 != 0)
+    rows = gram.subsets(by[True], by[False], {c: [c] for c in NUMBERS[:3]})
+    return s.createDataFrame([(r["name"], round(r["train_r2"], 6), round(r["r2"], 6), r["n"]) for r in rows], "name string, train_r2 double, r2 double, n long")
+
+
+@query("feature_importance")
+def feature_importance(s, d):
+    """Loss of R2 of a linear fit of prices when a feature is dealt anew among the test lines, ten times each."""
+    lines = _lines(s, d).withColumn("id", F.monotonically_increasing_id())
+    data = training.design(lines, NUMBERS[:3], "price")
+    model = Pipeline(stages=[training.assembler(NUMBERS[:3]), LinearRegression(solver="normal", labelCol="price")]).fit(data.where("l_orderkey % 5 <> 0"))
+    return permutation_importance(model, lines.where("l_orderkey % 5 = 0"), NUMBERS[:3], "price", "id")
+
+
 @query("squad_sweep")
 def squad_sweep(s, d):
     size = F.col("p_partkey") % 15

@@ -49,3 +49,29 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str], columns: list[st
     """
     at = F.max_by(F.struct(*columns), F.struct(*order))
     return df.groupBy(*keys).agg(at.alias("__r")).select(*keys, "__r.*")
+
+
+#: A prime, factors of the two ids, and what each of three squarings adds: the draws of :func:`hash_uniform`.
+PRIME = 2_147_483_647
+FACTORS = (48_271, 69_621)
+STEPS = (1_013_904_223, 1_664_525, 22_695_477)
+
+
+def hash_uniform(seed: int, a: Column, b: Column) -> Column:
+    """A uniform in [0, 1) from two whole numbers: the same under any partitioning, and in plain SQL arithmetic.
+
+    A line modulo a prime, squared three times over, which takes away the
+    lattice that a line alone would leave between neighbouring ids.
+    """
+    x = F.pmod(F.pmod(a.cast("long"), F.lit(PRIME)) * FACTORS[0] + F.pmod(b.cast("long"), F.lit(PRIME)) * FACTORS[1] + seed, F.lit(PRIME))
+    for step in STEPS:
+        x = (x * x + step) % PRIME
+    return x / F.lit(float(PRIME))
+
+
+def uniform_sql(seed: int, a: str, b: str) -> str:
+    """:func:`hash_uniform` as SQL, for ids from 0 up."""
+    x = f"(CAST({a} AS BIGINT) % {PRIME} * {FACTORS[0]} + CAST({b} AS BIGINT) % {PRIME} * {FACTORS[1]} + {seed}) % {PRIME}"
+    for step in STEPS:
+        x = f"(({x}) * ({x}) + {step}) % {PRIME}"
+    return f"({x}) / {float(PRIME)}"
