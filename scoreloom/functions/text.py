@@ -119,3 +119,13 @@ def season_before(season: Column) -> Column:
     """'2020-21' -> '2019-20'."""
     year = F.substring(season, 1, 4).cast("int") - 1
     return F.concat(year.cast("string"), F.lit("-"), F.lpad(((year + 1) % 100).cast("string"), 2, "0"))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """A text of at most so many characters; a longer one ends in an ellipsis, which counts as one."""
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.left(text, F.lit(most - 1))), F.lit("…")))
+
+
+def shown_at(ts: Column, zone: str, pattern: str = "EEE d MMM, HH:mm") -> Column:
+    """A UTC time as text in a display zone, summer time and all."""
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), ts.cast("timestamp_ntz")), pattern)

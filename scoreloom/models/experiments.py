@@ -84,6 +84,12 @@ def permutation_importance(model, test: DataFrame, features: list[str], label: s
     return loss.groupBy("feature").agg(F.avg("loss").alias("mean"), F.coalesce(F.stddev_samp("loss"), F.lit(0.0)).alias("std"))
 
 
+def impurity_importances(model, features: list[str]) -> list[tuple[str, float]]:
+    """(feature, importance) of a fitted pipeline of trees, the greatest first; importances add up to 1."""
+    told = model.stages[-1].featureImportances.toArray()
+    return sorted(zip(features, map(float, told)), key=lambda x: (-x[1], x[0]))
+
+
 def group_features(features: list[str]) -> dict[str, list[str]]:
     """Every feature in one group, by suffix and prefix; what fits none is other."""
     rules: list[tuple[str, Callable[[str], bool]]] = [

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.operators.selection import percentiles
-from scoreloom.semantics import latest_by, safe_div
+from scoreloom.semantics import safe_div
 
 
 def season_totals(facts: DataFrame, keys: list[str], value: str, when: Column, price: str, latest: list[str]) -> DataFrame:
@@ -73,10 +73,27 @@ def cumulative_by_step(df: DataFrame, keys: list[str], step: str, value: str) ->
     return df.groupBy(*keys, step).agg(F.sum(value).alias("total")).withColumn("cumulative", F.sum("total").over(w))
 
 
-def latest_snapshot(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
-    return latest_by(df, keys, order, columns)
-
-
 def within_limit(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Group counts and whether they stay within a limit."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("ok", F.col("n") <= limit)
+
+
+def squad_problems(squads: DataFrame, shape: dict[str, int], budget: float, limit: int = 3) -> DataFrame:
+    """group and problems of squads (group, player, position, team, price): sizes by position, price, players of one team, repeats.
+
+    Problems are texts in a fixed order; a squad without any has an empty list.
+    """
+    by_team = squads.groupBy("group", "team").agg(F.count("*").alias("n")).groupBy("group").agg(F.max("n").alias("most"))
+    told = squads.groupBy("group").agg(
+        *[F.count_if(F.col("position") == p).alias(f"n_{p}") for p in shape],
+        F.count("*").alias("n"), F.count_distinct("player").alias("players"), F.sum(F.col("price").cast("decimal(18,4)")).alias("cost"),
+    ).join(by_team, "group")
+    size = sum(shape.values())
+    checks = [F.when(F.col("n") != size, F.format_string(f"%d players, not {size}", "n"))]
+    checks += [F.when(F.col(f"n_{p}") != k, F.format_string(f"%d {p}, not {k}", f"n_{p}")) for p, k in shape.items()]
+    checks += [
+        F.when(F.col("players") < F.col("n"), F.lit("a player more than once")),
+        F.when(F.col("most") > limit, F.format_string(f"%d players of one team, more than {limit}", "most")),
+        F.when(F.col("cost") > budget, F.format_string("costs %s, more than %s", F.col("cost").cast("decimal(18,1)").cast("string"), F.lit(budget).cast("string"))),
+    ]
+    return told.select("group", F.filter(F.array(*checks), lambda c: c.isNotNull()).alias("problems"))

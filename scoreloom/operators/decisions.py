@@ -64,6 +64,26 @@ def best_line_up(players: DataFrame, keys: list[str], position: str, value: str,
     return wide.select(*keys, best.alias("b")).where("b is not null").select(*keys, "b.formation", "b.total")
 
 
+def score_weeks(squads: DataFrame, weeks: DataFrame, value: str = "predicted") -> DataFrame:
+    """Points of each squad and week: the line-up that ``value`` picks, by what its players then made, the captain's twice.
+
+    ``squads`` has group and player, ``weeks`` gw, player, position, actual
+    and the value. Null values and points count as 0. The captain has the
+    greatest value in the line-up, the smaller player of equals. Weeks in
+    which a squad can't fill any formation have no row; a player without a
+    row in a week isn't picked in it.
+    """
+    rows = squads.select("group", "player").distinct().join(weeks.select("gw", "player", "position", F.coalesce(value, F.lit(0.0)).alias("__v"), F.coalesce("actual", F.lit(0.0)).alias("actual")), "player")
+    best = best_line_up(rows, ["group", "gw"], "position", "__v", ["player"]).select("group", "gw", "formation")
+    counts = F.array(F.lit(1), *[F.split("formation", "-")[i].cast("int") for i in range(3)])
+    places = F.array(*map(F.lit, SQUAD_SHAPE))
+    ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy("group", "gw", "position").orderBy(F.col("__v").desc(), "player")))
+    picked = ranked.join(best, ["group", "gw"]).where(F.col("__n") <= F.get(counts, F.array_position(places, F.col("position")).cast("int") - 1))
+    captain = F.max_by(F.struct("player", "actual"), F.struct("__v", (-F.col("player")).alias("o")))
+    told = picked.groupBy("group", "gw", "formation").agg(F.sum("actual").alias("sum"), captain.alias("c"))
+    return told.select("group", "gw", "formation", F.col("c.player").alias("captain"), (F.col("sum") + F.col("c.actual")).alias("points"))
+
+
 def best_within(items: DataFrame, probes: DataFrame, keys: list[str], at: str, best: str, top: int) -> DataFrame:
     """``probes`` with the ``top`` greatest ``best`` of the items of their key at or below their place ``at``, as list ``found``.
 

@@ -282,6 +282,29 @@ def top_n_per_group(s, d):
     return x.withColumn("n", F.row_number().over(w)).where("n <= 3").select("n_name", "s_suppkey", "s_acctbal")
 
 
+_FORMATIONS = ", ".join(f"({i}, {a}, {b}, {c})" for i, (a, b, c) in enumerate(decisions.FORMATIONS))
+
+
+@query("season_score", f"""
+WITH p AS (SELECT p_brand AS g, p_partkey AS player, CASE WHEN p_partkey % 15 < 2 THEN 'GKP' WHEN p_partkey % 15 < 7 THEN 'DEF' WHEN p_partkey % 15 < 12 THEN 'MID' ELSE 'FWD' END AS position, p_size FROM part),
+w AS (SELECT p.*, gw, p_size + (player * gw) % 7 AS v, (player * 31 + gw * 17) % 11 AS actual FROM p, range(1, 6) t(gw)),
+r AS (SELECT *, row_number() OVER k AS n, sum(v) OVER (k ROWS UNBOUNDED PRECEDING) AS top FROM w WINDOW k AS (PARTITION BY g, gw, position ORDER BY v DESC, player)),
+f AS (SELECT * FROM (VALUES {_FORMATIONS}) t(i, d, m, f)),
+best AS (
+  SELECT a.g, a.gw, f.d, f.m, f.f FROM r a JOIN r b USING (g, gw) JOIN r c USING (g, gw) JOIN r e USING (g, gw) JOIN f ON b.n = f.d AND c.n = f.m AND e.n = f.f
+  WHERE a.position = 'GKP' AND a.n = 1 AND b.position = 'DEF' AND c.position = 'MID' AND e.position = 'FWD'
+  QUALIFY row_number() OVER (PARTITION BY a.g, a.gw ORDER BY a.top + b.top + c.top + e.top DESC, i) = 1),
+xi AS (SELECT r.*, best.d, best.m, best.f FROM r JOIN best USING (g, gw) WHERE n <= CASE position WHEN 'GKP' THEN 1 WHEN 'DEF' THEN best.d WHEN 'MID' THEN best.m ELSE best.f END)
+SELECT g AS "group", gw, d || '-' || m || '-' || f AS formation, arg_max(player, (v, -player)) AS captain, CAST(sum(actual) + arg_max(actual, (v, -player)) AS DOUBLE) AS points FROM xi GROUP BY g, gw, d, m, f""")
+def season_score(s, d):
+    """Five weeks of squads (the parts of a brand), picked by what was foreseen and scored by what came."""
+    key = F.col("p_partkey")
+    place = F.when(key % 15 < 2, "GKP").when(key % 15 < 7, "DEF").when(key % 15 < 12, "MID").otherwise("FWD")
+    p = table(s, d, "part").select(F.col("p_brand").alias("group"), key.alias("player"), place.alias("position"), "p_size", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("gw"))
+    weeks = p.select("gw", "player", "position", (F.col("p_size") + F.col("player") * F.col("gw") % 7).cast("double").alias("predicted"), ((F.col("player") * 31 + F.col("gw") * 17) % 11).cast("double").alias("actual"))
+    return decisions.score_weeks(p.select("group", "player"), weeks)
+
+
 _DRAW = uniform_sql(42, "p_partkey", "draw")
 
 
