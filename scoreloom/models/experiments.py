@@ -115,16 +115,17 @@ def leave_groups_out(df: DataFrame, features: list[str], label: str, row_id: str
         return model.transform(d.where("not __train")).select(row_id, label, F.col("prediction").alias(name))
 
     reference = predict(features, "reference").persist()
-    out = reference.agg(*regression(label, "reference")).select(F.lit("all").alias("left_out"), "r2", F.lit(0.0).alias("delta"), F.lit(None).cast("double").alias("p_value"))
     base = reference.agg(*regression(label, "reference")).first()["r2"]
+    out = [("all", base, 0.0, None)]
     for group, columns in group_features(features).items():
         rest = [f for f in features if f not in columns]
         if rest:
             both = reference.join(predict(rest, "without").drop(label), row_id).persist()
-            row = both.agg(*regression(label, "without")).select(F.lit(group).alias("left_out"), "r2", (F.col("r2") - base).alias("delta"))
-            p = bootstrap(both, row_id, label, "without", "reference", draws).select("p_value")
-            out = out.unionByName(row.join(p))
-    return out
+            r2 = both.agg(*regression(label, "without")).first()["r2"]
+            out.append((group, r2, r2 - base, bootstrap(both, row_id, label, "without", "reference", draws).first()["p_value"]))
+            both.unpersist()
+    reference.unpersist()
+    return df.sparkSession.createDataFrame(out, "left_out string, r2 double, delta double, p_value double")
 
 
 def backward_elimination(fit: Callable[[list[str]], tuple[float, dict[str, float]]], features: list[str], drop: int = 4, least: int = 8) -> list[tuple[list[str], float]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -50,29 +52,37 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(n, label).join(total).withColumn("weight", F.col("__t") / (2 * F.col("__n"))).drop("__n", "__t")
 
 
+def _told(metrics: DataFrame, model: str) -> DataFrame:
+    """One row of metrics, computed now, so that what it was computed from may go."""
+    return metrics.sparkSession.createDataFrame(metrics.collect(), metrics.schema).withColumn("model", F.lit(model))
+
+
 def fit_regressors(df: DataFrame, features: list[str], label: str, baseline: str, is_train: F.Column, kinds: dict | None = None) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Models, and their test metrics with those of the baseline (its gaps filled with the train mean)."""
     data = design(df, features, label).withColumn("__train", is_train)
     train, test = data.where("__train").persist(), data.where("not __train").persist()
     mean = train.agg(F.avg(baseline)).first()[0] or 0.0
-    out = test.withColumn("p", F.coalesce(baseline, F.lit(mean))).agg(*regression(label, "p")).withColumn("model", F.lit("baseline"))
+    out = [_told(test.withColumn("p", F.coalesce(baseline, F.lit(mean))).agg(*regression(label, "p")), "baseline")]
     models = {}
     for name, kind in (kinds or regressors(label)).items():
         models[name] = Pipeline(stages=[assembler(features), kind]).fit(train)
-        out = out.unionByName(models[name].transform(test).agg(*regression(label, "prediction")).withColumn("model", F.lit(name)))
-    return models, out
+        out.append(_told(models[name].transform(test).agg(*regression(label, "prediction")), name))
+    train.unpersist()
+    test.unpersist()
+    return models, reduce(DataFrame.unionByName, out)
 
 
 def fit_classifiers(df: DataFrame, features: list[str], points: str, least: float, is_train: F.Column, kinds: dict | None = None) -> DataFrame:
     """AUC, Brier score and base rate of the models that tell who reaches ``least`` points."""
     data = design(df, features, points).withColumns({"label": (F.col(points) >= least).cast("double"), "__train": is_train})
     train, test = balanced(data.where("__train"), "label").persist(), data.where("not __train").persist()
-    out = None
+    out = []
     for name, kind in (kinds or classifiers("label")).items():
         scored = Pipeline(stages=[assembler(features), kind]).fit(train).transform(test).withColumn("score", vector_to_array("probability")[1])
-        row = auc_brier(scored, "label", "score").withColumn("model", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+        out.append(_told(auc_brier(scored, "label", "score"), name))
+    train.unpersist()
+    test.unpersist()
+    return reduce(DataFrame.unionByName, out)
 
 
 def quantile_forest(train: DataFrame, test: DataFrame, features: list[str], label: str, row_id: str, quantiles=(0.1, 0.5, 0.9), trees: int = 50) -> DataFrame:

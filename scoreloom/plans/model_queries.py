@@ -131,10 +131,15 @@ def name_match(s, d):
     return match_names(*name_tables(s, d))
 
 
-@query("stream_counts", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("stream_counts", """
+WITH x AS (SELECT *, event_id % 5 = 0 AS late FROM events), m AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM x WHERE NOT late)
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM x, m
+WHERE NOT late OR date_trunc('day', ts) + INTERVAL 1 DAY > mark GROUP BY ALL""")
 def stream_counts(s, d):
-    schema = table(s, d, "events").schema
-    # A stream reads a folder; the table is a file in it.
-    stream = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    out = run_to_table(windowed_counts(stream, "ts", ["event_type"]), ["start", "event_type"], shared_folder(s, "counts"))
+    """Daily counts of a stream in two arrivals; of the second, days that the watermark has closed are dropped, others are counted on."""
+    events, path = table(s, d, "events"), shared_folder(s, "counts")
+    for late in (False, True):
+        events.where((F.col("event_id") % 5 == 0) == late).write.parquet(f"{path}/landed/late={late}")
+        stream = s.readStream.schema(events.schema).parquet(f"{path}/landed/late=*")
+        out = run_to_table(windowed_counts(stream, "ts", ["event_type"]), ["start", "event_type"], path)
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
