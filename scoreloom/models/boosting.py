@@ -35,7 +35,7 @@ RATE = 0.1
 BINS = 64
 EDGE_ERROR = 0.001
 #: Rounds between two makings of the blocks, and rows of a block.
-KEEP_ROUNDS = 20
+KEEP_ROUNDS = 10
 BLOCK_ROWS = 65_536
 #: Points of a summary of residuals. Up to twice as many are held as they are, so leaves of that many rows are exact.
 POINTS = 2_048
@@ -80,6 +80,10 @@ class Boosted:
                 out[:, m] += self.rate * t.value[t.places(bins)]
         return out
 
+    def since(self, start: int) -> Boosted:
+        """The trees from a round on and no more: what tasks need beside predictions that have the others."""
+        return Boosted([], self.quantiles, [], self.first[:0], self.trees[start:], rate=self.rate)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.add(self.bins(x), np.tile(self.first, (len(x), 1)), 0, len(self.trees))
 
@@ -153,11 +157,11 @@ def _levels(rdd: RDD, model: Boosted, start: int, grown: list[Tree], level: int)
     """Rows, and rows below their prediction, by (quantile, node of the level, feature, bin); the losses; all rows."""
     n_models, n_features, nodes = len(model.quantiles), len(model.features), 1 << level
     width = max(len(e) for e in model.edges) + 1
-    done = len(model.trees)
+    recent, quantiles = model.since(start), model.quantiles
 
     def count(block):
         bins, y, held = block
-        p = model.add(bins, held, start, done)
+        p = recent.add(bins, held, 0, len(recent.trees))
         out = np.zeros((n_models, 2, nodes * n_features * width), np.int64)
         column = bins.astype(np.int64) + np.arange(n_features) * width
         for m in range(n_models):
@@ -167,7 +171,7 @@ def _levels(rdd: RDD, model: Boosted, start: int, grown: list[Tree], level: int)
             low = np.repeat(y[here] < p[here, m], n_features)
             out[m, 0] = np.bincount(slot, minlength=out.shape[2])
             out[m, 1] = np.bincount(slot[low], minlength=out.shape[2])
-        return out, loss(y, p, model.quantiles), len(y)
+        return out, loss(y, p, quantiles), len(y)
 
     counts, losses, n = rdd.map(count).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
     return counts.reshape(n_models, 2, nodes, n_features, width), losses, n
@@ -189,11 +193,11 @@ def best_split(n: np.ndarray, low: np.ndarray, q: float, least: int) -> tuple[in
 
 
 def _leaf_values(rdd: RDD, model: Boosted, start: int, grown: list[Tree]) -> list[Tree]:
-    done = len(model.trees)
+    recent = model.since(start)
 
     def summarise(block):
         bins, y, held = block
-        p = model.add(bins, held, start, done)
+        p = recent.add(bins, held, 0, len(recent.trees))
         out = {}
         for m, t in enumerate(grown):
             at, off = t.places(bins), y - p[:, m]
@@ -229,7 +233,8 @@ def fit(df: DataFrame, features: list[str], label: str, quantiles=QUANTILES, rou
     start = 0
     for r in range(rounds + 1):
         if r - start == KEEP_ROUNDS:
-            advanced = held.map(lambda b, lo=start, hi=r: (b[0], b[1], model.add(b[0], b[2], lo, hi))).persist(StorageLevel.MEMORY_AND_DISK)
+            recent = model.since(start)
+            advanced = held.map(lambda b, m=recent: (b[0], b[1], m.add(b[0], b[2], 0, len(m.trees)))).persist(StorageLevel.MEMORY_AND_DISK)
             advanced.count()
             held.unpersist()
             held, start = advanced, r
