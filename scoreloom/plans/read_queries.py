@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreloom.operators import teams as tm
-from scoreloom.plans import reads
+from scoreloom.operators import windows
+from scoreloom.plans import approvals, reads
+from scoreloom.semantics import latest_by
 from scoreloom.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -215,6 +217,67 @@ def best_value(s, d):
     return reads.top(rows, F.col("points_per_million"), 15, "player_code", F.col("total_minutes") >= 45).select("player_code", "points_per_million")
 
 
+@query("top_points", f"{_TOTALS} SELECT player_code, total_points FROM totals WHERE totals.season = '1997' ORDER BY total_points DESC, player_code LIMIT 10")
+def top_points(s, d):
+    rows = _totals(s, d).where(F.col("season") == SEASON)
+    return reads.top(rows, F.col("total_points"), 10, "player_code").select("player_code", "total_points")
+
+
+@query("top_per_90", f"{_TOTALS} SELECT player_code, points_per_90 FROM totals WHERE totals.season = '1997' AND total_minutes >= 45 AND points_per_90 IS NOT NULL ORDER BY points_per_90 DESC, player_code LIMIT 10")
+def top_per_90(s, d):
+    rows = _totals(s, d).where(F.col("season") == SEASON)
+    return reads.top(rows, F.col("points_per_90"), 10, "player_code", F.col("total_minutes") >= 45).select("player_code", "points_per_90")
+
+
+@query("net_transfers", f"""WITH {_DIMS}, {_PRICES} SELECT player_code, transfers_in_event - transfers_out_event AS net FROM now_ JOIN player_seasons USING (season, player_code) JOIN players USING (player_code)
+WHERE now_.season = '1997' ORDER BY net DESC, player_code LIMIT 10""")
+def net_transfers(s, d):
+    rows = reads.ownership_movers(prices(s, d), players(s, d), player_seasons(s, d)).where(F.col("season") == SEASON)
+    return reads.top(rows, F.col("net_transfers_event"), 10, "player_code").select("player_code", F.col("net_transfers_event").alias("net"))
+
+
+_FORM = " + ".join(f"coalesce(lag(total_points, {k}) OVER w, 0.0) * {x}" for k, x in enumerate(windows.FORM_WEIGHTS))
+_HAD = " + ".join(f"CASE WHEN lag(1, {k}) OVER w = 1 THEN {x} ELSE 0.0 END" for k, x in enumerate(windows.FORM_WEIGHTS))
+
+
+@query("form_leaders", f"""WITH {_STATS}, weighted AS (
+  SELECT season, player_code, ({_FORM}) / ({_HAD}) AS weighted_form FROM stats
+  WINDOW w AS (PARTITION BY season, player_code ORDER BY event_id) QUALIFY row_number() OVER (PARTITION BY season, player_code ORDER BY event_id DESC) = 1),
+rolling AS (SELECT season, event_id, player_code, {_AVG('total_points', 'w3', 2)} AS points_avg_3gw FROM stats WINDOW w3 AS (PARTITION BY season, player_code ORDER BY event_id ROWS 2 PRECEDING))
+SELECT player_code, points_avg_3gw, round(weighted_form, 6) AS weighted_form FROM rolling JOIN weighted USING (season, player_code)
+WHERE season = '1997' AND event_id = (SELECT max(event_id) FROM rolling WHERE season = '1997') ORDER BY round(weighted.weighted_form, 6) DESC NULLS LAST, player_code LIMIT 10""")
+def form_leaders(s, d):
+    season = stats(s, d).where(F.col("season") == SEASON)
+    formed = windows.weighted_form(season, list(reads.KEY), ["event_id"], "total_points")
+    last = latest_by(formed, list(reads.KEY), ["event_id"], ["weighted_form"]).withColumn("weighted_form", F.round("weighted_form", 6))
+    return reads.form_leaders(reads.rolling_view(season), last).select("player_code", "points_avg_3gw", "weighted_form")
+
+
+_LISTED = [3, 30, 33, 100, 199, 10**9]
+
+
+@query("approval_lookups", f"""WITH {_DIMS}, {_PRICES}, ids AS (SELECT *, player_code * 3 + 1 AS fpl_id FROM player_seasons)
+SELECT player_code, fpl_id, now_cost FROM ids LEFT JOIN now_ USING (season, player_code) WHERE ids.season = '1997' AND player_code IN ({", ".join(map(str, _LISTED))})""")
+def approval_lookups(s, d):
+    """The season's own ids and the newest prices of listed players."""
+    ids = player_seasons(s, d).withColumn("fpl_id", F.col("player_code") * 3 + 1)
+    now = approvals.latest_prices(prices(s, d), SEASON, _LISTED)
+    return approvals.id_map(ids, SEASON, _LISTED).join(now, "player_code", "left").select("player_code", "fpl_id", "now_cost")
+
+
+@query("live_squad", f"""WITH {_STATS}, {_DIMS}, {_PREDICTED}
+SELECT player_code * 3 + 1 AS element, player_code, web_name, {_POSITION} AS position, coalesce(predicted_points, 0.0) AS predicted_points
+FROM player_seasons ps JOIN players USING (player_code) LEFT JOIN predictions r USING (season, player_code)
+WHERE season = '1997' AND player_code BETWEEN 5 AND 19 AND (r.event_id IS NULL OR r.event_id = (SELECT max(event_id) FROM predictions WHERE season = '1997'))
+UNION ALL SELECT player_code * 3 + 1, player_code, web_name, {_POSITION}, 0.0 FROM player_seasons ps JOIN players USING (player_code)
+WHERE season = '1997' AND player_code BETWEEN 5 AND 19 AND EXISTS (SELECT 1 FROM predictions r WHERE r.season = '1997' AND r.player_code = ps.player_code)
+  AND NOT EXISTS (SELECT 1 FROM predictions r WHERE r.season = '1997' AND r.player_code = ps.player_code AND r.event_id = (SELECT max(event_id) FROM predictions WHERE season = '1997'))""")
+def live_squad(s, d):
+    """Fifteen players by the season's own ids, with the predictions of the last predicted week."""
+    ids = player_seasons(s, d).withColumn("fpl_id", F.col("player_code") * 3 + 1)
+    return approvals.live_squad([c * 3 + 1 for c in range(5, 20)], ids, players(s, d), predictions(s, d), SEASON)
+
+
 @query("newest_models", """SELECT o_orderpriority AS model_type, o_orderstatus AS target, o_orderdate AS trained_at, o_orderkey AS id, o_totalprice AS mae FROM orders WHERE o_orderpriority LIKE '%-%'
 QUALIFY row_number() OVER (PARTITION BY o_orderpriority, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
 def newest_models(s, d):
