@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.plans import league_queries, model_queries, panel_queries, read_queries
+from scoreloom.plans import league_queries, model_queries, panel_queries, read_queries, value_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = [panel_queries, league_queries, model_queries, read_queries]
+PARTS = [panel_queries, league_queries, model_queries, read_queries, value_queries]
 
 
 def queries() -> dict[str, Query]:

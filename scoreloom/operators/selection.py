@@ -46,7 +46,9 @@ class Span:
 
 
 def _grid(x: Column, span: Span) -> Column:
-    return F.percentile_approx(F.when(span.holds(x), x), GRID, ACCURACY)
+    # One text in place of thousands of literals.
+    shares = F.split(F.lit(",".join(map(str, GRID))), ",").cast("array<double>")
+    return F.percentile_approx(F.when(span.holds(x), x), shares, ACCURACY)
 
 
 def _pivots(grid: list[float], at: float) -> tuple[float, float]:
@@ -74,19 +76,22 @@ def order_statistics(df: DataFrame, value: str | Column, ranks: list[int] | Call
         wide = [s for s in spans if s.found is None and s.n > keep]
         if not wide:
             break
+        # Neighbouring ranks mostly ask for the same counts.
+        asked = {(s.low, s.high, *pivots[s.rank]): s for s in wide}
+        place = {k: f"r{i}" for i, k in enumerate(asked)}
         told = []
-        for s in wide:
+        for k, s in asked.items():
             a, b = (F.lit(float(v)) for v in pivots[s.rank])
             inside = Span(s.rank, *pivots[s.rank])
             told += [
                 F.struct(
                     F.count_if(s.holds(x) & (x < a)).alias("below"), F.count_if(x == a).alias("at_low"), F.count_if(inside.holds(x)).alias("between"),
                     F.count_if(x == b).alias("at_high"), _grid(x, inside).alias("g"),
-                ).alias(f"r{s.rank}")
+                ).alias(place[k])
             ]
         row = data.agg(*told).first()
         for s in wide:
-            t, (a, b) = row[f"r{s.rank}"], pivots[s.rank]
+            t, (a, b) = row[place[s.low, s.high, *pivots[s.rank]]], pivots[s.rank]
             at_high = t["at_high"] if b > a or (math.isnan(b) and not math.isnan(a)) else 0
             steps = [(s.low, a, t["below"]), (a, a, t["at_low"]), (a, b, t["between"]), (b, b, at_high), (b, s.high, None)]
             upto = s.below
@@ -107,9 +112,11 @@ def order_statistics(df: DataFrame, value: str | Column, ranks: list[int] | Call
                 pivots[s.rank] = _pivots(g, (s.rank - upto) / max(count - 1, 1))
     left = [s for s in spans if s.found is None]
     if left:
-        row = data.agg(*[F.sort_array(F.collect_list(F.when(s.holds(x), x))).alias(f"r{s.rank}") for s in left]).first()
+        asked = {(s.low, s.high): s for s in left}
+        place = {k: f"r{i}" for i, k in enumerate(asked)}
+        row = data.agg(*[F.sort_array(F.collect_list(F.when(s.holds(x), x))).alias(place[k]) for k, s in asked.items()]).first()
         for s in left:
-            s.found = row[f"r{s.rank}"][s.rank - s.below]
+            s.found = row[place[s.low, s.high]][s.rank - s.below]
     return {s.rank: s.found for s in spans}
 
 

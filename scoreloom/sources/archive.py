@@ -86,6 +86,17 @@ def seasons(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
     return rows.where("position <> 'AM'").withColumn("position", F.when(F.col("position") == "GK", "GKP").otherwise(F.col("position")))
 
 
+# Other names of positions, and the numbers that stand for them.
+POSITION_NAMES = {"GK": "GKP", "1": "GKP", "2": "DEF", "3": "MID", "4": "FWD"}
+
+
+def relabelled(df: DataFrame, names: dict[str, str] | None = None, values: dict[str, dict[str, str]] | None = None) -> DataFrame:
+    """Columns under other names, then values of columns (as text) under other labels; values without one stay."""
+    out = df.withColumnsRenamed(names or {})
+    told = {c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.col(c).cast("string")), F.col(c).cast("string")) for c, labels in (values or {}).items()}
+    return out.withColumns(told)
+
+
 def flatten(landed: DataFrame, array: str, fields: dict[str, str], nested: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of an array in landed JSON, typed; numbers that came as text are cast, bad ones are null."""
     item = landed.select(*keep, F.explode(array).alias("e"))

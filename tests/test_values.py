@@ -95,6 +95,12 @@ def test_snapshots_and_reshapes(spark):
     assert got == sorted([*rows(panel), ("s", 1, 3, 0.0, 0.0), ("s", 2, 2, 0.0, 0.0)])
 
 
+def test_relabelled(spark):
+    df = spark.createDataFrame([(1, "GK", 9), (4, "AM", 8), (None, None, 7)], "element_type int, pos string, n int")
+    out = archive.relabelled(df, {"n": "points"}, {"element_type": archive.POSITION_NAMES, "pos": archive.POSITION_NAMES})
+    assert out.columns == ["element_type", "pos", "points"] and rows(out) == [("GKP", "GKP", 9), ("FWD", "AM", 8), (None, None, 7)]
+
+
 def test_texts_and_times(spark):
     df = spark.createDataFrame([("abcdef",), ("abc",), ("ab cdef",), (None,)], "s string")
     assert [r[0] for r in df.select(tx.shortened(F.col("s"), 4)).collect()] == ["abc…", "abc", "ab…", None]
