@@ -1,8 +1,9 @@
 """Quality by compression: how much better the dictionary of good text fits than that of bad text.
 
-Two zstandard dictionaries are built from labelled good and bad texts. A text
-is compressed piece by piece with each, and once without any. Its score rests
-on one number, the normalised difference of the two sizes,
+Two zstandard dictionaries are built from labelled good and bad texts, each
+line of a class once. A text is compressed piece by piece with each, and once
+without any. Its score rests on one number, the normalised difference of the
+two sizes,
 
     (bytes with the bad one - bytes with the good one) * plain bytes / bytes of text ** 2,
 
@@ -72,6 +73,17 @@ def within(rows: list[tuple[int, int, int]], most: int = SAMPLE_BYTES) -> list[i
     return out
 
 
+def once(texts: list[str]) -> list[bytes]:
+    """Pieces of texts without the lines that the ones before have already: what is said often shall not fill a dictionary."""
+    seen: set[bytes] = set()
+    out = []
+    for t in texts:
+        lines = [x for x in dict.fromkeys(encoded(t).split(b"\n")) if x not in seen]
+        seen.update(lines)
+        out += cut(b"\n".join(lines))
+    return out
+
+
 def build_dictionary(pieces: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A zstandard dictionary of pieces of text; their bytes as they are where there are too few to train one."""
     total = sum(map(len, pieces))
@@ -159,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> Model:
     taken = spark.createDataFrame([(i,) for i in within([tuple(r) for r in sizes_])], texts.select("doc_id").schema)
     rows = sorted(map(tuple, texts.join(F.broadcast(taken), "doc_id").select("label", "text").collect()))  # whatever order they came in
     drop_scratch(texts)
-    good, bad = (build_dictionary([p for label, t in rows if label == k for p in cut(encoded(t))]) for k in (1, 0))
+    good, bad = (build_dictionary(once([t for label, t in rows if label == k])) for k in (1, 0))
     sent = spark.sparkContext.broadcast((good, bad))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,3 +191,10 @@ def test_samples_have_no_more_rows_than_ids(spark):
 def test_dictionary_rows_within_bytes():
     rows = [(1, 0, 50), (2, 1, 70), (3, 0, 60), (4, 0, 50), (5, 1, 31), (6, 1, 30), (7, 0, 1)]
     assert ql.within(rows, 100) == [1, 2, 4, 6]
+
+
+def test_dictionary_lines_count_once():
+    texts = ["a\nb\na", "b\nc", "", "c", "d" * 5000]
+    pieces = ql.once(texts)
+    assert b"".join(pieces[:2]) == b"a\nb" + b"c" and b"".join(pieces[2:]) == b"d" * 5000
+    assert all(0 < len(p) <= ql.PIECE_BYTES for p in pieces)
