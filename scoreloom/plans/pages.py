@@ -14,6 +14,16 @@ from scoreloom.plans.payloads import captain_change, lineup_changes, lineup_plan
 from scoreloom.plans.reads import last_ingested_week, next_deadline
 
 SQUAD_ROWS = sum(SQUAD_SHAPE.values())
+#: Rows of a page; a frame with more is no squad, league or season, and an error.
+PAGE_ROWS = 1_000
+
+
+def shown(df: DataFrame) -> list[dict]:
+    """The rows of a page, in the frame's order."""
+    rows = df.limit(PAGE_ROWS + 1).collect()
+    if len(rows) > PAGE_ROWS:
+        raise ValueError(f"a page has at most {PAGE_ROWS} rows")
+    return [r.asDict(recursive=True) for r in rows]
 
 
 def iso(ts: Column) -> Column:
@@ -91,10 +101,10 @@ def calls(squad: DataFrame, plan: DataFrame | None = None) -> list[dict]:
     cap = captain_change(squad).first()
     if cap["best"] is not None:
         out.append({"kind": "captain", "done": bool(cap["done"]), "from": cap["held"], "to": cap["best"], "gain": cap["gain"]})
-    moves = [r.asDict() for r in lineup_changes(squad).join(squad.select("player_code", "position"), "player_code").collect()]
+    moves = shown(lineup_changes(squad).join(squad.select("player_code", "position"), "player_code"))
     pairs = paired([m for m in moves if m["change"] == "in"], [m for m in moves if m["change"] == "out"])
     out.append({"kind": "lineup", "done": not pairs, "pairs": pairs})
-    steps = [] if plan is None else [r.asDict() for r in plan.orderBy("step").collect()]
+    steps = [] if plan is None else shown(plan.orderBy("step"))
     if steps:
         out.append({"kind": "transfer", "done": False, "sell": steps[0]["sell"], "buy": steps[0]["buy"], "net": round(steps[0]["net"], 1), "hit": steps[0]["hit"], "more": len(steps) - 1})
     return [{"n": i, **c} for i, c in enumerate(out, 1)]
@@ -104,14 +114,13 @@ def this_week_page(squad: DataFrame | None, plan: DataFrame | None = None) -> di
     """The board, its best form, the calls and the plan; all empty without a squad."""
     if squad is None or squad.isEmpty():
         return {"squad": None, "after": None, "calls": [], "plan": []}
-    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
     after = lineup_plan(squad).orderBy("role", "player_code").select("player_code", "role", "bench_order")
-    return {"squad": rows(squad.orderBy("squad_position")), "after": rows(after), "calls": calls(squad, plan), "plan": [] if plan is None else rows(plan.orderBy("step"))}
+    return {"squad": shown(squad.orderBy("squad_position")), "after": shown(after), "calls": calls(squad, plan), "plan": [] if plan is None else shown(plan.orderBy("step"))}
 
 
 def season_page(weeks: DataFrame) -> dict:
     """Summary, weeks in order and accuracy of a season; without weeks all are empty, without predictions the accuracy is."""
-    listed = [r.asDict() for r in weeks.orderBy("gw").collect()]
+    listed = shown(weeks.orderBy("gw"))
     if not listed:
         return {"summary": None, "gameweeks": [], "accuracy": None}
     accuracy = season_accuracy(weeks).first().asDict()

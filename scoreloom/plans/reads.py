@@ -115,8 +115,9 @@ def squad(picks: DataFrame, players: DataFrame, player_seasons: DataFrame, teams
     """
     own = picks.where((F.col("entry_id") == entry_id) & (F.col("season") == season))
     own = own.join(F.broadcast(own.agg(F.max("event_id").alias("event_id"))), "event_id")
-    who = own.select("player_code").distinct()  # a week's picks: some dozen, so they are sent to the prices and not the reverse
-    now = latest_prices(prices.where(F.col("season") == season).join(F.broadcast(who), "player_code", "left_semi")).select("player_code", "now_cost")
+    # A week's picks are some dozen, so Spark sends them to the prices by itself; more of them shuffle.
+    who = own.select("player_code").distinct()
+    now = latest_prices(prices.where(F.col("season") == season).join(who, "player_code", "left_semi")).select("player_code", "now_cost")
     told = last_predictions(predictions.where(F.col("season") == season)).select("player_code", *PREDICTED)
     rows = (
         own.join(players.select("player_code", "web_name"), "player_code")

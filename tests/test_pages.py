@@ -170,3 +170,9 @@ def test_site_season_and_approvals(spark):
     lab = pages.lab_page(spark.createDataFrame([(0.3,)], "r2 double"), spark.createDataFrame([("form", 0.1), ("price", 0.29)], "group string, r2 double")).collect()
     assert [r.group for r in lab] == ["form", "price"] and lab[0].delta == pytest.approx(-0.2)
     assert pages.teams_of(spark.createDataFrame([("g", "b"), ("g", "a"), ("g", "b")], "group string, team string")).first().teams == ["a", "b"]
+
+
+def test_pages_are_bounded(spark):
+    assert pages.shown(spark.range(3).orderBy("id")) == [{"id": 0}, {"id": 1}, {"id": 2}]
+    with pytest.raises(ValueError, match="at most"):
+        pages.shown(spark.range(pages.PAGE_ROWS + 1))
