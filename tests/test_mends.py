@@ -122,6 +122,13 @@ def test_upsert_stream_rewrites_only_what_changed(spark, tmp_path):
     assert rows(1) == {**{i: "a" for i in range(40)}, 3: "b", 99: "c"}
     assert 1 <= len(list((tmp_path / "out").glob("bucket=*/v=1"))) <= 2
     assert incremental.read_version(spark, target, -1) is None
+    load([(3, 3, "d")])
+    before = len(list((tmp_path / "out").glob("bucket=*/v=*")))
+    gone = incremental.expire(spark, target, keep=1)
+    assert rows(2) == {**{i: "a" for i in range(40)}, 3: "d", 99: "c"}
+    assert len(list((tmp_path / "out").glob("bucket=*/v=*"))) == 8 == before - sum("/bucket=" in g for g in gone) and incremental.read_version(spark, target, 1) is None
+    load([(5, 9, "e")])
+    assert rows(3)[5] == "e" and rows(3)[3] == "d" and len(rows(3)) == 41
 
 
 def test_stream_lands_what_changed_and_the_last_row_holds(spark, tmp_path):
