@@ -59,13 +59,15 @@ def _by_blocks(names: DataFrame, people: DataFrame, least: float) -> DataFrame:
     cuts = F.floor(F.col("a") * (1 + high) * slack).cast("int") + 1
     left = left.withColumn("pieces", F.least(cuts, F.col("a"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     start = F.floor(F.col("a") * F.col("i") / F.col("pieces")).cast("int")
-    left = left.select("raw_name", "n", "a", start.alias("at"), F.expr("substring(s, int(floor(a * i / pieces)) + 1, int(floor(a * (i + 1) / pieces)) - int(floor(a * i / pieces)))").alias("piece"))
+    left = left.select("raw_name", "n", F.col("s").alias("sl"), "a", start.alias("at"), F.expr("substring(s, int(floor(a * i / pieces)) + 1, int(floor(a * (i + 1) / pieces)) - int(floor(a * i / pieces)))").alias("piece"))
     # Piece lengths are those of any name that long, so each length of piece that occurs is taken at every place.
     right = people.withColumn("s", _sorted_tokens("full_n")).withColumn("b", F.length("s")).where("b > 0")
     sizes = left.select(F.length("piece").alias("size")).distinct()
-    grams = right.join(F.broadcast(sizes), F.col("size") <= F.col("b")).select("full_n", "code", "b", F.posexplode(F.transform(F.sequence(F.lit(1), F.expr("b - size + 1")), lambda p: F.substring("s", p, F.col("size")))).alias("place", "piece"))
+    grams = right.join(F.broadcast(sizes), F.col("size") <= F.col("b")).select("full_n", "code", "b", F.col("s").alias("sr"), F.posexplode(F.transform(F.sequence(F.lit(1), F.expr("b - size + 1")), lambda p: F.substring("s", p, F.col("size")))).alias("place", "piece"))
     far = F.ceil((F.col("a") + F.col("b")) * slack)
     met = left.join(grams, "piece").where((F.col("b") >= F.floor(F.col("a") * low)) & (F.col("b") <= F.ceil(F.col("a") * high)) & (F.abs(F.col("place") - F.col("at")) <= far))
+    # Edits are no more than insertions and deletions, so this drops no pair; it is quick, and spares the shuffle.
+    met = met.where(F.levenshtein("sl", "sr") <= F.floor((F.col("a") + F.col("b")) * slack + 1e-9))
     return met.select("raw_name", "n", "full_n", "code").distinct()
 
 
@@ -135,7 +137,9 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     pool = with_club.select("raw_name", "n", "full_n", "code").unionByName(rest)
     # 2 * shorter / (both) bounds the ratio, so far lengths need no comparison.
     bound = 200 * F.least(F.length("n"), F.length("full_n")) / (F.length("n") + F.length("full_n"))
-    scored = pool.where(bound >= least).withColumn("score", token_sort_ratio_udf("n", "full_n")).where(F.col("score") >= least)
+    edits = F.levenshtein(_sorted_tokens("n"), _sorted_tokens("full_n"))
+    few = edits <= F.floor((F.length(_sorted_tokens("n")) + F.length(_sorted_tokens("full_n"))) * (1 - least / 100) + 1e-9)
+    scored = pool.where((bound >= least) & few).withColumn("score", token_sort_ratio_udf("n", "full_n")).where(F.col("score") >= least)
     top = scored.groupBy("raw_name", "code").agg(F.max("score").alias("score")).withColumn("top", F.max("score").over(Window.partitionBy("raw_name"))).where("score = top")
     near_names = _only(top, "raw_name").select("raw_name", "code", F.lit("fuzzy").alias("pass"))
     return names.select("raw_name").join(settled.unionByName(near_names), "raw_name", "left")
