@@ -62,6 +62,8 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        # A worker keeps no buffers of batches that are done.
+        pa.default_memory_pool().release_unused()
 
 
 def fresh(columns: Iterable[str], name: str) -> str:
