@@ -2,15 +2,18 @@
 
 Each round fits a shallow tree to the signs of the residuals and gives every
 leaf the quantile of its residuals, of which a tenth is added (Friedman 2001).
-Features are binned once, so a level of all trees of a round is one pass that
-counts rows and rows below their prediction by (quantile, node, feature, bin);
-a last pass summarises the residuals of each leaf. Both are sums or merges
-that Spark takes in a tree, and what reaches the driver depends on features,
-bins and leaves, not on rows.
-
-Rows are held as numpy blocks with their predictions so far. Blocks are made
-anew from their predecessors every few rounds, so a lost block costs a replay
-of some rounds' trees.
+Features are binned once, and rows of the same bins (a cell) have the same
+prediction at all times. So labels are sorted within cells once, a cell's rows
+below its prediction are a search, and a level of all trees of a round is one
+pass that counts rows and rows below their prediction by (quantile, node,
+feature, bin) at the cost of its cells; a last pass summarises the residuals
+of each leaf. Both are sums or merges that Spark takes in a tree, and what
+reaches the driver depends on features, bins and leaves, not on rows.
+
+Rows are held as numpy blocks in the order of cells and labels, a cell with
+many labels in several blocks, with each cell's predictions so far. Blocks are
+made anew from their predecessors every few rounds, so a lost block costs a
+replay of some rounds' trees.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from scoreloom.session import materialise
+
 QUANTILES = (0.1, 0.5, 0.9)
 ROUNDS = 200
 DEPTH = 4
@@ -34,9 +39,12 @@ RATE = 0.1
 #: Bins of a feature, and the rank error of their edges.
 BINS = 64
 EDGE_ERROR = 0.001
-#: Rounds between two makings of the blocks, and rows of a block.
+#: Rounds between two makings of the blocks, distinct rows of a block at most, and below which a block of its own isn't worth a task.
 KEEP_ROUNDS = 10
-BLOCK_ROWS = 65_536
+BLOCK_ROWS = 1 << 20
+LEAST_BLOCK = 32_768
+#: Partitions whose counts the driver adds up without a tree.
+FEW_PARTS = 32
 #: Points of a summary of residuals. Up to twice as many are held as they are, so leaves of that many rows are exact.
 POINTS = 2_048
 
@@ -98,18 +106,12 @@ class Boosted:
         return Boosted(d["features"], tuple(d["quantiles"]), [np.array(e) for e in d["edges"]], np.array(d["first"]), trees, d["risks"], d["rate"])
 
 
-def loss(y: np.ndarray, p: np.ndarray, quantiles) -> np.ndarray:
-    """Pinball losses summed over rows, by quantile."""
-    off, q = y[:, None] - p, np.array(quantiles)
-    return np.maximum(q * off, (q - 1) * off).sum(axis=0)
-
-
 # --- Summaries of numbers: (values in order, weights) --------------------
 
 
 def thin(values: np.ndarray, weights: np.ndarray, points: int = POINTS) -> tuple[np.ndarray, np.ndarray]:
     """A summary in order; beyond 2 * points only points of equal weight stay, each within 1 / (2 points) of its rank."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     values, weights = values[order], weights[order]
     if len(values) <= 2 * points:
         return values, weights
@@ -118,6 +120,16 @@ def thin(values: np.ndarray, weights: np.ndarray, points: int = POINTS) -> tuple
     return values[np.searchsorted(upto, wanted)], np.full(points, upto[-1] / points)
 
 
+def thin_ones(values: np.ndarray, points: int = POINTS) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`thin` of values of weight 1, by a plain sort."""
+    values = np.sort(values)
+    n = len(values)
+    if n <= 2 * points:
+        return values, np.ones(n)
+    wanted = (np.arange(points) + 0.5) * (n / points)
+    return values[np.ceil(wanted).astype(np.int64) - 1], np.full(points, n / points)
+
+
 def quantile_of(values: np.ndarray, weights: np.ndarray, q: float) -> float:
     """The smallest value that at least a share q of the weight doesn't exceed."""
     upto = np.cumsum(weights)
@@ -134,46 +146,108 @@ def _merge(a: dict, b: dict) -> dict:
 # --- Passes ---------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Rows in the order of cells and labels: a cell's bins, where its labels start and, last, end, the labels, and how often each occurs (None: once)."""
+
+    bins: np.ndarray
+    first: np.ndarray
+    y: np.ndarray
+    weights: np.ndarray | None
+
+    def upto(self) -> np.ndarray:
+        """Rows before each label, and all."""
+        return np.arange(len(self.y) + 1) if self.weights is None else np.concatenate([[0], np.cumsum(self.weights)])
+
+    def below(self, p: np.ndarray) -> np.ndarray:
+        """The place of each cell's first label that isn't below its p, by halving all cells at once."""
+        low, high = self.first[:-1].copy(), self.first[1:].copy()
+        while (open_ := low < high).any():
+            mid = np.minimum((low + high) >> 1, len(self.y) - 1)
+            under = self.y[mid] < p
+            low = np.where(open_ & under, mid + 1, low)
+            high = np.where(open_ & ~under, mid, high)
+        return low
+
+    def losses(self, p: np.ndarray, quantiles) -> np.ndarray:
+        """Pinball losses summed over rows, by quantile; p is cells by quantiles."""
+        off, q = self.y[:, None] - np.repeat(p, np.diff(self.first), axis=0), np.array(quantiles)
+        each = np.maximum(q * off, (q - 1) * off)
+        return each.sum(axis=0) if self.weights is None else self.weights @ each
+
+
 def _blocks(data: DataFrame, model: Boosted) -> RDD:
-    """(bins, y, predictions) of so many rows each."""
+    """(cells, predictions) of so many rows each."""
     n = len(model.features)
 
+    def bin_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins = model.bins(np.column_stack([b[i].to_numpy(zero_copy_only=False) for i in range(n)]))
+            ends = np.arange(0, bins.size + 1, n, dtype=np.int32)
+            cell = pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bins))])
+            yield pa.RecordBatch.from_arrays([cell, b[n].cast(pa.float64())], ["cell", "y"])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for b in batches:
-            for at in range(0, b.num_rows, BLOCK_ROWS):
-                part = b.slice(at, BLOCK_ROWS)
-                x = np.column_stack([part[i].to_numpy(zero_copy_only=False) for i in range(n)])
-                y = part[n].to_numpy(zero_copy_only=False).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array([model.bins(x).tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], ["bins", "y"])
+            held.append(b)
+            rows += b.num_rows
+            if rows >= BLOCK_ROWS:
+                yield block(held)
+                held, rows = [], 0
+        if rows:
+            yield block(held)
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        # Every cell has n bytes, so they are one matrix.
+        bins = np.frombuffer(b"".join(b"".join(b["cell"].to_pylist()) for b in held), np.uint8).reshape(-1, n)
+        y, w = (np.concatenate([b[c].to_numpy(zero_copy_only=False) for b in held]) for c in ("y", "n"))
+        new = np.flatnonzero(np.concatenate([[True], (bins[1:] != bins[:-1]).any(axis=1)]))
+        first = np.append(new, len(y)).astype(np.int64)
+        parts = [bins[new].tobytes(), first.tobytes(), y.tobytes(), None if (w == 1).all() else w.astype(np.int64).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], ["bins", "first", "y", "weights"])
 
     def unpack(r):
-        y = np.frombuffer(r["y"])
-        return np.frombuffer(r["bins"], np.uint8).reshape(len(y), n), y, np.tile(model.first, (len(y), 1))
+        bins = np.frombuffer(r["bins"], np.uint8).reshape(-1, n)
+        cells = Cells(bins, np.frombuffer(r["first"], np.int64), np.frombuffer(r["y"]), None if r["weights"] is None else np.frombuffer(r["weights"], np.int64))
+        return cells, np.tile(model.first, (len(bins), 1))
+
+    # Equal rows are one row with a count, so that none of them fills a range; a cell with many labels lies in several.
+    rows = materialise(data.mapInArrow(bin_, "cell binary, y double").groupBy("cell", "y").agg(F.count("*").alias("n")), "boosting")
+    count, tasks = rows.count(), data.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, min(tasks, -(-count // LEAST_BLOCK)), -(-count // BLOCK_ROWS))
+    ordered = rows.repartitionByRange(parts, "cell", "y").sortWithinPartitions("cell", "y")
+    return ordered.mapInArrow(pack, "bins binary, first binary, y binary, weights binary").rdd.map(unpack)
+
 
-    return data.mapInArrow(pack, "bins binary, y binary").rdd.map(unpack)
+def _deep(rdd: RDD) -> int:
+    return 1 if rdd.getNumPartitions() <= FEW_PARTS else 2
 
 
 def _levels(rdd: RDD, model: Boosted, start: int, grown: list[Tree], level: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Rows, and rows below their prediction, by (quantile, node of the level, feature, bin); the losses; all rows."""
+    """Rows, and rows below their prediction, by (quantile, node of the level, feature, bin); the losses, at the root's level only; all rows."""
     n_models, n_features, nodes = len(model.quantiles), len(model.features), 1 << level
     width = max(len(e) for e in model.edges) + 1
     recent, quantiles = model.since(start), model.quantiles
 
     def count(block):
-        bins, y, held = block
-        p = recent.add(bins, held, 0, len(recent.trees))
+        cells, held = block
+        p = recent.add(cells.bins, held, 0, len(recent.trees))
         out = np.zeros((n_models, 2, nodes * n_features * width), np.int64)
-        column = bins.astype(np.int64) + np.arange(n_features) * width
+        column = cells.bins.astype(np.int64) + np.arange(n_features) * width
+        upto = cells.upto()
+        start, n = upto[cells.first[:-1]], np.diff(upto[cells.first])
         for m in range(n_models):
-            at = grown[m].places(bins, level) - (nodes - 1) if level else np.zeros(len(y), np.int64)
+            at = grown[m].places(cells.bins, level) - (nodes - 1) if level else np.zeros(len(n), np.int64)
             here = at >= 0
             slot = (at[here, None] * (n_features * width) + column[here]).reshape(-1)
-            low = np.repeat(y[here] < p[here, m], n_features)
-            out[m, 0] = np.bincount(slot, minlength=out.shape[2])
-            out[m, 1] = np.bincount(slot[low], minlength=out.shape[2])
-        return out, loss(y, p, quantiles), len(y)
+            low = upto[cells.below(p[:, m])] - start
+            # Whole numbers far below 2^53.
+            for i, rows in enumerate((n, low)):
+                out[m, i] = np.bincount(slot, np.repeat(rows[here], n_features), out.shape[2])
+        return out, cells.losses(p, quantiles) if level == 0 else 0.0, int(n.sum())
 
-    counts, losses, n = rdd.map(count).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
+    counts, losses, n = rdd.map(count).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), _deep(rdd))
     return counts.reshape(n_models, 2, nodes, n_features, width), losses, n
 
 
@@ -196,14 +270,15 @@ def _leaf_values(rdd: RDD, model: Boosted, start: int, grown: list[Tree]) -> lis
     recent = model.since(start)
 
     def summarise(block):
-        bins, y, held = block
-        p = recent.add(bins, held, 0, len(recent.trees))
-        out = {}
+        cells, held = block
+        p = recent.add(cells.bins, held, 0, len(recent.trees))
+        sizes, out = np.diff(cells.first), {}
         for m, t in enumerate(grown):
-            at, off = t.places(bins), y - p[:, m]
+            at, off = t.places(cells.bins), cells.y - np.repeat(p[:, m], sizes)
+            rows = np.repeat(at, sizes)
             for leaf in np.unique(at):
-                mine = off[at == leaf]
-                out[m, int(leaf)] = thin(mine, np.ones(len(mine)))
+                mine = rows == leaf
+                out[m, int(leaf)] = thin_ones(off[mine]) if cells.weights is None else thin(off[mine], cells.weights[mine].astype(np.float64))
         return out
 
     told = rdd.map(summarise).treeReduce(_merge)
@@ -234,7 +309,7 @@ def fit(df: DataFrame, features: list[str], label: str, quantiles=QUANTILES, rou
     for r in range(rounds + 1):
         if r - start == KEEP_ROUNDS:
             recent = model.since(start)
-            advanced = held.map(lambda b, m=recent: (b[0], b[1], m.add(b[0], b[2], 0, len(m.trees)))).persist(StorageLevel.MEMORY_AND_DISK)
+            advanced = held.map(lambda b, m=recent: (b[0], m.add(b[0].bins, b[1], 0, len(m.trees)))).persist(StorageLevel.MEMORY_AND_DISK)
             advanced.count()
             held.unpersist()
             held, start = advanced, r

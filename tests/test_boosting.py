@@ -104,3 +104,29 @@ def test_missing_values_ties_and_no_rows(spark):
     assert {r.q50 for r in out.collect()} == {4.0}
     none = B.fit(df.where("false"), ["a"], "y", rounds=3)
     assert {tuple(r)[-3:] for r in B.predict(df, none).collect()} == {(0.0, 0.0, 0.0)}
+
+
+def test_cells_with_many_equal_rows(spark):
+    """Few cells, equal rows counted once and a cell in several blocks: what each row alone would give."""
+    x = [[float(i % 2), float(i % 3 == 0)] for i in range(400)]
+    y = [float((i * 37) % 50 if i % 5 else 7) for i in range(400)]
+    df = spark.createDataFrame([(*r, v) for r, v in zip(x, y)], "a double, b double, y double")
+    rows, least = B.BLOCK_ROWS, B.LEAST_BLOCK
+    try:
+        B.BLOCK_ROWS, B.LEAST_BLOCK = 40, 30
+        model = B.fit(df, ["a", "b"], "y", rounds=4, depth=2, least=15, bins=8)
+    finally:
+        B.BLOCK_ROWS, B.LEAST_BLOCK = rows, least
+    p = model.predict(np.array(x))
+    for m, q in enumerate(B.QUANTILES):
+        want, risks = brute(x, y, model.edges, q, 4, 2, 15, B.RATE)
+        assert list(p[:, m]) == pytest.approx(want)
+        assert [r[m] for r in model.risks[:-1]] == pytest.approx(risks)
+
+
+def test_a_pass_costs_cells():
+    """Of 100,000 rows in three cells a search looks at some 17 labels a cell."""
+    y = np.sort(np.random.default_rng(1).random(100_000))
+    cells = B.Cells(np.array([[0], [1], [2]], np.uint8), np.array([0, 50_000, 50_000, 100_000]), np.concatenate([y[::2], y[1::2]]), None)
+    assert cells.below(np.array([0.5, 0.5, 2.0])).tolist() == [(y[::2] < 0.5).sum(), 50_000, 100_000]
+    assert cells.below(np.array([-1.0, 0.0, y[1]])).tolist() == [0, 50_000, 50_000]
