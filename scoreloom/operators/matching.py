@@ -43,34 +43,54 @@ def _sorted_tokens(name: str) -> Column:
 
 
 def _by_blocks(names: DataFrame, people: DataFrame, least: float) -> DataFrame:
-    """Pairs (raw_name, n, full_n, code) that may reach the ratio, by an equi-join that loses none of them.
+    """Pairs (raw_name, n, full_n, code) of one lane that may reach the ratio, by an equi-join that loses none of them.
 
     A ratio of r between texts of a and b characters leaves at most
     d = (a + b)(1 - r / 100) characters that aren't common, in order, to
     both. Cut the longer text into d + 1 pieces: one piece is then untouched
     and stands in the other text as it is, moved by at most d characters. So
     the names' pieces meet the same piece at any such place of the people's
-    names; both are sorted by tokens first, as the ratio does.
+    names of a length that the ratio allows; both are sorted by tokens first,
+    as the ratio does.
     """
+    names, people = (df if "lane" in df.columns else df.withColumn("lane", F.lit("")) for df in (names, people))
     slack = 1 - least / 100
     # Lengths b with 2 * min / (a + b) >= r lie between a * r / (2 - r) and a * (2 - r) / r.
     low, high = (1 - slack) / (1 + slack), (1 + slack) / (1 - slack)
-    left = names.select("raw_name", "n", _sorted_tokens("n").alias("s")).withColumn("a", F.length("s")).where("a > 0")
+    left = names.select("raw_name", "n", "lane", _sorted_tokens("n").alias("s")).withColumn("a", F.length("s")).where("a > 0")
     cuts = F.floor(F.col("a") * (1 + high) * slack).cast("int") + 1
     left = left.withColumn("pieces", F.least(cuts, F.col("a"))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     start = F.floor(F.col("a") * F.col("i") / F.col("pieces")).cast("int")
-    left = left.select("raw_name", "n", F.col("s").alias("sl"), "a", start.alias("at"), F.expr("substring(s, int(floor(a * i / pieces)) + 1, int(floor(a * (i + 1) / pieces)) - int(floor(a * i / pieces)))").alias("piece"))
-    # Piece lengths are those of any name that long, so each length of piece that occurs is taken at every place.
+    left = left.select("raw_name", "n", "lane", F.col("s").alias("sl"), "a", start.alias("at"), F.expr("substring(s, int(floor(a * i / pieces)) + 1, int(floor(a * (i + 1) / pieces)) - int(floor(a * i / pieces)))").alias("piece"))
+    lengths = F.sequence(F.floor(F.col("a") * low).cast("int"), F.ceil(F.col("a") * high).cast("int"))
+    left = left.withColumn("b", F.explode(lengths))
+    # Of a person's name pieces are taken as long as those of names that its length suits; lengths are few.
+    sizes = left.select("b", F.length("piece").alias("size")).distinct()
     right = people.withColumn("s", _sorted_tokens("full_n")).withColumn("b", F.length("s")).where("b > 0")
-    sizes = left.select(F.length("piece").alias("size")).distinct()
-    grams = right.join(F.broadcast(sizes), F.col("size") <= F.col("b")).select("full_n", "code", "b", F.col("s").alias("sr"), F.posexplode(F.transform(F.sequence(F.lit(1), F.expr("b - size + 1")), lambda p: F.substring("s", p, F.col("size")))).alias("place", "piece"))
+    grams = right.join(F.broadcast(sizes), "b").where("size <= b").select("full_n", "code", "lane", "b", F.col("s").alias("sr"), F.posexplode(F.transform(F.sequence(F.lit(1), F.expr("b - size + 1")), lambda p: F.substring("s", p, F.col("size")))).alias("place", "piece"))
     far = F.ceil((F.col("a") + F.col("b")) * slack)
-    met = left.join(grams, "piece").where((F.col("b") >= F.floor(F.col("a") * low)) & (F.col("b") <= F.ceil(F.col("a") * high)) & (F.abs(F.col("place") - F.col("at")) <= far))
+    met = left.join(grams, ["lane", "b", "piece"]).where(F.abs(F.col("place") - F.col("at")) <= far)
     # Edits are no more than insertions and deletions, so this drops no pair; it is quick, and spares the shuffle.
     met = met.where(F.levenshtein("sl", "sr") <= F.floor((F.col("a") + F.col("b")) * slack + 1e-9))
     return met.select("raw_name", "n", "full_n", "code").distinct()
 
 
+def _one_off(names: DataFrame, people: DataFrame) -> DataFrame:
+    """Pairs (raw_name, n, full_n, code) of one lane whose texts, sorted by tokens, are equal or a character short of one another.
+
+    Equi-joins of the texts and of what they are without one character. Where
+    a name of three characters or more has such a pair, none that is further
+    off has as high a ratio: 2 / (a + b) is at least 1 / (a + 1) for a length
+    b <= a + 2, and one character costs 1 / (2 a - 1) at most.
+    """
+    left = names.select("raw_name", "n", "lane", _sorted_tokens("n").alias("s")).where("length(s) > 2")
+    right = people.select("full_n", "code", "lane", _sorted_tokens("full_n").alias("s")).where("s <> ''")
+    without = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.concat(F.substring("s", F.lit(1), i - 1), F.substring("s", i + 1, F.length("s"))))))
+    longer, shorter = left.withColumn("s", without), right.withColumn("s", without)
+    found = left.join(right, ["lane", "s"]).unionByName(longer.join(right, ["lane", "s"])).unionByName(left.join(shorter, ["lane", "s"]))
+    return found.select("raw_name", "n", "full_n", "code").distinct()
+
+
 def _club_scores(clubs: DataFrame, teams: DataFrame, least: float) -> DataFrame:
     """(c, team_n, score) of distinct clubs and teams whose partial ratio reaches ``least``, equal ones by a join alone.
 
@@ -103,8 +123,10 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     several leaves it to the next, and what no pass settles has a null code.
     Normal forms and the passes up to tokens are expressions and equi-joins.
     Clubs are compared with teams once a distinct pair. Only the fuzzy pass
-    compares names pairwise, what is left of them: with the people of clubs that match where there are any, and else with those
-    that share a piece of the name (see :func:`_by_blocks`).
+    compares names pairwise, what is left of them, with the people of clubs
+    that match where there are any, and else with all: first with those at
+    most a character off (see :func:`_one_off`), and where there are none with
+    those that share a piece of the name (see :func:`_by_blocks`).
     """
     names = raw.where("raw_name is not null").groupBy("raw_name").agg(F.max_by("club", "seq").alias("club"))
     names = names.withColumns({"n": normalise(F.col("raw_name")), "c": club(F.col("club"))})
@@ -132,14 +154,16 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     settled = reduce(DataFrame.unionByName, found).groupBy("raw_name").agg(F.min_by(F.struct("code", "pass"), "rank").alias("r")).select("raw_name", "r.code", "r.pass")
     settled = materialise(settled, "names-settled")
     left = names.join(settled.select("raw_name"), "raw_name", "left_anti")
-    with_club = left.join(near.select("c").distinct(), "c", "left_semi").join(near.select("c", "team_n"), "c").join(people.select("team_n", "full_n", "code").distinct(), "team_n")
-    rest = _by_blocks(left.join(near.select("c").distinct(), "c", "left_anti"), people.select("full_n", "code").distinct(), least)
-    pool = with_club.select("raw_name", "n", "full_n", "code").unionByName(rest)
-    # 2 * shorter / (both) bounds the ratio, so far lengths need no comparison.
-    bound = 200 * F.least(F.length("n"), F.length("full_n")) / (F.length("n") + F.length("full_n"))
-    edits = F.levenshtein(_sorted_tokens("n"), _sorted_tokens("full_n"))
-    few = edits <= F.floor((F.length(_sorted_tokens("n")) + F.length(_sorted_tokens("full_n"))) * (1 - least / 100) + 1e-9)
-    scored = pool.where((bound >= least) & few).withColumn("score", token_sort_ratio_udf("n", "full_n")).where(F.col("score") >= least)
-    top = scored.groupBy("raw_name", "code").agg(F.max("score").alias("score")).withColumn("top", F.max("score").over(Window.partitionBy("raw_name"))).where("score = top")
+    # A name looks among the people of its clubs, each a lane, or in the lane of all people.
+    clubbed = left.join(near.select("c", F.col("team_n").alias("lane")), "c").select("raw_name", "n", "lane")
+    asks = materialise(clubbed.unionByName(left.join(near.select("c").distinct(), "c", "left_anti").select("raw_name", "n", F.lit("").alias("lane"))), "names-left")
+    folk = people.where("team_n <> ''").select("full_n", "code", F.col("team_n").alias("lane")).unionByName(people.select("full_n", "code", F.lit("").alias("lane"))).distinct()
+
+    def scores(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("score", token_sort_ratio_udf("n", "full_n")).where(F.col("score") >= least).select("raw_name", "code", "score")
+
+    close = materialise(scores(_one_off(asks, folk)), "names-close")
+    far = scores(_by_blocks(asks.join(close.select("raw_name").distinct(), "raw_name", "left_anti"), folk, least))
+    top = close.unionByName(far).groupBy("raw_name", "code").agg(F.max("score").alias("score")).withColumn("top", F.max("score").over(Window.partitionBy("raw_name"))).where("score = top")
     near_names = _only(top, "raw_name").select("raw_name", "code", F.lit("fuzzy").alias("pass"))
     return names.select("raw_name").join(settled.unionByName(near_names), "raw_name", "left")

@@ -92,3 +92,10 @@ def test_club_blocks_lose_no_pair(spark):
     left, right = sorted(set(words[:35])), sorted(set(words[35:]))
     got = {(r.c, r.team_n) for r in matching._club_scores(spark.createDataFrame([(w,) for w in left], "c string"), spark.createDataFrame([(w,) for w in right], "team_n string"), 90.0).collect()}
     assert got == {(a, b) for a in left for b in right if tx.partial_ratio(a, b) >= 90}
+
+
+def test_one_character_off_is_found_by_equality(spark):
+    """Pairs a character apart or equal, of one lane, and no others; they need no search by pieces."""
+    names = spark.createDataFrame([("A", "red bolt ab", "x"), ("B", "bolt redd ab", "x"), ("C", "ab", "x"), ("D", "red bolt ab", "y")], "raw_name string, n string, lane string")
+    people = spark.createDataFrame([("bolt ab red", 1, "x"), ("bolt ab re", 2, "x"), ("bolt ab reddd", 3, "x"), ("bolt ab r", 4, "x"), ("ab", 5, "x")], "full_n string, code int, lane string")
+    assert {(r.raw_name, r.code) for r in matching._one_off(names, people).collect()} == {("A", 1), ("A", 2), ("B", 1), ("B", 3)}
