@@ -6,7 +6,9 @@ web_name), ``player_seasons`` (season, player_code, element_type, team_code),
 ``teams`` (team_code, short_name), ``prices`` (season, player_code,
 snapshot_date and the rest), ``predictions``, ``squad_picks``, ``gameweeks``.
 "Newest" rows are maxima over structs, and a season's last week is one row
-that is joined to all, so nothing but the keys is shuffled.
+that is joined to all, so nothing but the keys is shuffled. Players and their
+seasons are joined by merges: Spark would take them for small by the bytes of
+the files they come from, and send all players' seasons through the driver.
 """
 
 from __future__ import annotations
@@ -34,6 +36,14 @@ def _exact(c: Column) -> Column:
     return c.cast("decimal(20,4)")
 
 
+def _names(players: DataFrame, name: str = "web_name") -> DataFrame:
+    return players.select("player_code", F.col("web_name").alias(name)).hint("merge")
+
+
+def _seasons(player_seasons: DataFrame, *columns: str) -> DataFrame:
+    return player_seasons.select(*columns).hint("merge")
+
+
 def latest_prices(prices: DataFrame) -> DataFrame:
     """The newest snapshot of each player and season."""
     return latest_by(prices, KEY, ["snapshot_date"], [c for c in prices.columns if c not in KEY])
@@ -47,7 +57,7 @@ def player_totals(stats: DataFrame, players: DataFrame, player_seasons: DataFram
     """
     t = stats.groupBy(*KEY).agg(F.count_if(F.col("minutes") > 0).alias("games_played"), *[F.sum(c).alias(name) for name, c in SUMS.items()])
     now = latest_prices(prices).select(*KEY, "now_cost", "selected_by_percent", "status")
-    t = t.join(now, KEY).join(player_seasons.select(*KEY, "element_type", "team_code"), KEY).join(players.select("player_code", "web_name"), "player_code")
+    t = t.join(now, KEY).join(_seasons(player_seasons, *KEY, "element_type", "team_code"), KEY).join(_names(players), "player_code")
 
     def rate(top: Column, below: Column, times: int = 1) -> Column:
         # Exact decimals: halves are then rounded as such.
@@ -82,7 +92,7 @@ def rolling_view(stats: DataFrame) -> DataFrame:
 
 def ownership_movers(prices: DataFrame, players: DataFrame, player_seasons: DataFrame) -> DataFrame:
     """The newest snapshot of each player with names and net transfers."""
-    rows = latest_prices(prices).join(player_seasons.select(*KEY, "element_type", "team_code"), KEY).join(players.select("player_code", "web_name"), "player_code")
+    rows = latest_prices(prices).join(_seasons(player_seasons, *KEY, "element_type", "team_code"), KEY).join(_names(players), "player_code")
     return rows.withColumn("net_transfers_event", F.col("transfers_in_event") - F.col("transfers_out_event"))
 
 
@@ -120,8 +130,8 @@ def squad(picks: DataFrame, players: DataFrame, player_seasons: DataFrame, teams
     now = latest_prices(prices.where(F.col("season") == season).join(who, "player_code", "left_semi")).select("player_code", "now_cost")
     told = last_predictions(predictions.where(F.col("season") == season)).select("player_code", *PREDICTED)
     rows = (
-        own.join(players.select("player_code", "web_name"), "player_code")
-        .join(player_seasons.where(F.col("season") == season).select("player_code", "element_type", "team_code"), "player_code")
+        own.join(_names(players), "player_code")
+        .join(_seasons(player_seasons.where(F.col("season") == season), "player_code", "element_type", "team_code"), "player_code")
         .join(teams.select("team_code", F.col("short_name").alias("team")), "team_code")
         .join(now, "player_code")
         .join(told, "player_code", "left")
@@ -175,8 +185,8 @@ def fixture_grid_rows(difficulty: DataFrame, teams: DataFrame, season: str, star
 def live_rows(stats: DataFrame, players: DataFrame, player_seasons: DataFrame, prices: DataFrame, season: str) -> DataFrame:
     """A season's stats in the shape of the archives: element, code, GW, name, position, value and availability flags."""
     now = latest_prices(prices.where(F.col("season") == season)).select("player_code", F.col("now_cost").alias("value"))
-    who = player_seasons.where(F.col("season") == season).select("player_code", "element_type")
-    rows = stats.where(F.col("season") == season).join(players.select("player_code", F.col("web_name").alias("name")), "player_code").join(who, "player_code").join(now, "player_code")
+    who = _seasons(player_seasons.where(F.col("season") == season), "player_code", "element_type")
+    rows = stats.where(F.col("season") == season).join(_names(players, "name"), "player_code").join(who, "player_code").join(now, "player_code")
     return rows.withColumn("code", F.col("player_code")).withColumns({"position": position(), "xg_data_available": F.lit(1), "dc_data_available": F.lit(1)}).withColumnsRenamed({"player_code": "element", "event_id": "GW"})
 
 
