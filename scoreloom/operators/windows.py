@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,14 @@ def first_then_mean(df: DataFrame, keys: list[str], order: list, value: str, sea
     return F.coalesce(F.avg(value).over(w), F.avg(value).over(Window.partitionBy(*season)))
 
 
+def form_or_mean(df: DataFrame, keys: list[str], order: list, value: str, season: list[str], name: str, n: int = 5) -> DataFrame:
+    """``df`` with :func:`first_then_mean` as a column, where a season has too many rows for a window: its mean is one row that is joined."""
+    means = df.groupBy(*[F.col(c).alias(f"__{c}") for c in season]).agg(F.avg(value).alias("__mean"))  # a row a season
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in season])
+    told = df.withColumn("__form", F.avg(value).over(_w(keys, order).rowsBetween(-n, -1))).join(F.broadcast(means), same)
+    return told.select(*df.columns, F.coalesce("__form", "__mean").alias(name))
+
+
 def capped_fold(df: DataFrame, keys: list[str], step: str, used: str, cap: int = 5, first: int = 1, width: int = 1024) -> DataFrame:
     """Free moves left after a fold over the steps of each key.
 

@@ -83,8 +83,8 @@ def coming_rows(s, d):
   avg(total_points) OVER (PARTITION BY season)), 6) AS form FROM stats""")
 def form_or_season(s, d):
     week = stats(s, d)
-    form = windows.first_then_mean(week, list(reads.KEY), ["event_id"], "total_points", ["season"])
-    return week.select("season", "player_code", "event_id", F.round(form, 6).alias("form"))
+    form = windows.form_or_mean(week, list(reads.KEY), ["event_id"], "total_points", ["season"], "form")
+    return form.select("season", "player_code", "event_id", F.round("form", 6).alias("form"))
 
 
 @query("browse_players", f"""{_RANKINGS} SELECT player_code, round(predicted_points, 6) AS predicted_points FROM rankings

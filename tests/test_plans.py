@@ -17,3 +17,22 @@ def test_weeks_are_merged_with_squads(spark):
     plan = catalogue.queries()["season_score"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     first = [line for line in plan.splitlines() if "Join" in line][-1]
     assert "SortMergeJoin [player" in first
+
+
+def test_no_window_holds_a_season(spark):
+    plan = catalogue.queries()["form_or_season"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line]
+    assert len(windows) == 1 and "player_code" in windows[0]
+
+
+def test_dealt_values_are_shuffled_as_plain_rows(spark):
+    """No list is made of a value before the shuffle, where each is alone with its target."""
+    from pyspark.sql import functions as F
+
+    from scoreloom.models.experiments import _gathered
+
+    sent = spark.range(100).select((F.col("id") % 10).alias("__to"), F.col("id").alias("f"), F.lit(0).cast("long").alias("r"), F.lit(1.0).alias("v"))
+    out = _gathered(sent)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("collect_list") < plan.index("Exchange") and "collect_list" not in plan[plan.index("Exchange") :]
+    assert sorted((r["__to"], len(r["dealt"])) for r in out.collect()) == [(i, 10) for i in range(10)]
