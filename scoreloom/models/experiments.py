@@ -52,6 +52,16 @@ def deals(n: int, n_features: int, repeats: int, seed: int) -> list[tuple[int, i
     return out
 
 
+def _gathered(sent: DataFrame, repeats: int) -> DataFrame:
+    """What each row was sent, as a list with one value for each feature and repeat (in one number k on the way).
+
+    Rows are spread before they are grouped: a task seldom has two values for
+    one target, so lists made before the shuffle would only add their own size.
+    """
+    f, r = F.floor(F.col("k") / repeats).cast("long").alias("f"), (F.col("k") % repeats).cast("long").alias("r")
+    return sent.repartition("__to").groupBy("__to").agg(F.collect_list(F.struct(f, r, "v")).alias("dealt"))
+
+
 def permutation_importance(model, test: DataFrame, features: list[str], label: str, row_id: str, repeats: int = 10, seed: int = 42) -> DataFrame:
     """Loss of R2 when one feature's values are dealt out anew; mean and deviation over repeats, for all features in one job.
 
@@ -70,9 +80,8 @@ def permutation_importance(model, test: DataFrame, features: list[str], label: s
     x = F.array(*[F.col(f"__x_{i}") for i in range(len(features))])
     sent = rows.select("__i", x.alias("__x"), F.explode(moves).alias("d")).select(
         F.pmod(F.col("d.a") * F.col("__i") + F.col("d.b"), F.lit(n)).alias("__to"), F.col("d.f").alias("f"), F.col("d.r").alias("r"), F.get("__x", F.col("d.f").cast("int")).alias("v")
-    )
-    # A row gets one value for each feature and repeat.
-    got = sent.groupBy("__to").agg(F.collect_list(F.struct("f", "r", "v")).alias("dealt"))
+    ).select("__to", (F.col("f") * repeats + F.col("r")).cast("int").alias("k"), "v")
+    got = _gathered(sent, repeats)
     plain = F.array(F.struct(F.lit(-1).cast("long").alias("f"), F.lit(0).cast("long").alias("r"), F.lit(0.0).alias("v")))
     each = rows.join(got, F.col("__i") == F.col("__to")).select(F.col(label).alias("__y"), *[f"__x_{i}" for i in range(len(features))], F.explode(F.concat(plain, "dealt")).alias("d"))
     changed = {f"__x_{i}": F.when(F.col("d.f") == i, F.col("d.v")).otherwise(F.col(f"__x_{i}")) for i in range(len(features))}

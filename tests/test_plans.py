@@ -31,8 +31,10 @@ def test_dealt_values_are_shuffled_as_plain_rows(spark):
 
     from scoreloom.models.experiments import _gathered
 
-    sent = spark.range(100).select((F.col("id") % 10).alias("__to"), F.col("id").alias("f"), F.lit(0).cast("long").alias("r"), F.lit(1.0).alias("v"))
-    out = _gathered(sent)
+    sent = spark.range(100).select((F.col("id") % 10).alias("__to"), (F.col("id") % 30).cast("int").alias("k"), F.lit(1.0).alias("v"))
+    out = _gathered(sent, 10)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("collect_list") < plan.index("Exchange") and "collect_list" not in plan[plan.index("Exchange") :]
-    assert sorted((r["__to"], len(r["dealt"])) for r in out.collect()) == [(i, 10) for i in range(10)]
+    rows = out.collect()
+    assert sorted((r["__to"], len(r["dealt"])) for r in rows) == [(i, 10) for i in range(10)]
+    assert {(v.f, v.r) for r in rows for v in r["dealt"]} == {(f, r) for f in range(3) for r in range(10)}
