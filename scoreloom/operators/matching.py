@@ -1,4 +1,9 @@
-"""Name matching in passes: override, exact, token, token and club, fuzzy; what is ambiguous stays unmatched."""
+"""Name matching in passes: override, exact, token, token and club, fuzzy; what is ambiguous stays unmatched.
+
+Names, people and what is made of them are joined by merges: Spark would take
+them for small by the bytes of the files they come from, and send all of their
+pieces through the driver.
+"""
 
 from __future__ import annotations
 
@@ -25,6 +30,8 @@ CLUB_ALIASES = {
     "leeds": "leeds united",
 }
 LEAST = 90.0
+#: Pairs of a club and a team that match up to which they are broadcast: some 10 MB at most.
+BROADCAST_CLUBS = 50_000
 
 
 def club(c: Column) -> Column:
@@ -69,7 +76,7 @@ def _by_blocks(names: DataFrame, people: DataFrame, least: float) -> DataFrame:
     right = people.withColumn("s", _sorted_tokens("full_n")).withColumn("b", F.length("s")).where("b > 0")
     grams = right.join(F.broadcast(sizes), "b").where("size <= b").select("full_n", "code", "lane", "b", F.col("s").alias("sr"), F.posexplode(F.transform(F.sequence(F.lit(1), F.expr("b - size + 1")), lambda p: F.substring("s", p, F.col("size")))).alias("place", "piece"))
     far = F.ceil((F.col("a") + F.col("b")) * slack)
-    met = left.join(grams, ["lane", "b", "piece"]).where(F.abs(F.col("place") - F.col("at")) <= far)
+    met = left.join(grams.hint("merge"), ["lane", "b", "piece"]).where(F.abs(F.col("place") - F.col("at")) <= far)
     # Edits are no more than insertions and deletions, so this drops no pair; it is quick, and spares the shuffle.
     met = met.where(F.levenshtein("sl", "sr") <= F.floor((F.col("a") + F.col("b")) * slack + 1e-9))
     return met.select("raw_name", "n", "full_n", "code").distinct()
@@ -87,6 +94,7 @@ def _one_off(names: DataFrame, people: DataFrame) -> DataFrame:
     right = people.select("full_n", "code", "lane", _sorted_tokens("full_n").alias("s")).where("s <> ''")
     without = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.concat(F.substring("s", F.lit(1), i - 1), F.substring("s", i + 1, F.length("s"))))))
     longer, shorter = left.withColumn("s", without), right.withColumn("s", without)
+    right, shorter = right.hint("merge"), shorter.hint("merge")
     found = left.join(right, ["lane", "s"]).unionByName(longer.join(right, ["lane", "s"])).unionByName(left.join(shorter, ["lane", "s"]))
     return found.select("raw_name", "n", "full_n", "code").distinct()
 
@@ -98,7 +106,7 @@ def _club_scores(clubs: DataFrame, teams: DataFrame, least: float) -> DataFrame:
     longer: at 90 or more they differ by n (2 - 2 r) edits at most, so of one
     piece more than that one stands in the longer text as it is.
     """
-    same = clubs.join(teams, F.col("c") == F.col("team_n")).withColumn("score", F.lit(100.0))
+    same = clubs.join(teams.hint("merge"), F.col("c") == F.col("team_n")).withColumn("score", F.lit(100.0))
     slack = 2 - 2 * least / 100
 
     def meets(short: DataFrame, s: str, long: DataFrame, t: str) -> DataFrame:
@@ -108,7 +116,7 @@ def _club_scores(clubs: DataFrame, teams: DataFrame, least: float) -> DataFrame:
         sizes = cut.select(F.length("piece").alias("size")).distinct()
         # Lengths of pieces are fewer than characters of a name.
         grams = long.join(F.broadcast(sizes), F.col("size") <= F.length(t)).select(t, F.explode(F.transform(F.sequence(F.lit(1), F.expr(f"length({t}) - size + 1")), lambda p: F.substring(t, p, F.col("size")))).alias("piece"))
-        return cut.join(grams.distinct(), "piece").where(F.length(s) <= F.length(t)).select("c", "team_n").distinct()
+        return cut.join(grams.distinct().hint("merge"), "piece").where(F.length(s) <= F.length(t)).select("c", "team_n").distinct()
 
     pairs = meets(clubs, "c", teams, "team_n").unionByName(meets(teams, "team_n", clubs, "c")).distinct().where("c <> team_n")
     return same.unionByName(pairs.withColumn("score", partial_ratio_udf("c", "team_n")).where(F.col("score") >= least))
@@ -129,8 +137,9 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     those that share a piece of the name (see :func:`_by_blocks`).
     """
     names = raw.where("raw_name is not null").groupBy("raw_name").agg(F.max_by("club", "seq").alias("club"))
-    names = names.withColumns({"n": normalise(F.col("raw_name")), "c": club(F.col("club"))})
-    people = directory.withColumns({"full_n": normalise(F.col("full_name")), "web_n": normalise(F.col("web_name")), "team_n": club(F.col("team"))})
+    # The normal forms hold thousands of letters, so they stand in two plans and not in each of those that follow.
+    names = materialise(names.select("raw_name", normalise(F.col("raw_name")).alias("n"), club(F.col("club")).alias("c")), "names")
+    people = materialise(directory.select("code", normalise(F.col("full_name")).alias("full_n"), normalise(F.col("web_name")).alias("web_n"), club(F.col("team")).alias("team_n")), "names-people")
     found: list[DataFrame] = []
 
     def settle(rows: DataFrame, label: str) -> None:
@@ -140,30 +149,35 @@ def match_names(raw: DataFrame, directory: DataFrame, overrides: DataFrame | Non
     if overrides is not None:
         # Both sides in normal form; of several overrides of a name the last row holds.
         fixed = overrides.select(normalise(F.col("raw_name")).alias("n"), "code", F.monotonically_increasing_id().alias("__row"))
-        settle(names.join(fixed.groupBy("n").agg(F.max_by("code", "__row").alias("code")), "n"), "override")
+        settle(names.join(fixed.groupBy("n").agg(F.max_by("code", "__row").alias("code")).hint("merge"), "n"), "override")
     exact = _only(people.select(F.explode(F.array("full_n", "web_n")).alias("n"), "code").where("n <> ''").distinct(), "n")
-    settle(names.join(exact, "n"), "exact")
+    settle(names.join(exact.hint("merge"), "n"), "exact")
     tokens = names.select("raw_name", "c", F.explode(F.array_distinct(F.split("n", "\\s+"))).alias("web_n"))
-    candidates = tokens.join(people.select("web_n", "code", "team_n").where("web_n <> ''"), "web_n")
+    candidates = tokens.join(people.select("web_n", "code", "team_n").where("web_n <> ''").hint("merge"), "web_n")
     settle(_only(candidates.select("raw_name", "code").distinct(), "raw_name"), "token")
     clubs = names.select("c").where("c <> ''").distinct()
     near = materialise(_club_scores(clubs, people.select("team_n").where("team_n <> ''").distinct(), least), "club-scores")
-    at_club = candidates.join(near, ["c", "team_n"])
+    few = near.count() <= BROADCAST_CLUBS
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df.hint("merge")
+
+    at_club = candidates.join(sent(near), ["c", "team_n"])
     best = at_club.groupBy("raw_name", "code").agg(F.max("score").alias("score")).withColumn("top", F.max("score").over(Window.partitionBy("raw_name"))).where("score = top")
     settle(_only(best, "raw_name"), "token_club")
     settled = reduce(DataFrame.unionByName, found).groupBy("raw_name").agg(F.min_by(F.struct("code", "pass"), "rank").alias("r")).select("raw_name", "r.code", "r.pass")
     settled = materialise(settled, "names-settled")
-    left = names.join(settled.select("raw_name"), "raw_name", "left_anti")
+    left = names.join(settled.select("raw_name").hint("merge"), "raw_name", "left_anti")
     # A name looks among the people of its clubs, each a lane, or in the lane of all people.
-    clubbed = left.join(near.select("c", F.col("team_n").alias("lane")), "c").select("raw_name", "n", "lane")
-    asks = materialise(clubbed.unionByName(left.join(near.select("c").distinct(), "c", "left_anti").select("raw_name", "n", F.lit("").alias("lane"))), "names-left")
+    clubbed = left.join(sent(near.select("c", F.col("team_n").alias("lane"))), "c").select("raw_name", "n", "lane")
+    asks = materialise(clubbed.unionByName(left.join(sent(near.select("c").distinct()), "c", "left_anti").select("raw_name", "n", F.lit("").alias("lane"))), "names-left")
     folk = people.where("team_n <> ''").select("full_n", "code", F.col("team_n").alias("lane")).unionByName(people.select("full_n", "code", F.lit("").alias("lane"))).distinct()
 
     def scores(pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("score", token_sort_ratio_udf("n", "full_n")).where(F.col("score") >= least).select("raw_name", "code", "score")
 
     close = materialise(scores(_one_off(asks, folk)), "names-close")
-    far = scores(_by_blocks(asks.join(close.select("raw_name").distinct(), "raw_name", "left_anti"), folk, least))
+    far = scores(_by_blocks(asks.join(close.select("raw_name").distinct().hint("merge"), "raw_name", "left_anti"), folk, least))
     top = close.unionByName(far).groupBy("raw_name", "code").agg(F.max("score").alias("score")).withColumn("top", F.max("score").over(Window.partitionBy("raw_name"))).where("score = top")
     near_names = _only(top, "raw_name").select("raw_name", "code", F.lit("fuzzy").alias("pass"))
-    return names.select("raw_name").join(settled.unionByName(near_names), "raw_name", "left")
+    return names.select("raw_name").join(settled.unionByName(near_names).hint("merge"), "raw_name", "left")

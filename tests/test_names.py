@@ -99,3 +99,20 @@ def test_one_character_off_is_found_by_equality(spark):
     names = spark.createDataFrame([("A", "red bolt ab", "x"), ("B", "bolt redd ab", "x"), ("C", "ab", "x"), ("D", "red bolt ab", "y")], "raw_name string, n string, lane string")
     people = spark.createDataFrame([("bolt ab red", 1, "x"), ("bolt ab re", 2, "x"), ("bolt ab reddd", 3, "x"), ("bolt ab r", 4, "x"), ("ab", 5, "x")], "full_n string, code int, lane string")
     assert {(r.raw_name, r.code) for r in matching._one_off(names, people).collect()} == {("A", 1), ("A", 2), ("B", 1), ("B", 3)}
+
+
+def test_names_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Rows that look small are merged, and no plan after the first two repeats the letters of normal forms."""
+    names = spark.createDataFrame([("A", "red bolt ab", "x")], "raw_name string, n string, lane string")
+    people = spark.createDataFrame([("bolt ab red", 1, "x")], "full_n string, code int, lane string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(matching._one_off(names, people))
+    # Only the lengths of pieces.
+    assert plan(matching._by_blocks(names, people, 90.0)).count("BroadcastHashJoin") == 1
+    written = []
+    monkeypatch.setattr(matching, "materialise", lambda df, name, f=matching.materialise: written.append((name, plan(df))) or f(df, name))
+    last = plan(name_match(spark, SF))
+    assert {name for name, p in [*written, ("last", last)] if "translate(" in p} == {"names", "names-people"}
+    # Clubs that match, which are counted first, and the lengths of pieces.
+    sent = {name: p.count("BroadcastHashJoin") for name, p in [*written, ("last", last)] if "BroadcastHashJoin" in p}
+    assert sent == {"names-settled": 1, "names-left": 2, "last": 1}
