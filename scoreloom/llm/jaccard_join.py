@@ -17,7 +17,13 @@ below the boundary are in both. The boundary is the size at which pairs get
 dearer than lists, by the cost of both on a sample (it moves cost, never
 results). The order puts frequent elements last: their counts come from a
 sketch of fixed size over the whole corpus, so passages that many texts share
-are no keys of any text that has enough words of its own.
+are no keys of any text that has enough words of its own. A counter of the
+sketch stands for more elements the larger the corpus is, and then elements
+that some dozens of unlike texts share look as rare as others. So the order is
+mended by the lists themselves: elements of long lists most of whose classes
+can't link with the list's leader are *late*, they come behind all others.
+Only classes with a late element among their keys get other keys; their texts
+are read again.
 
 Lists of more than ``STAR`` classes are not paired up. Every class is compared
 with its list's most typical class, the leader L; a list whose classes are now
@@ -61,6 +67,11 @@ ROUNDS = 6
 COST_ROWS = 2_000
 KEY_COST = 4
 LARGEST_BOUNDARY = 400
+#: Rounds in which elements of long lists of unlike classes become late, and the most of them, 8 bytes each in every worker.
+REORDERS = 3
+LATE = 1_000_000
+#: Bits of a set of keys in which postings are looked up before a shuffle: 8 MB.
+BITS = 26
 #: Ids up to which the texts to compare are picked by a broadcast join: 16 MB of longs at most.
 BROADCAST_IDS = 2_000_000
 #: Copies (an id and a digest of 16 bytes) up to which they are broadcast: 64 MB at most.
@@ -119,9 +130,19 @@ def ordered(s: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, float]:
 _PAIR = np.uint64(0xBF58476D1CE4E5B9)
 _HEAVY = np.uint64(0x94D049BB133111EB)
 _TINY = np.uint64(0xC2B2AE3D27D4EB4F)
+_NONE = np.zeros(0, np.uint64)
 
 
-def keys(s: np.ndarray, t: int, boundary: int) -> np.ndarray:
+def behind(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """A set in the global order with its late elements last; ``late`` has their keys, sorted."""
+    if not len(late):
+        return s
+    h = s * _HEAVY
+    hit = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+    return np.concatenate([s[~hit], s[hit]])
+
+
+def keys(s: np.ndarray, t: int, boundary: int, late: np.ndarray = _NONE) -> np.ndarray:
     """Keys of a set in the global order; sets that can only link with their equals have none."""
     n = len(s)
     if 100 * n < t * (n + 1):
@@ -134,7 +155,7 @@ def keys(s: np.ndarray, t: int, boundary: int) -> np.ndarray:
         light = (p[i] * _PAIR) ^ (p[j] + (p[i] >> np.uint64(29)))
     # Sets that a set above the boundary can link with are in the lists too.
     if 100 * n >= t * (boundary + 1):
-        heavy = s[: miss + 1] * _HEAVY
+        heavy = behind(s, late)[: miss + 1] * _HEAVY
     # A pair of elements can't be shared where one common element may do.
     tiny = s[: miss + 1] * _TINY if n * t <= 100 else s[:0]
     return np.concatenate([light, heavy, tiny])
@@ -230,6 +251,50 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, t: int) -> bool:
     return (100 + t) * most >= t * (na + nb)
 
 
+def _key_bits(postings: DataFrame) -> np.ndarray:
+    """A bit for each value of the leading ``BITS`` bits of a key, set where ``postings`` (x) have one."""
+    size, width = 1 << BITS - 3, (1 << BITS - 3) // SKETCH_PARTS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            at = b["x"].to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        press = zstandard.ZstdCompressor(level=1).compress
+        rows = [(i, press(p.tobytes())) for i, p in enumerate(bits.reshape(SKETCH_PARTS, width)) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["part", "bits"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        unpress = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for i, p in zip(b["part"].to_pylist(), b["bits"].to_pylist()):
+                part = found.setdefault(i, np.zeros(width, np.uint8))
+                part |= np.frombuffer(unpress(p), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())], ["part", "bits"])
+
+    parts = postings.select("x").mapInArrow(mark, "part int, bits binary")
+    got = parts.repartition(SKETCH_PARTS, "part").mapInArrow(either, "part int, bits binary").toArrow()
+    bits = np.zeros((SKETCH_PARTS, width), np.uint8)
+    for i, b in zip(got["part"].to_pylist(), got["bits"].to_pylist()):
+        bits[i] = np.frombuffer(b, np.uint8)
+    return bits.reshape(-1)
+
+
+def _having(classes: DataFrame, bits: Broadcast) -> DataFrame:
+    """Postings (id, info, x) of the classes whose key has its bit set; all of a key or none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            x = b["keys"].flatten().to_numpy().view(np.uint64)
+            at = x >> np.uint64(64 - BITS)
+            hit = np.flatnonzero(bits.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            row = pa.array(np.repeat(np.arange(b.num_rows), b["keys"].value_lengths().to_numpy())[hit])
+            yield pa.RecordBatch.from_arrays([b["id"].take(row), b["info"].take(row), pa.array(x[hit].view(np.int64))], ["id", "info", "x"])
+
+    return classes.select("id", "info", "keys").mapInArrow(run, "id long, info long, x long")
+
+
 def _plausible(pairs: DataFrame, outlines: DataFrame, t: int) -> DataFrame:
     """Pairs (a, b, star) without those that their outlines rule out; star pairs all stay."""
     left = outlines.select(F.col("id").alias("a"), F.col("outline").alias("oa"), F.col("n").alias("na"))
@@ -293,8 +358,12 @@ def _similar_size(a: str, b: str, t: int) -> F.Column:
     return 100 * F.least(a, b) >= t * F.greatest(a, b)
 
 
-def _listed(postings: DataFrame) -> DataFrame:
-    """Postings (x, id, info) of the keys that more than one class has, with n, m and the leader of the list."""
+def _listed(postings: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """Postings (x, id, info) of the keys that more than one class has, with n, m and the leader of the list.
+
+    Where ``classes`` are what the postings come from, those of keys that one
+    class has are dropped before they are shuffled a second time.
+    """
     lists = materialise(
         postings.groupBy("x")
         .agg(F.count("*").alias("m"), F.max(F.struct("info", F.negative("id").alias("minus"))).alias("top"))
@@ -302,11 +371,80 @@ def _listed(postings: DataFrame) -> DataFrame:
         .select("x", "m", (-F.col("top.minus")).alias("leader"), _size("top.info").alias("leader_n")),
         "jaccard-lists",
     )
+    if classes is not None:
+        release(classes.sparkSession)
+        postings = _having(classes, classes.sparkSession.sparkContext.broadcast(_key_bits(lists)))
     listed = materialise(postings.join(lists, "x").select("x", "id", "info", _size().alias("n"), "m", "leader", "leader_n"), "jaccard-listed")
     drop_scratch(lists)
     return listed
 
 
+def _unlike(listed: DataFrame, outlines: DataFrame, t: int, boundary: int) -> DataFrame:
+    """Long lists (x, m) of heavy sets fewer than half of whose classes may link with the leader, or are it."""
+    # Sets of these sizes have no other keys than elements.
+    long = listed.where(F.col("m") > STAR)
+    pairs = long.where((F.col("id") != F.col("leader")) & _similar_size("n", "leader_n", t)).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    alike = _plausible(pairs.withColumn("star", F.lit(False)), outlines, t).select("a", "b")
+    rows = long.join(alike.distinct().hint("merge"), (F.col("leader") == F.col("a")) & (F.col("id") == F.col("b")), "left")
+    lists = rows.groupBy("x").agg(F.first("m").alias("m"), F.count("a").alias("like"), F.min("n").alias("least"))
+    return lists.where((2 * (F.col("like") + 1) < F.col("m")) & (F.col("least") > max(boundary, 100 // t))).select("x", "m")
+
+
+def _moved(docs: DataFrame, ids: DataFrame, copies: DataFrame, k: int, t: int, levels: Broadcast, boundary: int, orders: Broadcast) -> DataFrame:
+    """Postings (id, info, x) that the classes of ``ids`` have in the second of two orders but not in the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, late = orders.value
+        for b in slices(batches, 128):
+            fp, info, found = [], [], []
+            for text in b["text"].to_pylist():
+                s = shingle_set(text, k)
+                fp.append(digest(s) if len(s) else None)
+                s, mean = ordered(s, levels.value)
+                info.append(round(mean * 1000) << SIZE_BITS | len(s))
+                found.append(np.setdiff1d(keys(s, t, boundary, late), keys(s, t, boundary, before)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp, pa.binary()), pa.array(info, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "fp", "info", "keys"])
+
+    picked = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    rows = docs.where("doc_id is not null").join(picked, docs.doc_id == ids.id, "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, fp binary, info long, keys array<long>")
+    return rows.where("fp is not null").join(copies, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("id"), "info", F.explode("keys").alias("x"))
+
+
+def _reordered(docs: DataFrame, classes: DataFrame, copies: DataFrame, listed: DataFrame, outlines: DataFrame, k: int, t: int, levels: Broadcast, boundary: int) -> DataFrame:
+    """The lists after elements of long lists of unlike classes have become late.
+
+    Which elements are late moves cost, never results, so there may be a most
+    of them. A class without a late element among its keys keeps its keys, and
+    the others lose these and get the next ones, whose lists are made anew
+    from all classes that have them.
+    """
+    sc, late, extra = docs.sparkSession.sparkContext, _NONE, None
+    for _ in range(REORDERS):
+        unlike = materialise(_unlike(listed, outlines, t, boundary), "jaccard-unlike")
+        if len(late) + unlike.count() > LATE:
+            unlike = materialise(unlike.orderBy(F.desc("m"), "x").limit(LATE - len(late)), "jaccard-unlike")
+        found = unlike.select("x").toArrow()["x"].to_numpy().view(np.uint64)
+        if not len(found):
+            break
+        orders = sc.broadcast((late, np.union1d(late, found)))
+        late = orders.value[1]
+        ids = materialise(listed.join(F.broadcast(unlike.select("x")), "x").select("id").distinct(), "jaccard-moved")
+        more = materialise(_moved(docs, ids, copies, k, t, levels, boundary, orders), "jaccard-more")
+        xs = materialise(more.select("x").distinct(), "jaccard-more-keys")
+        few = xs.count() <= BROADCAST_IDS
+        had = _having(classes, sc.broadcast(_key_bits(more)))
+        extra = more if extra is None else extra.unionByName(more)
+        had = materialise(had.unionByName(extra).join(F.broadcast(xs) if few else xs.hint("merge"), "x", "left_semi"), "jaccard-had")
+        added = _listed(had)
+        gone = xs.union(unlike.select("x"))
+        kept = listed.join(F.broadcast(gone) if few else gone.hint("merge"), "x", "left_anti")
+        mended = materialise(kept.unionByName(added), "jaccard-listed")
+        drop_scratch(listed, had, added, ids, unlike, xs)
+        release(docs.sparkSession)
+        listed = mended
+    return listed
+
+
 def _short_pairs(listed: DataFrame, t: int) -> DataFrame:
     """All pairs of the short lists, by an array of at most STAR classes; of different components where those are known."""
     rows = listed.where(F.col("m") <= STAR).groupBy("x").agg(F.sort_array(F.collect_list(F.struct("id", "n", "comp"))).alias("all"))
@@ -361,10 +499,11 @@ def _all_across(mixed: DataFrame, t: int) -> DataFrame:
     return mixed.join(other, "x").where("comp <> comp2").where(_similar_size("n", "n2", t)).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
 
-def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, copies: DataFrame, k: int, t: int, levels: Broadcast, boundary: int) -> DataFrame:
     """(v, c): components of the classes that link with any other class.
 
-    ``classes`` has id, info, keys and outline, one row a class. An open list
+    ``classes`` has id, info, keys and outline, one row a class; ``copies``
+    has the rows (doc_id, fp) of ``docs`` that are none. An open list
     with at most ``STAR`` pairs an entry across its components is closed by
     comparing these; the others go round again.
     """
@@ -372,7 +511,9 @@ def links(docs: DataFrame, classes: DataFrame, k: int, t: int, levels: Broadcast
     postings = classes.select("id", "info", F.explode("keys").alias("x"))
     tested = labels = None
     for r in range(ROUNDS + 1):
-        listed = _listed(postings)
+        listed = _listed(postings, None if r else classes)
+        if not r:
+            listed = _reordered(docs, classes, copies, listed, outlines, k, t, levels, boundary)
         placed = _with_components(listed, labels)
         if labels is not None:
             placed = materialise(placed, "jaccard-placed")
@@ -461,9 +602,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, t: int = 85, boundary: int |
     owner = materialise(named.groupBy("fp").agg(F.min("doc_id").alias("id")), "jaccard-owners")
     # All rows but the copies. The list of copies is broadcast while it is known to be short.
     copies = materialise(named.select("doc_id", "fp").join(owner, "fp").where("doc_id <> id").select("doc_id", "fp"), "jaccard-copies")
-    few = copies.count() <= BROADCAST_COPIES
-    classes = named.join(F.broadcast(copies) if few else copies, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("id"), "info", "keys", "outline")
-    found = links(src, classes, k, t, levels)
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_COPIES else copies
+    classes = named.join(copies, ["doc_id", "fp"], "left_anti").select(F.col("doc_id").alias("id"), "info", "keys", "outline")
+    found = links(src, classes, copies, k, t, levels, boundary)
     placed = owner.join(found, owner.id == found.v, "left").select("fp", F.coalesce("c", "id").alias("component"))
     return (
         rows.select("doc_id", "n_shingles", "fp")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from scoreloom.llm.common import connected_components
@@ -116,3 +117,34 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.v: r.c for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 160)}}
+
+
+def test_unlike_texts_that_share_phrases_are_not_compared(spark, monkeypatch):
+    """A sketch that tells nothing leaves shared phrases among the keys; their lists show them to be frequent."""
+    monkeypatch.setattr(jj, "STAR", 5)
+    monkeypatch.setattr(jj, "_sketch", lambda docs, k: np.zeros(1 << jj.SKETCH_BITS, np.uint8))
+    rng = random.Random(13)
+    phrases = [" ".join(f"p{j}x{i}" for i in range(8)) for j in range(6)]
+    rows = []
+    for i in range(90):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 140))]
+        texts = [" ".join(own + phrases)] + [" ".join(own[:-1] + [f"e{i}", *phrases])] * (i % 30 == 0)
+        rows += [(len(rows) + n + 1, x) for n, x in enumerate(texts)]
+    rows += [(1000 + n, " ".join([f"c{j}" for j in range(100)] + [f"z{n}"] + phrases)) for n in range(9)]
+    tested = []
+    monkeypatch.setattr(jj, "materialise", lambda df, name, f=jj.materialise: tested.append(f(df, name)) or tested[-1] if name == "jaccard-tested" else f(df, name))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()}
+    assert got == brute(rows, 4, 85)
+    assert len({c for _, c in got.values()}) == 91
+    assert sum(t.where("not linked").count() for t in tested) <= 30
+
+
+def test_keys_with_late_elements_share_one_where_sets_link():
+    rng = np.random.default_rng(3)
+    base = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    late = np.sort(base[rng.random(400) < 0.4] * jj._HEAVY)
+    for drop in (0, 5, 25):
+        a, b = np.delete(base, np.arange(drop)), np.delete(base, rng.integers(0, 400, drop))
+        assert set(jj.keys(a, 85, 6, late)) & set(jj.keys(b, 85, 6, late))
+        assert not set(jj.keys(a, 85, 6, late)) & set(late)
